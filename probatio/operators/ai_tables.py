@@ -76,9 +76,12 @@ def ai_entities(parsed: DataFrame) -> DataFrame:
     """Parties, people and organisations, amounts and dates the model found."""
     fields = [(n, n, 0.8) for n in ("key_parties", "entities", "people", "organizations")] + [
         ("financial_amounts", "money", 0.9), ("important_dates", "date", 0.8)]
-    parts = [F.transform(F.coalesce(f"findings.{field}", F.array().cast("array<string>")),
-                         lambda v, k=kind, c=conf: F.struct(F.lit(k).alias("type"), v.alias("value"), F.lit(c).alias("confidence")))
-             for field, kind, conf in fields]
+
+    def tagged(field: str, kind: str, conf: float) -> Column:
+        return F.transform(F.coalesce(f"findings.{field}", F.array().cast("array<string>")), lambda v: F.struct(
+            F.lit(kind).alias("type"), v.alias("value"), F.lit(conf).alias("confidence")))
+
+    parts = [tagged(*f) for f in fields]
     return parsed.select("doc_id", "agent", F.explode(F.concat(*parts)).alias("e")).select("doc_id", "agent", "e.*")
 
 

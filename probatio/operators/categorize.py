@@ -20,9 +20,15 @@ def category_structs(lower_text: Column, lexicon: dict[str, list[str]] | None =
 
 
 def best_category(lower_text: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """Struct (score, neg_ord, category): highest score, the earlier category on ties."""
-    return F.array_max(F.transform(category_structs(lower_text, lexicon), lambda s: F.struct(
-        s["score"].alias("score"), (-s["ord"]).alias("neg_ord"), s["category"].alias("category"))))
+    """Struct (score, neg_ord, category): highest score, the earlier category on ties.
+
+    ``lower_text`` must be a column of its own, so that lower-casing happens once; the whole
+    expression is generated code (no lambda).
+    """
+    return F.array_max(F.array(*[
+        F.struct((tx.hits(lower_text, words) / float(len(words))).alias("score"), F.lit(-i).alias("neg_ord"),
+                 F.lit(name).alias("category"))
+        for i, (name, words) in enumerate((lexicon or lx.CATEGORY_KEYWORDS).items())]))
 
 
 def folder_of(best: Column) -> Column:

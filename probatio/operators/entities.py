@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +16,11 @@ def all_matches(text: Column, pattern: str) -> Column:
 
 def entities_typed(ev: DataFrame) -> DataFrame:
     """Every date, e-mail, phone and money mention with its fixed confidence."""
-    found = [F.transform(all_matches(F.col("content"), pattern), lambda v, t=kind, c=conf: F.struct(
-        F.lit(t).alias("type"), v.alias("value"), F.lit(c).alias("confidence")))
-        for kind, pattern, conf in lx.TYPED_ENTITY_PATTERNS]
+    def tagged(kind: str, pattern: str, conf: float) -> Column:
+        return F.transform(all_matches(F.col("content"), pattern), lambda v: F.struct(
+            F.lit(kind).alias("type"), v.alias("value"), F.lit(conf).alias("confidence")))
+
+    found = [tagged(*p) for p in lx.TYPED_ENTITY_PATTERNS]
     return ev.select("doc_id", F.explode(F.concat(*found)).alias("e")).select("doc_id", "e.*")
 
 
@@ -41,8 +41,11 @@ def entities_sets(ev: DataFrame, terms: list[str] | None = None) -> DataFrame:
 def entity_index(sets: DataFrame) -> DataFrame:
     """(type, value, file), already distinct within a file, so no shuffle is needed."""
     parts = {"names": "names", "phone_numbers": "phones", "emails": "emails", "legal_terms": "legal_terms"}
-    rows = [F.transform(F.col(col), lambda v, k=kind: F.struct(
-        F.lit(k).alias("entity_type"), v.alias("value"))) for kind, col in parts.items()]
+
+    def tagged(kind: str, col: str) -> Column:
+        return F.transform(F.col(col), lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("value")))
+
+    rows = [tagged(kind, col) for kind, col in parts.items()]
     return sets.select("doc_id", F.explode(F.concat(*rows)).alias("e")).select("e.*", "doc_id")
 
 

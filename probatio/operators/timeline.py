@@ -20,9 +20,13 @@ def date_mentions(ev: DataFrame, window: int = 100) -> DataFrame:
     Columns of ``ev`` other than the text are carried along.
     """
     keep = [c for c in ev.columns if c != "content"]
-    found = [F.transform(tx.match_positions(F.col("content"), pattern), lambda m, f=fmt, c=conf: F.struct(
-        m["start"].alias("position"), m["raw"].alias("raw_date"), F.lit(f).alias("format"),
-        F.lit(c).alias("confidence"))) for fmt, pattern, conf in lx.DATE_PATTERNS]
+
+    def found_by(fmt: str, pattern: str, conf: float) -> Column:
+        return F.transform(tx.match_positions(F.col("content"), pattern), lambda m: F.struct(
+            m["start"].alias("position"), m["raw"].alias("raw_date"), F.lit(fmt).alias("format"),
+            F.lit(conf).alias("confidence")))
+
+    found = [found_by(*p) for p in lx.DATE_PATTERNS]
     rows = ev.select(*keep, "content", F.explode(F.concat(*found)).alias("d"))
     return rows.select(*keep, "content", "d.*").withColumn("context", tx.around(
         F.col("content"), F.col("position"), F.length("raw_date"), window))

@@ -19,7 +19,8 @@ from probatio.operators import scoring as sc
 
 def categorised(ev: DataFrame) -> DataFrame:
     """Adds confidence_score and folder (the predicted category)."""
-    base = ev.withColumn("_best", ca.best_category(F.lower(F.concat_ws(" ", "content", "file_name"))))
+    base = ev.withColumn("_lt", F.lower(F.concat_ws(" ", "content", "file_name"))) \
+        .withColumn("_best", ca.best_category(F.col("_lt"))).drop("_lt")
     return base.withColumn("confidence_score", F.col("_best.score")) \
         .withColumn("folder", ca.folder_of(F.col("_best"))).drop("_best")
 

@@ -16,6 +16,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input has fewer splits than there are cores.
+
+    Text operators are bound by computing, and one small file is one task. Only the number of
+    splits is looked at; data of cluster size has many more, and is left as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 # {documents} {orders} {customer} are bound by the engine that runs the statement.
 EVIDENCE_SQL = """
 SELECT doc_id, raw, lang, source, file_name, ext AS extension, created_ts, modified_ts, party,
@@ -85,7 +95,7 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
     extracted from it.
     """
     base = spark.sql(
-        EVIDENCE_SQL, documents=table(spark, folder, "documents"),
+        EVIDENCE_SQL, documents=spread(table(spark, folder, "documents")),
         orders=table(spark, folder, "orders"), customer=table(spark, folder, "customer"))
     return base.select(
         "doc_id", "file_path", "file_name", "extension", "file_type", "content", "raw",
