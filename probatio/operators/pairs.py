@@ -7,6 +7,8 @@ pattern into one array: files of a pattern are rows of a bridge table.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,25 +97,17 @@ def temporal_clusters(events: DataFrame, min_files: int = 2) -> DataFrame:
 def top_words(ev: DataFrame, top: int = 20, min_len: int = 5) -> DataFrame:
     """The most frequent long words of each text, ties by first occurrence, as a sorted array.
 
-    Counting happens inside the row: sorting the words with their places makes equal words
-    neighbours, and one fold over the sorted array counts them in linear time.
+    Counting stays inside the row (an Arrow batch at a time), so the words of the corpus are not
+    shuffled.
     """
-    word = r"[\p{L}\p{N}_]{" + str(min_len) + ",}"
-    words = F.regexp_extract_all(F.lower("content"), F.lit(word), F.lit(0))
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    # a word's group starts where it differs from its neighbour; its count is the distance to
-    # the next start
-    base = ev.select("doc_id", placed.alias("_placed"))
-    base = base.select("doc_id", F.size("_placed").alias("_n"), F.transform(
-        F.filter(F.transform(F.col("_placed"), lambda x, k: F.struct(
-            k.alias("k"), x["w"].alias("w"), x["i"].alias("i"),
-            ((k == 0) | (F.get(F.col("_placed"), k - 1)["w"] != x["w"])).alias("new"))), lambda x: x["new"]),
-        lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), x["i"].alias("i"))).alias("_s"))
-    ranked = F.array_sort(F.transform(F.col("_s"), lambda x, j: F.struct(
-        (x["k"] - F.coalesce(F.get(F.col("_s"), j + 1)["k"], F.col("_n"))).alias("neg_count"),
-        x["i"].alias("i"), x["w"].alias("w"))))
-    return base.select("doc_id", F.array_sort(F.transform(
-        F.slice(ranked, 1, top), lambda x: x["w"])).alias("words")).where(F.size("words") > 0)
+    pattern = re.compile(r"\w{%d,}" % min_len)
+
+    @F.pandas_udf("array<string>")
+    def frequent(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(w for w, _ in Counter(pattern.findall(t)).most_common(top)))
+
+    return ev.select("doc_id", frequent(F.lower(F.coalesce("content", F.lit("")))).alias("words")) \
+        .where(F.size("words") > 0)
 
 
 def content_similarity(ev: DataFrame, top: int = 20, min_len: int = 5, threshold: float = 0.3) -> DataFrame:
