@@ -206,10 +206,10 @@ def semantic_neighbors(vectors: DataFrame, threshold: float = 0.85, n_pivots: in
         F.ceil(F.col("visitors") / block).cast("int").alias("nv")))
     spread = F.xxhash64("rep")
     left = (placed.select(F.col("home").alias("cell"), "rep", "embedding", "home").join(grid, "cell")
-            .withColumn("rb", F.pmod(spread, "nr")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))))
+            .withColumn("rb", F.pmod(spread, "nr").cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))))
     right = (placed.select(F.explode("reach").alias("cell"), "rep", "embedding", "home").where("cell <= home")
              .join(grid, "cell").withColumn("vb", F.pmod(spread, "nv").cast("int"))
-             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).cast("bigint")))
+             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:

@@ -13,4 +13,4 @@ def all_queries():
         except ModuleNotFoundError as exc:
             if exc.name != f"probatio.plans.{name}":
                 raise
-    return registry.QUERIES, registry.ORACLES
+    return registry.QUERIES, {name: registry.with_tables(sql) for name, sql in registry.ORACLES.items()}

@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None):
         assert name not in QUERIES, name
         QUERIES[name] = lambda spark, folder: flat(fn(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_tables(sql)
+            ORACLES[name] = sql
         return fn
     return add
 
@@ -64,7 +64,7 @@ def with_tables(sql: str) -> str:
 
     def add(text: str) -> None:
         for name, body in COMMON.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 add(body)
                 needed.append(name)
 
@@ -72,7 +72,10 @@ def with_tables(sql: str) -> str:
     parts = ", ".join(f"{n} AS ({COMMON[n]})" for n in needed)
     if not parts:
         return sql
-    return f"WITH {parts}, {sql[5:]}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {parts} {sql}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(head):
+            return f"{head}{parts}, {sql[len(head):]}"
+    return f"WITH {parts} {sql}"
 
 
 # ---- small builders of oracle text -----------------------------------------------------
