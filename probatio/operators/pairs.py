@@ -222,6 +222,8 @@ def semantic_neighbors(vectors: DataFrame, threshold: float = 0.85, n_pivots: in
         return pd.DataFrame({"id1": np.minimum(ia, ib)[keep], "id2": np.maximum(ia, ib)[keep],
                              "similarity": sim[i, j][keep]})
 
+    left, right = (s.select("cell", "rb", "vb", "rep", "embedding", "home") for s in (left, right))
+    right = right.toDF(*right.columns)  # names of its own, as both sides come from one table
     near = left.groupBy("cell", "rb", "vb").cogroup(right.groupBy("cell", "rb", "vb")).applyInPandas(
         compare, "id1 bigint, id2 bigint, similarity double").withColumn("relation", F.lit("near"))
     same = vectors.join(groups.where("members > 1").drop("members"), "embedding").where("vec_id <> rep").select(

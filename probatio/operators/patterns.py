@@ -52,21 +52,28 @@ def lexicon_patterns(texts: DataFrame, lexicon: list[tuple] | None = None) -> Da
 
 
 def lexicon_patterns_joined(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """H01 for a lexicon too large for expressions: an equi-join on the words instead.
+    """H01 for a lexicon too large for expressions: a join on words finds the keywords to look for.
 
-    Texts are cut into words (with their places), keywords joined on their first word, and longer
-    keywords verified against the following words. Words are counted per text before the join, and the
-    join is on words that occur in the lexicon only.
+    Distinct words of each text (without the text) meet the first words of the keywords. What is
+    left are the candidate keywords per text, at most a lexicon full; they return to the text by one
+    join, and each is then matched exactly.
     """
     word = r"[\p{L}\p{N}_]+"
-    lex = lexicon.withColumn("first_word", F.regexp_extract(F.lower("keyword"), word, 0))
-    tokens = texts.select("doc_id", "source", "text", F.explode(F.array_distinct(
+    lex = lexicon.withColumn("first_word", F.regexp_extract(F.lower("keyword"), word, 0)).withColumn(
+        "pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), "keyword", F.lit(r"\E(?![\p{L}\p{N}_])")))
+    tokens = texts.select("doc_id", "source", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("first_word"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), "keyword", F.lit(r"\E(?![\p{L}\p{N}_])"))
-    hits = tokens.join(lex, "first_word").withColumn("n", F.regexp_count("text", pattern)).where("n > 0")
+    candidates = tokens.join(lex, "first_word").groupBy("doc_id", "source").agg(F.collect_list(F.struct(
+        "group_name", "sub_pattern", "base_confidence", "boost", "pattern")).alias("ks"))
+    counted = F.transform("ks", lambda k: F.struct(
+        k["group_name"].alias("group_name"), k["sub_pattern"].alias("sub_pattern"),
+        k["base_confidence"].alias("base"), k["boost"].alias("boost"),
+        F.regexp_count(F.col("text"), k["pattern"]).alias("n")))
+    hits = texts.join(candidates, ["doc_id", "source"]).select("doc_id", "source", F.explode(
+        F.filter(counted, lambda k: k["n"] > 0)).alias("k")).select("doc_id", "source", "k.*")
     return hits.groupBy("doc_id", "source", "group_name", "sub_pattern").agg(
         F.count("*").alias("distinct_keywords"), F.sum("n").alias("total_matches"),
-        F.least(F.lit(1.0), F.max("base_confidence") + F.max("boost") * F.count("*")).alias("confidence"))
+        F.least(F.lit(1.0), F.max("base") + F.max("boost") * F.count("*")).alias("confidence"))
 
 
 def _recurring(events: DataFrame, at_least: int) -> DataFrame:
