@@ -16,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of arriving files."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when the input has fewer splits than there are cores.
 
@@ -88,14 +94,16 @@ FROM (
 """
 
 
-def evidence(spark: SparkSession, folder: str) -> DataFrame:
+def evidence(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
     """The evidence table: one row per document, keyed by ``doc_id``.
 
     ``file_hash`` and ``file_size`` describe the original text; ``content`` is what was
-    extracted from it.
+    extracted from it. ``documents`` may be a stream.
     """
+    if documents is None:
+        documents = spread(table(spark, folder, "documents"))
     base = spark.sql(
-        EVIDENCE_SQL, documents=spread(table(spark, folder, "documents")),
+        EVIDENCE_SQL, documents=documents,
         orders=table(spark, folder, "orders"), customer=table(spark, folder, "customer"))
     return base.select(
         "doc_id", "file_path", "file_name", "extension", "file_type", "content", "raw",
