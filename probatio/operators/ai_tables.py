@@ -356,7 +356,7 @@ def health_status(agents: DataFrame, limited: bool = False) -> DataFrame:
     providers = agents.groupBy("provider").agg(F.max(F.col("available").cast("int")).alias("up"))
     up = providers.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("providers_up"))
     counts = agents.agg(F.count_if("available").alias("agents_up"), F.count("*").alias("agents"))
-    return counts.join(F.broadcast(up), F.lit(True)).select(  # one row each
+    return counts.withColumn("providers_up", up.scalar()).select(
         "providers_up", "agents_up", "agents",
         F.when(F.col("providers_up") == 0, "critical").when(F.col("agents_up") < F.col("agents") / 2, "degraded")
         .when(F.lit(limited), "rate_limited").otherwise("healthy").alias("system_health"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from probatio import lexicons as lx
 from probatio.functions import text as tx
 from probatio.operators.entities import names_in
+from probatio.operators.skew import attach_by_key
 from probatio.session import written
 
 
@@ -27,11 +28,11 @@ def _value_sets(ev: DataFrame, values: Column) -> DataFrame:
     return ev.select("doc_id", F.array_sort(values).alias("vals")).where(F.size("vals") >= 2)
 
 
-def _pairs_in(vals: str = "vals") -> Column:
-    """All ordered pairs a < b of one sorted array of distinct values."""
-    return F.flatten(F.transform(F.col(vals), lambda a, i: F.transform(
-        F.slice(F.col(vals), i + 2, F.greatest(F.size(vals) - i - 1, F.lit(0))),
-        lambda b: F.struct(a.alias("a"), b.alias("b")))))
+def _pairs_of(sets: DataFrame, *keep: str) -> DataFrame:
+    """All pairs a < b of each row's sorted array ``vals``, one row at a time (no array of pairs)."""
+    first = sets.select(*keep, "vals", F.posexplode("vals").alias("i", "a"))
+    rest = F.slice("vals", F.col("i") + 2, F.size("vals"))
+    return first.where(F.col("i") < F.size("vals") - 1).select(*keep, "a", F.explode(rest).alias("b"))
 
 
 def _cooccurrence(ev: DataFrame, values: Column, names: tuple[str, str], step: float, cap: float,
@@ -43,7 +44,7 @@ def _cooccurrence(ev: DataFrame, values: Column, names: tuple[str, str], step: f
     """
     sets = _value_sets(ev, values).groupBy("vals").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    pairs = sets.select("n", "first_doc", "last_doc", F.explode(_pairs_in()).alias("p")).groupBy("p.a", "p.b").agg(
+    pairs = _pairs_of(sets, "n", "first_doc", "last_doc").groupBy("a", "b").agg(
         F.sum("n").alias("n_files"), F.min("first_doc").alias("first_file"), F.max("last_doc").alias("last_file"))
     return pairs.where(F.col("n_files") >= min_files).select(
         F.col("a").alias(names[0]), F.col("b").alias(names[1]), "n_files", "first_file", "last_file",
@@ -66,8 +67,8 @@ def name_pair_files(ev: DataFrame, min_files: int = 2) -> DataFrame:
 
     The join has one row per pair on one side, so a pair found in very many files can be split.
     """
-    rows = _value_sets(ev, names_in(F.col("content"))).select("doc_id", F.explode(_pairs_in()).alias("p")) \
-        .select(F.col("p.a").alias("name1"), F.col("p.b").alias("name2"), "doc_id")
+    rows = _pairs_of(_value_sets(ev, names_in(F.col("content"))), "doc_id") \
+        .select(F.col("a").alias("name1"), F.col("b").alias("name2"), "doc_id")
     kept = name_cooccurrence(ev, min_files).select("name1", "name2")
     return rows.join(kept, ["name1", "name2"], "left_semi")
 
@@ -110,7 +111,8 @@ def top_words(ev: DataFrame, top: int = 20, min_len: int = 5) -> DataFrame:
         .where(F.size("words") > 0)
 
 
-def content_similarity(ev: DataFrame, top: int = 20, min_len: int = 5, threshold: float = 0.3) -> DataFrame:
+def content_similarity(ev: DataFrame, top: int = 20, min_len: int = 5, threshold: float = 0.3,
+                       block: int = 5000) -> DataFrame:
     """Documents whose top words overlap by more than ``threshold`` (Jaccard), exactly.
 
     1. Documents with the same set of top words (copies, templates) become one set with its
@@ -125,37 +127,47 @@ def content_similarity(ev: DataFrame, top: int = 20, min_len: int = 5, threshold
     Every pair of documents above the threshold follows from the rows: both in one ``same``
     group, or their representatives in one ``overlap`` row; ``n_pairs`` counts them.
     """
-    docs = written(top_words(ev, top, min_len), "top-words")
-    sets = docs.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    freq = docs.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-
-    ranked = (sets.select("rep", "members", F.explode("words").alias("w")).join(freq, "w")
-              .groupBy("rep", "members").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("_o"))
-              .select("rep", "members", F.transform("_o", lambda x: x["w"]).alias("words")))
-    ranked = written(ranked.withColumn("n", F.size("words")), "word-sets")
+    docs = written(top_words(ev, top, min_len).withColumn("set_key", F.array_join("words", " ")), "top-words")
+    sets = docs.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("words").alias("words"))
+    freq = docs.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n_docs")) \
+        .withColumn("df", F.col("n_docs"))
+
+    tokens = attach_by_key(sets.select("rep", "members", F.explode("words").alias("w")), freq, "w", "n_docs", "rep")
+    ranked = (tokens.groupBy("rep", "members").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ordered"))
+              .withColumn("words", F.transform("ordered", lambda x: x["w"])).withColumn("n", F.size("words")))
+    ranked = written(ranked, "word-sets")  # at most ``top`` words per set
     small_t = 2 * threshold / (1 + threshold)
 
     def prefixes(share: float, tag: str) -> DataFrame:
         keep = F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).cast("int"))
-        return ranked.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("rep", "members", "words", "n")],
-                             F.explode(F.slice("words", F.lit(1), keep)).alias("w"))
-
-    small, large = prefixes(small_t, "a"), prefixes(threshold, "b")
+        out = ranked.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("rep", "members", "words", "n")],
+                            F.explode(F.slice("ordered", F.lit(1), keep)).alias("e"))
+        # a frequent word's entries are laid out as a grid of blocks, so no task holds them all
+        return out.withColumn("w", F.col("e.w")).withColumn(
+            "_g", F.ceil(F.col("e.df") / block).cast("int")).drop("e")
+
+    def own(tag: str) -> Column:
+        return F.pmod(F.xxhash64(f"rep_{tag}"), F.col("_g")).cast("int")
+
+    every = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
+    small = prefixes(small_t, "a").withColumn("ga", own("a")).withColumn("gb", every).drop("_g")
+    large = prefixes(threshold, "b").withColumn("gb", own("b")).withColumn("ga", every).drop("_g")
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("rep_a") < F.col("rep_b")))
-    common = F.size(F.array_intersect("words_a", "words_b"))
+    shared = F.array_intersect("words_a", "words_b")
+    common = F.size(shared)
     jaccard = common / (F.col("n_a") + F.col("n_b") - common)
     # words_a and words_b are in the same global order, so element 1 is the first common word
-    first_common = F.element_at(F.array_intersect("words_a", "words_b"), 1)
-    pairs = (small.join(large, "w").where(ordered & (F.col("n_a") > F.col("n_b") * threshold))
-             .where(first_common == F.col("w")).withColumn("similarity", jaccard)
+    pairs = (small.join(large, ["w", "ga", "gb"]).where(ordered & (F.col("n_a") > F.col("n_b") * threshold))
+             .where(F.element_at(shared, 1) == F.col("w")).withColumn("similarity", jaccard)
              .where(F.col("similarity") > threshold))
     overlap = pairs.select(
         F.least("rep_a", "rep_b").alias("doc1"), F.greatest("rep_a", "rep_b").alias("doc2"),
         F.lit("overlap").alias("relation"), "similarity", (F.col("members_a") * F.col("members_b")).alias("n_pairs"))
-    reps = sets.where("members > 1").select("words", "rep")
-    same = docs.join(reps, "words").where(F.col("doc_id") != F.col("rep")).select(
-        F.col("rep").alias("doc1"), F.col("doc_id").alias("doc2"), F.lit("same").alias("relation"),
-        F.lit(1.0).alias("similarity"), F.lit(1).cast("bigint").alias("n_pairs"))
+    reps = sets.where("members > 1").select("set_key", "members", "rep")
+    same = attach_by_key(docs.select("doc_id", "set_key"), reps, "set_key", "members", "doc_id") \
+        .where(F.col("doc_id") != F.col("rep")).select(
+            F.col("rep").alias("doc1"), F.col("doc_id").alias("doc2"), F.lit("same").alias("relation"),
+            F.lit(1.0).alias("similarity"), F.lit(1).cast("bigint").alias("n_pairs"))
     return overlap.unionByName(same).withColumn("confidence", F.least(F.lit(0.9), F.col("similarity")))
 
 
@@ -180,23 +192,20 @@ def semantic_neighbors(vectors: DataFrame, threshold: float = 0.85, n_pivots: in
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     groups = vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"))
     distinct = groups.select("rep", "embedding")
-    pivots = distinct.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).agg(
-        F.collect_list(F.struct("rep", "embedding")).alias("p")).select(
-        F.transform(F.array_sort("p"), lambda x: x["embedding"]).alias("pivots"))
+    pivots = _unit(pd.Series([r["embedding"] for r in distinct.orderBy(  # n_pivots rows, a fixed number
+        F.xxhash64("rep"), "rep").limit(n_pivots).collect()]))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch) == 0:
                 continue
-            x, p = _unit(batch["embedding"]), _unit(pd.Series(list(batch["pivots"].iloc[0])))
-            dist = np.sqrt(np.maximum(0.0, 2 - 2 * x @ p.T))
+            dist = np.sqrt(np.maximum(0.0, 2 - 2 * _unit(batch["embedding"]) @ pivots.T))
             reach = dist <= dist.min(axis=1, keepdims=True) + 2 * radius + 1e-9
             home = dist.argmin(axis=1)
             yield pd.DataFrame({"rep": batch["rep"], "embedding": batch["embedding"], "home": home.astype("int32"),
                                 "reach": [np.flatnonzero(r).astype("int32") for r in reach]})
 
-    one = F.broadcast(pivots)  # a single row of at most n_pivots vectors
-    placed = written(distinct.join(one, F.lit(True)).mapInPandas(
+    placed = written(distinct.mapInPandas(
         cells, "rep bigint, embedding array<float>, home int, reach array<int>"), "vector-cells")
 
     sizes = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("residents")) \
@@ -250,8 +259,8 @@ def connected_clusters(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             both = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.join(low, "u")
+        low = both.groupBy("u").agg(F.count("*").alias("degree"), F.least(F.min("v"), F.col("u")).alias("m"))
+        linked = attach_by_key(both, low, "u", "degree", "v")
         if large:
             out = linked.where("v > u").select(F.col("m").alias("u"), F.col("v"))
         else:

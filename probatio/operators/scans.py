@@ -54,15 +54,14 @@ def content_hashes(ev: DataFrame, algorithms: list[str] | None = None, data: str
     return ev.select("file_path", *[HASHES[a](F.col(data)).alias(a) for a in dict.fromkeys(chosen)])
 
 
-def results_table(scored: DataFrame, preview: int = 500) -> DataFrame:
+def results_table(scored: DataFrame) -> DataFrame:
     """One result record per file, with a short preview and ISO times."""
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     return scored.select(
         "doc_id", "file_path", "file_name", "new_name", "file_hash", "file_size", "file_type",
         F.date_format("created_ts", iso).alias("created_date"),
         F.date_format("modified_ts", iso).alias("modified_date"),
-        F.substring("content", 1, preview).alias("content_preview"),
-        "summary", "category", "subcategory", "confidence_score", "probative_value",
+        "content_preview", "summary", "category", "subcategory", "confidence_score", "probative_value",
         "prejudicial_value", "relevance_score", "admissibility_score", "overall_impact",
         "is_duplicate", "duplicate_of", "requires_human_review")
 

@@ -58,7 +58,8 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
                 row_id: str, name: str = "rank", salts: int = 32) -> DataFrame:
     """First ``n`` rows per key; ranked per (key, salt) first, so a hot key is split.
 
-    The second ranking sees at most ``n * salts`` rows per key.
+    Both rankings are row limits, so Spark drops rows beyond ``n`` per group before each shuffle;
+    the second sees at most ``n * salts`` rows per key.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)

@@ -49,7 +49,12 @@ def scored(ev: DataFrame, cfg: ScoringConfig = ScoringConfig(), rules: list | No
             .withColumn("category", F.when(review, lx.REVIEW_FOLDER).otherwise(F.col("folder"))).drop("_lower"))
 
 
-def scored_with_duplicates(ev: DataFrame, cfg: ScoringConfig = ScoringConfig(), rules: list | None = None) -> DataFrame:
-    """The same with is_duplicate / duplicate_of (only ids and hashes are shuffled for them)."""
+def scored_with_duplicates(ev: DataFrame, cfg: ScoringConfig = ScoringConfig(), rules: list | None = None,
+                           preview: int = 500) -> DataFrame:
+    """The same with is_duplicate / duplicate_of, and a preview in place of the text.
+
+    The duplicate search shuffles ids and hashes only, and its marks meet records without text.
+    """
     marks = dd.exact_duplicates(ev).drop("file_hash")
-    return scored(ev, cfg, rules).join(marks, "doc_id")
+    records = scored(ev, cfg, rules).withColumn("content_preview", F.substring("content", 1, preview)).drop("content", "raw")
+    return records.join(marks, "doc_id")
