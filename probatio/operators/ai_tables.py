@@ -137,7 +137,9 @@ def ai_merge(parsed: DataFrame, scored: DataFrame, threshold: float = 0.6, cost_
 
 def theory_scores(parsed: DataFrame) -> DataFrame:
     """Best score per file and theory over all agents."""
-    return parsed.select("doc_id", F.explode("findings.legal_theory_support").alias("theory", "score")) \
+    # the outer form: a filter on the findings would parse each answer once more
+    rows = parsed.select("doc_id", F.explode_outer("findings.legal_theory_support").alias("theory", "score"))
+    return rows.where("theory IS NOT NULL") \
         .groupBy("doc_id", "theory").agg(F.max("score").alias("score"))
 
 
@@ -182,8 +184,8 @@ def high_conf_findings(parsed: DataFrame, above: float = 0.8) -> DataFrame:
 
 def insight_counts(parsed: DataFrame) -> DataFrame:
     """How often each insight is mentioned."""
-    return parsed.select(F.explode("findings.case_specific_insights").alias("insight")) \
-        .groupBy("insight").agg(F.count("*").alias("mentions"))
+    return parsed.select(F.explode_outer("findings.case_specific_insights").alias("insight")) \
+        .where("insight IS NOT NULL").groupBy("insight").agg(F.count("*").alias("mentions"))
 
 
 def suggested_theories(parsed: DataFrame) -> DataFrame:

@@ -32,10 +32,10 @@ def entities_sets(ev: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """Distinct names, phones, e-mails and legal terms of each file, sorted."""
     c = F.col("content")
     return ev.select(
-        "doc_id", F.array_sort(names_in(c)).alias("names"),
-        F.array_sort(F.array_distinct(F.concat(*[all_matches(c, p) for p in lx.PHONE_PATTERNS]))).alias("phones"),
-        F.array_sort(F.array_distinct(all_matches(c, lx.EMAIL_PATTERN))).alias("emails"),
-        F.array_sort(tx.matched_words(F.lower(c), terms or lx.LEGAL_TERMS)).alias("legal_terms"))
+        "doc_id", F.sort_array(names_in(c)).alias("names"),
+        F.sort_array(F.array_distinct(F.concat(*[all_matches(c, p) for p in lx.PHONE_PATTERNS]))).alias("phones"),
+        F.sort_array(F.array_distinct(all_matches(c, lx.EMAIL_PATTERN))).alias("emails"),
+        F.sort_array(tx.matched_words(F.lower(c), terms or lx.LEGAL_TERMS)).alias("legal_terms"))
 
 
 def entity_index(sets: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def participants_in(text: Column, limit: int = 5) -> Column:
         F.concat(*[all_matches(text, p) for p in lx.PARTICIPANT_PATTERNS]), tx.strip))
     stop = F.array(*[F.lit(w) for w in lx.PARTICIPANT_STOP_WORDS])
     kept = F.filter(found, lambda p: ~F.array_contains(stop, F.lower(p)))
-    return F.slice(F.array_sort(kept), 1, limit)
+    return F.slice(F.sort_array(kept), 1, limit)
 
 
 def participants(texts: DataFrame) -> DataFrame:

@@ -25,12 +25,16 @@ from probatio.session import written
 
 # ---- values that occur together (D06, D07) -----------------------------------------
 def _value_sets(ev: DataFrame, values: Column) -> DataFrame:
-    return ev.select("doc_id", F.array_sort(values).alias("vals")).where(F.size("vals") >= 2)
+    return ev.select("doc_id", F.sort_array(values).alias("vals"))
 
 
 def _pairs_of(sets: DataFrame, *keep: str) -> DataFrame:
-    """All pairs a < b of each row's sorted array ``vals``, one row at a time (no array of pairs)."""
-    first = sets.select(*keep, "vals", F.posexplode("vals").alias("i", "a"))
+    """All pairs a < b of each row's sorted array ``vals``, one row at a time (no array of pairs).
+
+    The outer form keeps Spark from adding a filter on ``vals`` below, which would run the regular
+    expressions behind it once more per text.
+    """
+    first = sets.select(*keep, "vals", F.posexplode_outer("vals").alias("i", "a"))
     rest = F.slice("vals", F.col("i") + 2, F.size("vals"))
     return first.where(F.col("i") < F.size("vals") - 1).select(*keep, "a", F.explode(rest).alias("b"))
 
@@ -43,7 +47,8 @@ def _cooccurrence(ev: DataFrame, values: Column, names: tuple[str, str], step: f
     multiplicity, so pairs are built once per distinct set, and counted by partial sums.
     """
     sets = _value_sets(ev, values).groupBy("vals").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+        F.max(F.size("vals")).alias("k")).where("k >= 2")
     pairs = _pairs_of(sets, "n", "first_doc", "last_doc").groupBy("a", "b").agg(
         F.sum("n").alias("n_files"), F.min("first_doc").alias("first_file"), F.max("last_doc").alias("last_file"))
     return pairs.where(F.col("n_files") >= min_files).select(

@@ -55,7 +55,8 @@ def pattern_events(parsed: DataFrame, window: int = 200) -> DataFrame:
     ``parsed`` carries content, file_path and folder. The few rules are literal expressions, so
     events come out of the same narrow pass as the mentions.
     """
-    lower = F.lower("context")
+    parsed = parsed.withColumn("_lower", F.lower("context"))
+    lower = F.col("_lower")
     types = F.array_compact(F.array(*[
         F.when(F.rlike(lower, F.lit("|".join(patterns))), F.lit(kind))
         for kind, patterns in lx.EVENT_PATTERNS.items()]))
