@@ -16,7 +16,8 @@ def corpus_scan(spark: SparkSession, folder: str, extensions: list[str] | None =
                 with_bytes: bool = False) -> DataFrame:
     """Every file below ``folder`` with a wanted extension (case does not matter).
 
-    Without ``with_bytes`` only the file listing is read; the scan prunes the content.
+    Without ``with_bytes`` only the file listing is read; the scan prunes the content. Spark's file
+    index leaves out files of length zero, which hold nothing to analyse.
     """
     wanted = [e.lower() for e in (extensions or SCAN_EXTENSIONS)]
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
