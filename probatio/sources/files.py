@@ -87,9 +87,9 @@ def email_extract(files: DataFrame, key: str = "path", data: str = "content") ->
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = pd.DataFrame([_read_message(x) for x in batch[data]], columns=names,
-                                index=batch.index)
-            yield pd.concat([batch[[key]], rows], axis=1)
+            rows = [_read_message(x) for x in batch[data]]
+            columns = {key: batch[key].tolist(), **{n: [r.get(n) for r in rows] for n in names}}
+            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in columns.items()})
 
     return files.select(key, data).mapInPandas(read, schema)
 
