@@ -178,7 +178,7 @@ def pattern_union(*tables: DataFrame) -> DataFrame:
 
 def pattern_top(patterns: DataFrame, n: int = 20) -> DataFrame:
     """The most confident patterns (a top-k, no full sort)."""
-    return patterns.orderBy(F.desc("confidence"), "pattern_type", "title").limit(n)
+    return patterns.orderBy(F.desc("confidence"), "pattern_id", "title").limit(n)
 
 
 def pattern_type_counts(patterns: DataFrame) -> DataFrame:
