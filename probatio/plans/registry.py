@@ -52,7 +52,9 @@ _TABLES = {t: t for t in ("documents", "orders", "customer", "labels", "events")
 COMMON: dict[str, str] = {
     "ev": "SELECT *, sha256(raw) AS file_hash, CAST(strlen(raw) AS BIGINT) AS file_size FROM ("
           + src.EVIDENCE_SQL.format(**_TABLES) + ") e0",
-    "answers": src.AI_RESULTS_SQL.format(**_TABLES),
+    "answers": src.AI_RESULTS_SQL.format(**{**_TABLES, "documents": (
+        "(SELECT doc_id, agent, agent_ord FROM documents CROSS JOIN (" + " UNION ALL ".join(
+            f"SELECT {i + 1} AS agent_ord, '{a}' AS agent" for i, a in enumerate(src.AGENTS)) + ") g)")}),
     "usage": src.USAGE_SQL.format(**_TABLES),
 }
 

@@ -113,7 +113,9 @@ def evidence(spark: SparkSession, folder: str, documents: DataFrame | None = Non
 
 
 # One row per document and agent; the answers come in five shapes (by doc_id % 5):
-# prose around JSON, bare JSON, prose only, broken JSON, JSON with text numbers.
+# prose around JSON, bare JSON, prose only, broken JSON, JSON with text numbers. {documents} has
+# a row per agent already.
+AGENTS = ["document_intelligence", "legal_analysis", "pattern_discovery"]
 AI_RESULTS_SQL = """
 SELECT doc_id, agent, agent_ord, case_theory, provider, tokens_used, success, ts, theory1, theory2, score1, score2,
   CASE doc_id % 5
@@ -133,18 +135,17 @@ FROM (
    '", "insight ', CAST(doc_id % 4 AS VARCHAR(9)), '"], "suggested_theories": ["Theory S', CAST(doc_id % 3 AS VARCHAR(9)),
    '"], "strategic_insights": ["Move ', CAST(agent_ord AS VARCHAR(9)), '"], "legal_theory_support": {{"', theory1, '": ', score1, ', "', theory2, '": ', score2, '}}}}') AS body
  FROM (
-  SELECT d.doc_id, g.agent, g.agent_ord, 'all' AS case_theory,
-   CASE WHEN (d.doc_id + g.agent_ord) % 2 = 0 THEN 'provider_a' ELSE 'provider_b' END AS provider,
-   500 + d.doc_id % 700 + 10 * g.agent_ord AS tokens_used, (d.doc_id + g.agent_ord) % 11 <> 0 AS success,
+  SELECT d.doc_id, d.agent, d.agent_ord, 'all' AS case_theory,
+   CASE WHEN (d.doc_id + d.agent_ord) % 2 = 0 THEN 'provider_a' ELSE 'provider_b' END AS provider,
+   500 + d.doc_id % 700 + 10 * d.agent_ord AS tokens_used, (d.doc_id + d.agent_ord) % 11 <> 0 AS success,
    o.o_orderdate AS ts,
-   CASE WHEN l.quality = 1 THEN concat('0.', CAST(7 + d.doc_id % 3 AS VARCHAR(9)), CAST(g.agent_ord AS VARCHAR(9))) ELSE concat('0.', CAST(4 + d.doc_id % 5 AS VARCHAR(9)), CAST(g.agent_ord AS VARCHAR(9))) END AS conf,
+   CASE WHEN l.quality = 1 THEN concat('0.', CAST(7 + d.doc_id % 3 AS VARCHAR(9)), CAST(d.agent_ord AS VARCHAR(9))) ELSE concat('0.', CAST(4 + d.doc_id % 5 AS VARCHAR(9)), CAST(d.agent_ord AS VARCHAR(9))) END AS conf,
    CASE d.doc_id % 6 WHEN 0 THEN 'financial_evidence' WHEN 1 THEN 'abuse_evidence' WHEN 2 THEN 'legal_violations'
      WHEN 3 THEN 'communications' WHEN 4 THEN 'court_records' ELSE 'other' END AS cat,
    concat('Theory ', CAST(d.doc_id % 4 AS VARCHAR(9))) AS theory1, concat('Theory ', CAST(4 + d.doc_id % 3 AS VARCHAR(9))) AS theory2,
-   concat('0.', CAST(1 + (d.doc_id + 2 * g.agent_ord) % 9 AS VARCHAR(9))) AS score1, concat('0.', CAST(1 + (2 * d.doc_id + g.agent_ord) % 9 AS VARCHAR(9)), '5') AS score2
+   concat('0.', CAST(1 + (d.doc_id + 2 * d.agent_ord) % 9 AS VARCHAR(9))) AS score1, concat('0.', CAST(1 + (2 * d.doc_id + d.agent_ord) % 9 AS VARCHAR(9)), '5') AS score2
   FROM {documents} d JOIN {orders} o ON o.o_orderkey = d.doc_id
   LEFT JOIN {labels} l ON l.doc_id = d.doc_id
-  CROSS JOIN (SELECT 1 AS agent_ord, 'document_intelligence' AS agent UNION ALL SELECT 2, 'legal_analysis' UNION ALL SELECT 3, 'pattern_discovery') g
  ) x
 ) y
 """
@@ -152,8 +153,10 @@ FROM (
 
 def ai_results(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of models: one row per document and agent."""
+    each = table(spark, folder, "documents").select(
+        "doc_id", F.posexplode(F.array(*[F.lit(a) for a in AGENTS])).alias("pos", "agent"))
     return spark.sql(
-        AI_RESULTS_SQL, documents=table(spark, folder, "documents"),
+        AI_RESULTS_SQL, documents=each.select("doc_id", "agent", (F.col("pos") + 1).alias("agent_ord")),
         orders=table(spark, folder, "orders"), labels=table(spark, folder, "labels"))
 
 
