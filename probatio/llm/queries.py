@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import jump_shards, piece_chunks, quality_lines
+from probatio.llm import jump_shards, piece_chunks, quality_lines, secret_ledger
 from probatio.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -20,6 +20,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_blob_ledger")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_ledger.digest(secret_ledger.scan_history(table(spark, folder, "documents"))[1])
+
+
 @query("op3_sentencepiece_chunks")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     decoded = piece_chunks.decode(piece_chunks.encode(table(spark, folder, "documents")))
