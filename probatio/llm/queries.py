@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import jump_shards, piece_chunks, quality_lines, secret_ledger
+from probatio.llm import benchmark_windows, jump_shards, piece_chunks, quality_lines, secret_ledger
 from probatio.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -40,6 +40,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept")
 
 
+@query("op8_prefix_windows")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_windows.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query("op9_jump_shards")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jump_shards.shard_documents(table(spark, folder, "documents"))
