@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import benchmark_windows, jump_shards, piece_chunks, quality_lines, secret_ledger
+from probatio.llm import benchmark_windows, jump_shards, packed_ids, piece_chunks, quality_lines, secret_ledger
 from probatio.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -49,3 +49,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_jump_shards")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jump_shards.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op10_packed_ids")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_ids.checksums(spark, *packed_ids.write_ids(table(spark, folder, "documents")))
