@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import benchmark_windows, jump_shards, packed_ids, piece_chunks, quality_lines, secret_ledger
+from probatio.llm import benchmark_windows, jump_shards, packed_ids, piece_chunks, quality_lines, secret_ledger, subword_quality
 from probatio.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -33,6 +33,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
                           F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query("op4_subword_embeddings")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = subword_quality.train(docs, table(spark, folder, "labels"))
+    return subword_quality.score(docs, model).select(
+        "doc_id", (subword_quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op5_cross_document_lines")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality_lines.quality_rules(table(spark, folder, "documents")).select(
