@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import benchmark_windows, jump_shards, packed_ids, piece_chunks, quality_lines, secret_ledger, subword_quality
+from probatio.llm import benchmark_windows, jump_shards, lattice_scores, packed_ids, piece_chunks, quality_lines, secret_ledger, subword_quality
 from probatio.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -25,6 +25,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.scan_history(table(spark, folder, "documents"))[1])
 
 
+@query("op2_subword_lattice")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lattice_scores.score_documents(
+        table(spark, folder, "documents"), "crc32(encode(coalesce(cast(doc_id AS string), ''), 'UTF-8')) % 7 != 2")
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 @query("op3_sentencepiece_chunks")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     decoded = piece_chunks.decode(piece_chunks.encode(table(spark, folder, "documents")))
