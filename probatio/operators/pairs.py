@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from probatio import lexicons as lx
 from probatio.functions import text as tx
 from probatio.operators.entities import names_in
+from probatio.operators.components import connected_components
 from probatio.operators.skew import attach_by_key
 from probatio.session import written
 
@@ -246,45 +247,8 @@ def semantic_neighbors(vectors: DataFrame, threshold: float = 0.85, n_pivots: in
 
 
 # ---- D16: clusters ---------------------------------------------------------------------
-def connected_clusters(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Component of each node, named by its smallest id. ``edges`` has id1, id2.
-
-    Alternates the large-star and small-star steps, which need few rounds whatever the
-    diameter. Minima are partial aggregates, so a node with very many edges is no single group; each
-    round is written to the shared folder, which ends its lineage. Stops when a round
-    changes nothing; not ending within ``max_rounds`` is an error, never a partial result.
-    """
-    current = written(edges.select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v"))
-                      .where("u <> v").distinct(), "edges")
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        # large: link the greater neighbours of each node to its minimum;
-        # small: link the smaller neighbours, and the node itself
-        if large:
-            both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            both = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.count("*").alias("degree"), F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = attach_by_key(both, low, "u", "degree", "v")
-        if large:
-            out = linked.where("v > u").select(F.col("m").alias("u"), F.col("v"))
-        else:
-            out = linked.select(F.col("m").alias("u"), F.col("v")).union(low.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        return out.where("u <> v").distinct()
-
-    for _ in range(max_rounds):
-        after = written(star(star(current, True), False), "edges")
-        changed = after.exceptAll(current).limit(1).count() + current.exceptAll(after).limit(1).count()
-        current = after
-        if changed == 0:
-            # every node now hangs directly on the smallest node of its component
-            roots = current.select(F.col("u").alias("id"), F.col("u").alias("cluster_id"))
-            return current.select(F.col("v").alias("id"), F.col("u").alias("cluster_id")).union(roots).distinct()
-    raise RuntimeError(f"clusters did not settle within {max_rounds} rounds")
-
-
 def semantic_clusters(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Cluster of each vector over its D15 neighbours; a vector without any is its own."""
-    found = connected_clusters(semantic_neighbors(vectors, threshold))
+    found = connected_components(semantic_neighbors(vectors, threshold))
     return vectors.select(F.col("vec_id").alias("id")).join(found, "id", "left").select(
         "id", F.coalesce("cluster_id", "id").alias("cluster_id"))

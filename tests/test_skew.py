@@ -12,6 +12,7 @@ from probatio.config import UsageLimits
 from probatio.operators import ai_tables as ai
 from probatio.operators import dedup as dd
 from probatio.operators import pairs as pr
+from probatio.operators.components import connected_components
 from probatio.operators.skew import attach_by_key, blocked_row_number, top_per_key
 
 
@@ -107,7 +108,7 @@ def test_clusters_of_chain_star_and_ring(spark):
     chain = [(i, i + 1) for i in range(0, 40)]
     star = [(100, 100 + i) for i in range(1, 30)]
     ring = [(200 + i, 200 + (i + 1) % 9) for i in range(9)]
-    got = {r["id"]: r["cluster_id"] for r in pr.connected_clusters(
+    got = {r["id"]: r["cluster_id"] for r in connected_components(
         spark.createDataFrame(chain + star + ring, "id1 long, id2 long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(9)}}
 
