@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import benchmark_windows, jump_shards, lattice_scores, packed_ids, piece_chunks, quality_lines, secret_ledger, subword_quality
+from probatio.llm import benchmark_windows, jaccard_join, jump_shards, lattice_scores, packed_ids, piece_chunks, quality_lines, secret_ledger, subword_quality
 from probatio.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -57,6 +57,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept")
 
 
+@query("op7_set_relations")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("key")
+
+
 @query("op8_prefix_windows")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_windows.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
