@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import benchmark_windows, jaccard_join, jump_shards, lattice_scores, packed_ids, piece_chunks, quality_lines, secret_ledger, subword_quality
+from probatio.llm import benchmark_windows, jaccard_join, jump_shards, lattice_scores, packed_ids, piece_chunks, quality_lines, repeated_bytes, secret_ledger, subword_quality
 from probatio.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -57,6 +57,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "base_failed", "kept")
 
 
+@query("op6_prefix_free_parsing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_bytes.repeated_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op7_set_relations")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("key")
