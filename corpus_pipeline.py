@@ -1,10 +1,15 @@
-"""A training-data pipeline: STAGES in order over ``documents``."""
+"""A training-data pipeline: STAGES in order over ``documents``.
+
+Each stage takes what the one before wrote and returns rows with the columns of ``documents``; the
+last returns token ids. Stages keep nulls, extra columns and repeated rows as their operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probatio.llm import quality_lines
+from probatio.llm import benchmark_windows, jaccard_join, piece_chunks, quality_lines, secret_ledger
 from probatio.llm.common import table
 from probatio.session import written
 
@@ -14,7 +19,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_lines.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document of smallest id."""
+    return jaccard_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ``benchmark``."""
+    return benchmark_windows.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return secret_ledger.redact(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of each document."""
+    return piece_chunks.decode(piece_chunks.encode(docs)).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join_stage),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+#: SQL has no SentencePiece; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -22,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each reads what the one before wrote."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
