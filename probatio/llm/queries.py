@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from probatio.llm import benchmark_windows, jaccard_join, jump_shards, lattice_scores, packed_ids, piece_chunks, quality_lines, repeated_bytes, secret_ledger, subword_quality
 from probatio.llm.common import table
+from probatio.llm.oracles import SQL
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES = {}, SQL
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str):
     def add(fn):
         QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
         return fn
     return add
 
