@@ -122,7 +122,7 @@ def case_type_dims(ev: DataFrame, case_type: str) -> DataFrame:
 def map_category(categories: DataFrame, folders: list[str], review: str = lx.REVIEW_FOLDER) -> DataFrame:
     """First folder whose name contains the category, else review."""
     rules = [(F.contains(F.lit(f.upper()), F.upper("category")), F.lit(f)) for f in folders]
-    return categories.select("category", tx.first_rule(rules, review).alias("folder"))
+    return categories.select("*", tx.first_rule(rules, review).alias("folder"))
 
 
 def filename_categorize(ev: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio.functions import text as tx
+from probatio.session import written
 from probatio.operators.skew import attach_by_key, blocked_row_number
 
 
@@ -73,16 +74,29 @@ def integrity_check(custody: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def name_conflicts(targets: DataFrame, block_size: int = 100_000) -> DataFrame:
-    """The n-th file of one name in one folder gets ``_n`` before its extension.
+    """Each file gets a name no other file of its folder has.
 
-    Numbering runs per block of ids with offsets, so one popular name is no single task.
+    The first file of a name keeps it; the others get the smallest numbers ``_n`` before the extension
+    that no file of the folder bears. The j-th of them has to pass the taken numbers that lie before
+    the j-th free one, so files and taken numbers are ordered together, by free numbers before them.
+    Numbering runs per block with offsets, so one popular name is no single task.
     """
-    numbered = blocked_row_number(targets, ["folder", "file_name"], "doc_id",
-                                  F.floor(F.col("doc_id") / block_size))
-    name = F.col("file_name")
-    return numbered.select(
-        "doc_id", "folder", F.when(F.col("row_no") == 1, name).otherwise(F.concat(
-            tx.stem_of(name), F.lit("_"), (F.col("row_no") - 1).cast("string"), tx.suffix_of(name))).alias("unique_name"))
+    name, keys = F.col("file_name"), ["folder", "stem", "suffix"]
+    names = written(targets.select("doc_id", "folder", "file_name"), "names")  # what made them is not done again
+    numbered = blocked_row_number(names, ["folder", "file_name"], "doc_id", F.floor(F.col("doc_id") / block_size))
+    split = written(numbered.withColumn("stem", tx.stem_of(name)).withColumn("suffix", tx.suffix_of(name)), "names")
+    others = split.where("row_no > 1").select("doc_id", *keys, (F.col("row_no") - 1).alias("place"))
+    number = F.regexp_extract("stem", r"_([1-9][0-9]{0,17})$", 1)
+    taken = split.where("row_no = 1").withColumn("n", number).where("n <> ''").select(
+        F.lit(None).cast("long").alias("doc_id"), "folder", F.regexp_replace("stem", r"_[0-9]+$", "").alias("stem"), "suffix",
+        F.col("n").cast("long").alias("n")).join(others.select(*keys).distinct(), keys, "left_semi")
+    ranked = blocked_row_number(taken, keys, "n", F.floor(F.col("n") / block_size))
+    # numbers free before it, plus a half: a taken number comes before the file with one place more
+    both = ranked.select("doc_id", *keys, (F.col("n") - F.col("row_no") + 0.5).alias("at")).unionByName(
+        others.select("doc_id", *keys, F.col("place").cast("double").alias("at")))
+    placed = blocked_row_number(both, keys, "at", F.floor(F.col("at") / block_size), "n").where("doc_id IS NOT NULL").select("doc_id", "n")
+    return split.join(placed, "doc_id", "left").select("doc_id", "folder", F.when(F.col("row_no") == 1, name).otherwise(
+        F.concat("stem", F.lit("_"), F.col("n").cast("string"), "suffix")).alias("unique_name"))
 
 
 def theory_assignment(categories: DataFrame, theories: DataFrame, root: str = "GENERAL_EVIDENCE") -> DataFrame:

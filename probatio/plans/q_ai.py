@@ -200,9 +200,9 @@ def _(spark, d):
 
 @query("health_status", """SELECT providers_up, agents_up, agents, CASE WHEN providers_up = 0 THEN 'critical' WHEN agents_up < agents / 2 THEN 'degraded' ELSE 'healthy' END AS system_health FROM (
   SELECT count(DISTINCT CASE WHEN available THEN provider END) AS providers_up, count(*) FILTER (available) AS agents_up, count(*) AS agents FROM (
-  SELECT concat(agent, '/', provider) AS agent, provider, bool_or(success AND doc_id % 97 = 0 AND agent_ord < 3 AND provider = 'provider_a') AS available FROM answers GROUP BY 1, 2) a) b""")
+  SELECT concat(agent, '/', provider) AS agent, provider, bool_or(success AND agent_ord < 3 AND provider = 'provider_a') AS available FROM answers GROUP BY 1, 2) a) b""")
 def _(spark, d):
-    up = F.max((F.col("success") & (F.col("doc_id") % 97 == 0) & (F.col("agent_ord") < 3) & (F.col("provider") == "provider_a")).cast("int")) == 1
+    up = F.max((F.col("success") & (F.col("agent_ord") < 3) & (F.col("provider") == "provider_a")).cast("int")) == 1
     agents = ai_results(spark, d).groupBy(F.concat_ws("/", "agent", "provider").alias("agent"), "provider").agg(up.alias("available"))
     return ai.health_status(agents)
 

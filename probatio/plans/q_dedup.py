@@ -103,20 +103,32 @@ def _(spark, d):
 
 @query("theory_assignment", "SELECT doc_id, coalesce(theory, '') AS theory, folder2 AS folder, concat(folder2, '/', regexp_replace(folder, '[^a-zA-Z0-9_\\-\\s]', '', 'g'), '/', file_name) AS target_path FROM ("
        "SELECT ev.doc_id, file_name, b.folder, t.theory, CASE WHEN t.theory IS NULL THEN 'GENERAL_EVIDENCE' ELSE concat('THEORY_', replace(replace(t.theory, '!', ''), ' ', '_')) END AS folder2 FROM ev JOIN cat_best b USING (doc_id) LEFT JOIN ("
-       "SELECT doc_id, arg_min(concat('Theory! No ', CAST(supp AS VARCHAR)), supp) AS theory FROM (SELECT l_orderkey AS doc_id, l_suppkey % 7 AS supp FROM lineitem WHERE l_suppkey % 10 < 2) l GROUP BY doc_id) t USING (doc_id)) x")
+       "SELECT doc_id, arg_min(concat('Theory! No ', CAST(supp AS VARCHAR)), supp) AS theory FROM (SELECT l_orderkey AS doc_id, l_suppkey % 7 AS supp FROM lineitem) l GROUP BY doc_id) t USING (doc_id)) x")
 def _(spark, d):
     supp = F.col("l_suppkey") % 7
-    theories = table(spark, d, "lineitem").where(F.col("l_suppkey") % 10 < 2).select(
+    theories = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), supp.alias("ord"), F.concat(F.lit("Theory! No "), supp.cast("string")).alias("theory_name"))
     files = plan.categorised(evidence(spark, d)).select("doc_id", "file_name", F.col("folder").alias("category_folder"))
     return dd.theory_assignment(files, theories)
 
 
-@query("name_conflicts", r"SELECT doc_id, folder, CASE WHEN rn = 1 THEN file_name ELSE concat(regexp_replace(file_name, '\.[^./]+$', ''), '_', CAST(rn - 1 AS VARCHAR), regexp_extract(file_name, '(\.[^./]+)$', 1)) END AS unique_name FROM ("
-       "SELECT doc_id, folder, file_name, row_number() OVER (PARTITION BY folder, file_name ORDER BY doc_id) AS rn FROM (SELECT ev.doc_id, b.folder, regexp_replace(ev.file_name, '_[0-9]+', '_', 'g') AS file_name FROM ev JOIN cat_best b USING (doc_id)) a) c")
+_NAMES = ("CASE ev.doc_id % 7 WHEN 0 THEN regexp_replace(ev.file_name, '_[0-9]+', '_1', 'g') WHEN 1 THEN regexp_replace(ev.file_name, '_[0-9]+', '_2', 'g') "
+          "ELSE regexp_replace(ev.file_name, '_[0-9]+', '', 'g') END")
+
+
+@query("name_conflicts", rf"""WITH n AS (SELECT doc_id, folder, file_name, regexp_replace(file_name, '\.[^./]+$', '') AS stem, regexp_extract(file_name, '(\.[^./]+)$', 1) AS suffix,
+  row_number() OVER (PARTITION BY folder, file_name ORDER BY doc_id) AS rn FROM (SELECT ev.doc_id, b.folder, {_NAMES} AS file_name FROM ev JOIN cat_best b USING (doc_id)) a),
+  most AS (SELECT folder, stem, suffix, max(rn) AS files FROM n GROUP BY 1, 2, 3),
+  free AS (SELECT folder, stem, suffix, k, row_number() OVER (PARTITION BY folder, stem, suffix ORDER BY k) AS place FROM (
+    SELECT folder, stem, suffix, unnest(range(1, files + 1 + (SELECT count(*) FROM n))) AS k FROM most WHERE files > 1) f
+    WHERE NOT EXISTS (SELECT 1 FROM n t WHERE t.folder = f.folder AND t.file_name = concat(f.stem, '_', CAST(f.k AS VARCHAR), f.suffix)))
+  SELECT doc_id, n.folder, CASE WHEN rn = 1 THEN file_name ELSE concat(n.stem, '_', CAST(k AS VARCHAR), n.suffix) END AS unique_name
+  FROM n LEFT JOIN free ON free.folder = n.folder AND free.stem = n.stem AND free.suffix = n.suffix AND free.place = n.rn - 1""")
 def _(spark, d):
-    files = plan.categorised(evidence(spark, d)).select("doc_id", "folder", F.regexp_replace("file_name", "_[0-9]+", "_").alias("file_name"))
-    return dd.name_conflicts(files, block_size=100)
+    def renamed(tail: str):
+        return F.regexp_replace("file_name", "_[0-9]+", tail)
+    name = F.when(F.col("doc_id") % 7 == 0, renamed("_1")).when(F.col("doc_id") % 7 == 1, renamed("_2")).otherwise(renamed(""))
+    return dd.name_conflicts(plan.categorised(evidence(spark, d)).select("doc_id", "folder", name.alias("file_name")), block_size=100)
 
 
 @query("stage_merge", "SELECT coalesce(e.doc_id, l.doc_id + 5) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END ELSE e.lang END AS lang, e.source, CAST(l.toxic AS BIGINT) AS toxic "

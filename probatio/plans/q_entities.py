@@ -189,8 +189,7 @@ _FOLDERS = list(lx.CASE_TYPE_FOLDERS["family_law"])
 def _(spark, d):
     cats = F.array(*map(F.lit, ["communications", "financial", "Court_Records", "reports", "unheard of"]))
     docs = table(spark, d, "documents").select("doc_id", F.element_at(cats, (F.col("doc_id") % 5 + 1).cast("int")).alias("category"))
-    return docs.select("doc_id", "category").join(
-        F.broadcast(ca.map_category(docs.select("category").distinct(), _FOLDERS)), "category")  # five categories
+    return ca.map_category(docs, _FOLDERS)
 
 
 _FNCAT = "CASE " + " ".join(f"WHEN {any_sql('lower(file_name)', w)} THEN {q(f)}" for f, w in lx.FILENAME_KEYWORDS.items()) + " ELSE 'FOR_HUMAN_REVIEW' END"

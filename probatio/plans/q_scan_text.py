@@ -176,10 +176,10 @@ def _(spark, d):
 
 @query("lexicon_load", r"""SELECT concat('item_', CAST(item_id AS VARCHAR)) AS group_name, 'words' AS sub_pattern, w AS keyword, 0.5::DOUBLE AS base_confidence,
   CASE WHEN item_id % 2 = 0 THEN 0.1 ELSE 0.05 END::DOUBLE AS boost, 'Pattern of ''words'' detected.' AS template
-  FROM (SELECT item_id, unnest(string_split(text, ' ')[1:4]) AS w FROM benchmark WHERE item_id % 5 <> 0)""")
+  FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark WHERE item_id % 5 <> 0)""")
 def _(spark, d):
     path = fresh_path(spark, "rules")
-    words = F.slice(F.split("text", " "), 1, 4)
+    words = F.split("text", " ")
     body = F.to_json(F.struct(
         words.alias("keywords"), F.when(F.col("item_id") % 2 == 0, 0.1).alias("default_confidence_boost")))
     broken = F.concat(F.lit('{"item_'), "item_id", F.lit('": "not a group"}'))
@@ -234,17 +234,17 @@ def _(spark, d):
 @query("sanitize_filename", r"""SELECT name, CASE WHEN length(c) <= 255 THEN c WHEN regexp_extract(c, '\.([^.]*)$', 1) <> '' THEN
   concat(substring(regexp_replace(c, '\.[^.]*$', ''), 1, 254 - length(regexp_extract(c, '\.([^.]*)$', 1))), '.', regexp_extract(c, '\.([^.]*)$', 1))
   ELSE substring(regexp_replace(c, '\.[^.]*$', ''), 1, 255) END AS sanitized FROM (SELECT name, regexp_replace(name, '[<>:"/\\|?*]', '_', 'g') AS c
-  FROM (SELECT concat(replace(substring(raw, 1, CAST(doc_id % 400 AS INT)), chr(10), ':'), file_path) AS name FROM ev))""")
+  FROM (SELECT concat(replace(raw, chr(10), ':'), file_path) AS name FROM ev))""")
 def _(spark, d):
-    name = F.concat(F.replace(F.substring(F.col("raw"), F.lit(1), (F.col("doc_id") % 400).cast("int")), F.lit("\n"), F.lit(":")), "file_path")
+    name = F.concat(F.replace("raw", F.lit("\n"), F.lit(":")), "file_path")
     return pj.sanitize_filename(evidence(spark, d).select(name.alias("name")))
 
 
 @query("sanitize_folder", r"""SELECT name, CASE WHEN name = '' THEN 'Unnamed_Folder' ELSE substring(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9_\-\s]', '', 'g'), '\s+', '_', 'g'), 1, 100) END AS folder_name
-  FROM (SELECT substring(raw, 1, CAST(doc_id % 200 AS INT)) AS name FROM ev)""")
+  FROM (SELECT raw AS name FROM ev)""")
 def _(spark, d):
     return pj.sanitize_folder(evidence(spark, d).select(
-        F.substring(F.col("raw"), F.lit(1), (F.col("doc_id") % 200).cast("int")).alias("name")))
+        F.col("raw").alias("name")))
 
 
 @query("format_size", "SELECT doc_id, CASE WHEN s = 0 THEN '0 B' WHEN s < 1024 THEN printf('%.1f B', s::DOUBLE) WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) "
@@ -273,17 +273,17 @@ def _(spark, d):
     return pj.required_fields(run_dup(spark, d), "doc_id", ["summary", "subcategory", "duplicate_of", "prejudicial_value", "reviewer"])
 
 
-_FOUR = ("(SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE content END AS content, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substring(raw, 1, 80) END AS summary, "
-         "CASE WHEN doc_id % 5 = 0 THEN concat('AI says: ', substring(raw, 5, 40)) ELSE '' END AS ai_summary, CASE WHEN doc_id % 8 = 0 THEN substring(raw, 9, 30) END AS ocr_text FROM ev)")
+_FOUR = ("(SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE content END AS content, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE raw END AS summary, "
+         "CASE WHEN doc_id % 5 = 0 THEN concat('AI says: ', raw) ELSE '' END AS ai_summary, CASE WHEN doc_id % 8 = 0 THEN raw END AS ocr_text FROM ev)")
 
 
 def four_texts(spark, d):
     ev = evidence(spark, d)
     return ev.select(
         "doc_id", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("content")).alias("content"),
-        F.when(F.col("doc_id") % 3 != 0, F.substring("raw", 1, 80)).alias("summary"),
-        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("AI says: "), F.substring("raw", 5, 40))).otherwise("").alias("ai_summary"),
-        F.when(F.col("doc_id") % 8 == 0, F.substring("raw", 9, 30)).alias("ocr_text"))
+        F.when(F.col("doc_id") % 3 != 0, F.col("raw")).alias("summary"),
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("AI says: "), "raw")).otherwise("").alias("ai_summary"),
+        F.when(F.col("doc_id") % 8 == 0, F.col("raw")).alias("ocr_text"))
 
 
 @query("text_sources", " UNION ALL ".join(

@@ -15,11 +15,11 @@ from probatio.streaming.run import drained, upserted
 
 
 def _files(spark, d):
-    return evidence(spark, d, stream_table(spark, d, "documents"))
+    return evidence(spark, d, stream_table(spark, d, "documents", "doc_id"))
 
 
 def _usage(spark, d):
-    return spark.sql(USAGE_SQL, events=stream_table(spark, d, "events")).withColumn("usage_key", F.col("usage_key") % 15)
+    return spark.sql(USAGE_SQL, events=stream_table(spark, d, "events", "ts")).withColumn("usage_key", F.col("usage_key") % 15)
 
 
 @query("stream_ingest", f"SELECT doc_id, file_hash, file_type, category, subcategory, new_name, {r6('overall_impact')} AS overall_impact, requires_human_review FROM scored")
@@ -37,18 +37,18 @@ def _(spark, d):
 @query("stream_periods", "SELECT strftime(p, '%Y-%m-%d %H:%M:%S') AS period_start, strftime(p + INTERVAL '1 day', '%Y-%m-%d %H:%M:%S') AS period_end, event_type, count(*) AS events, " + r6("sum(value)") + " AS total, count(*) >= 60 AS high_activity FROM "
        "(SELECT *, date_trunc('day', ts) AS p FROM events) e WHERE p + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY p, event_type")
 def _(spark, d):
-    return drained(jobs.stream_periods(stream_table(spark, d, "events"), busy=60), "periods")
+    return drained(jobs.stream_periods(stream_table(spark, d, "events", "ts"), busy=60), "periods")
 
 
 @query("stream_months", "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS events, count(*) >= 3 AS high_activity FROM events GROUP BY 1, 2")
 def _(spark, d):
-    return upserted(jobs.stream_months(stream_table(spark, d, "events")), ["month", "event_type"], "months")
+    return upserted(jobs.stream_months(stream_table(spark, d, "events", "ts")), ["month", "event_type"], "months")
 
 
 @query("stream_sessions", "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS events FROM (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM ("
        "SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS nw FROM events) a) b GROUP BY user_id, run HAVING max(ts) + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)")
 def _(spark, d):
-    return drained(jobs.stream_sessions(stream_table(spark, d, "events")), "sessions")
+    return drained(jobs.stream_sessions(stream_table(spark, d, "events", "ts")), "sessions")
 
 
 @query("stream_usage", f"SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, usage_key, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, {r6('sum(cost)')} AS cost, sum(tokens) >= {LIMITS.tokens_per_hour} OR round(sum(cost), 9) >= {LIMITS.cost_per_hour} AS over_limit FROM "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -35,12 +38,17 @@ def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int =
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, one machine) is a fresh folder made and
-    remembered in the session, so that all steps of one session share it.
+    A session on one machine that lacks the setting gets a fresh folder, removed when Python ends
+    and remembered in the session, so that all its steps share it. On a cluster that would be a
+    different folder on every executor, so there the setting must be made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="probatio-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

@@ -11,25 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probatio.session import fresh_path
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table as a stream of arriving files."""
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than there are cores.
+def stream_table(spark: SparkSession, folder: str, name: str, order: str, files: int = 4) -> DataFrame:
+    """The same table as a stream of ``files`` batches, in ascending order of a column.
 
-    Text operators are bound by computing, and one small file is one task. Only the number of
-    splits is looked at; data of cluster size has many more, and is left as it is.
+    The table is laid out anew as one folder of files per batch, written one after the other.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    rows = table(spark, folder, name)
+    kind = rows.schema[order].dataType.typeName()
+    key = F.coalesce((F.col(order).cast("timestamp") if "timestamp" in kind else F.col(order)).cast("double"), F.lit(0.0))
+    number = rows.select(key.alias("v")).stat.approxQuantile("v", [k / files for k in range(1, files)], 0.01)
+    path = fresh_path(spark, f"arriving-{name}")
+    for low, high in zip([None, *number], [*number, None]):
+        part = rows.where((F.lit(True) if low is None else key > low) & (F.lit(True) if high is None else key <= high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 # {documents} {orders} {customer} are bound by the engine that runs the statement.
@@ -60,25 +62,24 @@ FROM (
     ELSE concat('Nothing of note, ', n1, ' and ', n2, ' agree.') END,
     CASE WHEN doc_id % 4 = 1 THEN concat(' A follow-up with ', n2, ' about payment came on ', d2, ' at 14:05:09, perhaps earlier than 2/30/2020.') ELSE '' END) AS sentence
  FROM (
-  SELECT d.doc_id, d.text AS raw, d.lang, d.source, c.c_name AS party, o.o_orderdate,
-   CASE CAST(floor(d.doc_id / 3) AS BIGINT) % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.pdf' WHEN 2 THEN '.docx'
+  SELECT f.doc_id, f.text AS raw, f.lang, f.source, f.c_name AS party, f.o_orderdate,
+   CASE CAST(floor(f.doc_id / 3) AS BIGINT) % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.pdf' WHEN 2 THEN '.docx'
      WHEN 3 THEN '.eml' WHEN 4 THEN '.png' WHEN 5 THEN '.csv' WHEN 6 THEN '.zip' ELSE '.xyz' END AS ext,
-   CASE CAST(floor(d.doc_id / 8) AS BIGINT) % 6
+   CASE CAST(floor(f.doc_id / 8) AS BIGINT) % 6
      WHEN 0 THEN concat(mm, '/', dd, '/', yy) WHEN 1 THEN concat(yy, '-', mm, '-', dd)
      WHEN 2 THEN concat(mon, ' ', d0, ', ', yy) WHEN 3 THEN concat(d0, ' ', mon, ' ', yy)
      WHEN 4 THEN concat(mm, '-', dd, '-', yy) ELSE concat(dd, '/', mm, '/', y2) END AS d1,
    concat(yy, '-', mm, '-', CASE WHEN CAST(dd AS INT) < 15 THEN '28' ELSE '09' END) AS d2,
-   CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS VARCHAR(20)) AS amt,
-   lpad(CAST(c.c_custkey % 1000 AS VARCHAR(9)), 3, '0') AS ph3,
-   lpad(CAST(d.doc_id % 10000 AS VARCHAR(9)), 4, '0') AS ph4,
-   concat(CASE c.c_custkey % 6 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch' WHEN 2 THEN 'Cedar' WHEN 3 THEN 'Dorian'
-      WHEN 4 THEN 'Elm' ELSE 'Fern' END, ' ', CASE c.c_custkey % 4 WHEN 0 THEN 'Northgate' WHEN 1 THEN 'Eastwick'
+   CAST(CAST(floor(f.o_totalprice) AS BIGINT) AS VARCHAR(20)) AS amt,
+   lpad(CAST(f.c_custkey % 1000 AS VARCHAR(9)), 3, '0') AS ph3,
+   lpad(CAST(f.doc_id % 10000 AS VARCHAR(9)), 4, '0') AS ph4,
+   concat(CASE f.c_custkey % 6 WHEN 0 THEN 'Alder' WHEN 1 THEN 'Birch' WHEN 2 THEN 'Cedar' WHEN 3 THEN 'Dorian'
+      WHEN 4 THEN 'Elm' ELSE 'Fern' END, ' ', CASE f.c_custkey % 4 WHEN 0 THEN 'Northgate' WHEN 1 THEN 'Eastwick'
       WHEN 2 THEN 'Southall' ELSE 'Westbrook' END) AS n1,
-   concat(CASE d.doc_id % 5 WHEN 0 THEN 'Gale' WHEN 1 THEN 'Hazel' WHEN 2 THEN 'Iris' WHEN 3 THEN 'Juniper'
-      ELSE 'Kestrel' END, ' ', CASE d.doc_id % 3 WHEN 0 THEN 'Marsh' WHEN 1 THEN 'Field' ELSE 'Stone' END) AS n2
-  FROM {documents} d
-  JOIN (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice,
-          lpad(CAST(extract(month FROM o_orderdate) AS VARCHAR(9)), 2, '0') AS mm,
+   concat(CASE f.doc_id % 5 WHEN 0 THEN 'Gale' WHEN 1 THEN 'Hazel' WHEN 2 THEN 'Iris' WHEN 3 THEN 'Juniper'
+      ELSE 'Kestrel' END, ' ', CASE f.doc_id % 3 WHEN 0 THEN 'Marsh' WHEN 1 THEN 'Field' ELSE 'Stone' END) AS n2
+  FROM (
+   SELECT e.*, lpad(CAST(extract(month FROM o_orderdate) AS VARCHAR(9)), 2, '0') AS mm,
           lpad(CAST(extract(day FROM o_orderdate) AS VARCHAR(9)), 2, '0') AS dd,
           CAST(extract(day FROM o_orderdate) AS VARCHAR(9)) AS d0,
           CAST(extract(year FROM o_orderdate) AS VARCHAR(9)) AS yy,
@@ -87,8 +88,12 @@ FROM (
            WHEN 3 THEN 'March' WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June'
            WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October'
            WHEN 11 THEN 'November' ELSE 'December' END AS mon
-        FROM {orders}) o ON o.o_orderkey = d.doc_id
-  JOIN {customer} c ON c.c_custkey = o.o_custkey
+   FROM (
+    SELECT d.doc_id, d.text, d.lang, d.source, coalesce(o.o_orderdate, TIMESTAMP '2000-01-01 00:00:00') AS o_orderdate,
+           coalesce(o.o_totalprice, 0) AS o_totalprice, coalesce(c.c_custkey, 0) AS c_custkey, coalesce(c.c_name, 'No party') AS c_name
+    FROM {documents} d LEFT JOIN {orders} o ON o.o_orderkey = d.doc_id LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey
+   ) e
+  ) f
  ) a
 ) b
 """
@@ -101,7 +106,7 @@ def evidence(spark: SparkSession, folder: str, documents: DataFrame | None = Non
     extracted from it. ``documents`` may be a stream.
     """
     if documents is None:
-        documents = spread(table(spark, folder, "documents"))
+        documents = table(spark, folder, "documents")
     base = spark.sql(
         EVIDENCE_SQL, documents=documents,
         orders=table(spark, folder, "orders"), customer=table(spark, folder, "customer"))
@@ -138,13 +143,13 @@ FROM (
   SELECT d.doc_id, d.agent, d.agent_ord, 'all' AS case_theory,
    CASE WHEN (d.doc_id + d.agent_ord) % 2 = 0 THEN 'provider_a' ELSE 'provider_b' END AS provider,
    500 + d.doc_id % 700 + 10 * d.agent_ord AS tokens_used, (d.doc_id + d.agent_ord) % 11 <> 0 AS success,
-   o.o_orderdate AS ts,
+   coalesce(o.o_orderdate, TIMESTAMP '2000-01-01 00:00:00') AS ts,
    CASE WHEN l.quality = 1 THEN concat('0.', CAST(7 + d.doc_id % 3 AS VARCHAR(9)), CAST(d.agent_ord AS VARCHAR(9))) ELSE concat('0.', CAST(4 + d.doc_id % 5 AS VARCHAR(9)), CAST(d.agent_ord AS VARCHAR(9))) END AS conf,
    CASE d.doc_id % 6 WHEN 0 THEN 'financial_evidence' WHEN 1 THEN 'abuse_evidence' WHEN 2 THEN 'legal_violations'
      WHEN 3 THEN 'communications' WHEN 4 THEN 'court_records' ELSE 'other' END AS cat,
    concat('Theory ', CAST(d.doc_id % 4 AS VARCHAR(9))) AS theory1, concat('Theory ', CAST(4 + d.doc_id % 3 AS VARCHAR(9))) AS theory2,
    concat('0.', CAST(1 + (d.doc_id + 2 * d.agent_ord) % 9 AS VARCHAR(9))) AS score1, concat('0.', CAST(1 + (2 * d.doc_id + d.agent_ord) % 9 AS VARCHAR(9)), '5') AS score2
-  FROM {documents} d JOIN {orders} o ON o.o_orderkey = d.doc_id
+  FROM {documents} d LEFT JOIN {orders} o ON o.o_orderkey = d.doc_id
   LEFT JOIN {labels} l ON l.doc_id = d.doc_id
  ) x
 ) y

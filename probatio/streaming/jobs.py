@@ -29,14 +29,17 @@ def stream_ingest(ev: DataFrame, cfg: ScoringConfig = ScoringConfig(), rules: li
     return scored(ev, cfg, rules)
 
 
-def stream_dedup(ev: DataFrame, time_column: str = "modified_ts", delay: str = "1 day") -> DataFrame:
+def stream_dedup(ev: DataFrame, arrival: str | None = None, delay: str = "1 day") -> DataFrame:
     """First arrival of each hash within the watermark.
 
-    Unlike the batch search, a copy that arrives later than ``delay`` after its original counts as new:
-    hashes are not kept for ever.
+    The watermark follows arrival, by default the time of the batch that reads a file, so no file is
+    too old to come out. Unlike the batch search, a copy that arrives later than ``delay`` after its
+    original counts as new: hashes are not kept for ever.
     """
-    return timed(ev.where(F.coalesce("file_hash", F.lit("")) != ""), time_column, delay) \
-        .dropDuplicatesWithinWatermark(["file_hash"])
+    seen = ev.where(F.coalesce("file_hash", F.lit("")) != "")
+    if arrival is None:
+        seen, arrival = seen.withColumn("arrival_ts", F.current_timestamp()), "arrival_ts"
+    return timed(seen, arrival, delay).dropDuplicatesWithinWatermark(["file_hash"])
 
 
 def stream_periods(events: DataFrame, period: str = "1 day", delay: str = "1 hour", busy: int = 3) -> DataFrame:
@@ -65,7 +68,8 @@ def stream_usage(usage: DataFrame, limits: UsageLimits = UsageLimits(), length:
     """Sliding totals per key with an over-limit flag (an approximation of the exact batch windows)."""
     out = (timed(usage, "ts", delay).groupBy(F.window("ts", length, step).alias("w"), "usage_key")
            .agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost")))
-    over = (F.col("tokens") >= limits.tokens_per_hour) | (F.round("cost", 9) >= limits.cost_per_hour)
+    over = (F.col("tokens") >= limits.tokens_per_hour) | (F.round("cost", 9) >= limits.cost_per_hour) \
+        | (F.col("requests") >= limits.requests_per_minute * F.lit(pd.Timedelta(length).total_seconds() / 60))
     return out.select(F.col("w.start").alias("window_start"), "usage_key", "requests", "tokens", "cost", over.alias("over_limit"))
 
 

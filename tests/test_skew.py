@@ -58,6 +58,13 @@ def test_name_conflicts_of_one_popular_name(spark):
     assert got == ["a.b.txt"] + [f"a.b_{i}.txt" for i in range(1, 50)]
 
 
+def test_name_conflicts_leave_taken_names(spark):
+    names = ["a.txt", "a_1.txt", "a.txt", "a.txt", "a_3.txt", "a.txt", "a_1.txt"]
+    df = spark.createDataFrame([(i, "F", n) for i, n in enumerate(names)] + [(99, "G", "a.txt")], "doc_id long, folder string, file_name string")
+    got = [r["unique_name"] for r in dd.name_conflicts(df, block_size=2).orderBy("doc_id").collect()]
+    assert got == ["a.txt", "a_1.txt", "a_2.txt", "a_4.txt", "a_3.txt", "a_5.txt", "a_1_1.txt", "a.txt"]
+
+
 @pytest.mark.parametrize("block", [3, 5000])
 def test_similarity_equals_brute_force(spark, block):
     rng = random.Random(11)

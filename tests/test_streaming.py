@@ -39,6 +39,14 @@ def test_first_copy_wins_across_files(spark, tmp_path):
     assert {r["doc_id"] for r in got if r["file_hash"] == "same"} <= {1, 2}
 
 
+def test_an_old_file_that_arrives_late_still_comes_out(spark, tmp_path):
+    schema = "doc_id long, file_hash string, modified_ts timestamp"
+    for n, day in enumerate((dt.datetime(2024, 6, 1), dt.datetime(2024, 6, 2), dt.datetime(2020, 1, 1))):
+        spark.createDataFrame([(n, f"hash{n}", day)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        drain(jobs.stream_dedup(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).select("doc_id", "file_hash"), tmp_path)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2]
+
+
 def test_sessions_merge_at_exactly_the_gap(spark, tmp_path):
     hours = [0, 6, 12, 30, 100]
     spark.createDataFrame([(7, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for h in hours], "user_id long, ts timestamp") \
