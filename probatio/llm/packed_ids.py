@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probatio.llm.common import id_and_text, package_path
+from probatio.llm.words import groups
 from probatio.session import fresh_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -125,36 +126,101 @@ class PackedWriter:
 # ---- tokens ----------------------------------------------------------------------------------
 @functools.lru_cache(maxsize=1)
 def _library(path: str):
+    """(the library's tokenizer, bytes that each id stands for)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    library = Tokenizer.from_file(path)
+    # a byte-level vocabulary spells each byte as one character; added tokens are spelled as they are
+    lengths = np.zeros(library.get_vocab_size(), np.int64)
+    for token, number in library.get_vocab(with_added_tokens=False).items():
+        lengths[number] = len(token)
+    for number, token in library.get_added_tokens_decoder().items():
+        lengths[number] = len(token.content.encode())
+    return library, lengths
 
 
 class WordTable:
     """Ids of distinct words by the library. Its pattern never joins a character to a blank behind
-    it, so a text splits before each blank that follows a word; equal pieces have equal ids. The
-    table is emptied at ``limit`` entries, which bounds memory and changes no result."""
+    it, so a text splits before each blank that follows a word, and equal pieces have equal ids.
+    The table is keyed by the word behind the blank, or by (word,) for a text's first piece.
+
+    Words are numbered; their ids lie in one array, and those of a text are gathered from it by
+    number. When ``limit`` words are held, those met in one group of texts only are forgotten, and
+    of the others the less used half: that bounds memory and changes no result.
+    """
 
     def __init__(self, path: str, limit: int):
-        self.library, self.limit, self.ids = _library(path), limit, {}
-
-    def _ids(self, pieces: list[str]) -> Iterator[int]:
-        new = list({p for p in pieces if p not in self.ids})
-        if len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
-            new = list(set(pieces))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[piece] = found.ids
-        return itertools.chain.from_iterable(map(self.ids.__getitem__, pieces))
-
-    def encode(self, text: str) -> np.ndarray:
+        (self.library, self.bytes_of), self.limit = _library(path), limit
+        self._keep([], np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _keep(self, words: list, pool: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+        self.number = dict(zip(words, range(len(words)), strict=True))
+        self.pool, self.lengths, self.uses = pool, lengths, uses
+        self.starts = np.cumsum(lengths) - lengths
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[numbers]
+        before = np.cumsum(lengths) - lengths
+        return self.pool[np.arange(int(lengths.sum())) + np.repeat(self.starts[numbers] - before, lengths)]
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:self.limit // 2]])
+        words = list(self.number)
+        self._keep([words[k] for k in kept], self._gather(kept), self.lengths[kept], self.uses[kept] // 2)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list) -> None:
+        """Encodes new words: many in one text where the next word's blank ends each, by itself where
+        the word is a first piece or ends in space, which its successor would change."""
+        single = [w for w in words if isinstance(w, tuple) or not w or w[-1].isspace()]
+        alone = set(single)
+        joined = [w for w in words if w not in alone] if alone else words
+        groups_ = [joined[k:k + 500] for k in range(0, len(joined), 500)]
+        found = [np.array(ids, np.uint32) for ids in self._encoded([" " + " ".join(g) for g in groups_])]
+        lengths = []
+        for g, ids in zip(groups_, found, strict=True):
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in g), np.int64, len(g)))
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "right")
+            lengths.append(np.diff(upto, prepend=0))
+        for ids in self._encoded([w[0] if isinstance(w, tuple) else " " + w for w in single]):
+            found.append(np.array(ids, np.uint32))
+            lengths.append(np.array([len(ids)]))
+        lengths = np.concatenate(lengths)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.pool = np.concatenate([self.pool, *found])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.number.update(zip(itertools.chain(joined, single), range(len(self.number), len(self.number) + len(words)), strict=True))
+
+    @staticmethod
+    def pieces(text: str) -> list:
         if TWO_SPACES.search(text):
-            pieces = WORD_END.split(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + p for p in rest]]
-        return np.fromiter(self._ids(pieces), np.uint32)
+            first, *rest = WORD_END.split(text)
+            return [(first,), *[p[1:] for p in rest]]
+        parts = text.split(" ")
+        parts[0] = (parts[0],)
+        return parts
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text."""
+        parts = [self.pieces(t) for t in texts]
+        distinct = set(itertools.chain.from_iterable(parts))
+        new = [w for w in distinct if w not in self.number]
+        if len(self.number) + len(new) > self.limit and self.number:
+            self._forget()
+            new = [w for w in distinct if w not in self.number]
+        if new:
+            self._learn(new)
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        numbers = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        self.uses[numbers] += 1  # once for each distinct number
+        ends = np.cumsum(self.lengths[numbers])[np.cumsum(counts) - 1]
+        return np.split(self._gather(numbers), ends[:-1])
 
 
 _TABLES: dict[tuple[str, int], WordTable] = {}
@@ -170,7 +236,7 @@ def word_table(path: str, limit: int) -> WordTable:
 # ---- Spark -----------------------------------------------------------------------------------
 def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 0,
               id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS,
-              file_ids: int = FILE_IDS, table_limit: int = 300_000) -> tuple[str, DataFrame]:
+              file_ids: int = FILE_IDS, table_limit: int = 600_000) -> tuple[str, DataFrame]:
     """(folder, manifest). Encodes every whole text, adds ``end_id`` and writes ids in ascending
     order of document id; a null text has only the end id, null ids come first, rows of one id
     follow each other.
@@ -203,13 +269,15 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
             rows.append((part, len(rows), name, len(writer.doc_ids), writer.starts[-1]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if writer is None:
-                    writer = PackedWriter(store.open_output_stream(f"{root}/_{part}-{attempt}-{len(rows)}"), width, block_ids)
-                writer.add(doc_id, np.append(table.encode(text), np.uint32(end_id)))
-                if writer.starts[-1] >= file_ids:
-                    finish()
-                    writer = None
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for a, b in groups([len(t) for t in texts]):
+                for doc_id, ids in zip(doc_ids[a:b], table.encode(texts[a:b]), strict=True):
+                    if writer is None:
+                        writer = PackedWriter(store.open_output_stream(f"{root}/_{part}-{attempt}-{len(rows)}"), width, block_ids)
+                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                    if writer.starts[-1] >= file_ids:
+                        finish()
+                        writer = None
         if writer is not None:
             finish()
         yield pa.RecordBatch.from_pydict(dict(zip(("part", "no", "file", "n_docs", "n_ids"), map(list, zip(*rows, strict=True)), strict=True))
