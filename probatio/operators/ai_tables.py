@@ -228,7 +228,9 @@ def agent_plan(ev: DataFrame, depth: str = "standard") -> DataFrame:
 def usage_windows(usage: DataFrame, limits: UsageLimits = UsageLimits(), minute: int = 60, hour: int = 3600) -> DataFrame:
     """Load before each request: requests of the last minute, tokens and cost of the last hour.
 
-    Only strictly younger than the window counts, and ties in time are ordered by request.
+    Only strictly younger than the window counts, and ties in time are ordered by request. The limits
+    are those of the settings times the key's rate multiplier before the request; requests and
+    tokens are cut to whole numbers.
     The ledger of a key is cut into blocks of one hour; each row also serves as context of the next
     block, which is as far as a window reaches. So one busy key is spread over its hours, each
     row is copied once at most, and the frames stay exact.
@@ -248,10 +250,14 @@ def usage_windows(usage: DataFrame, limits: UsageLimits = UsageLimits(), minute:
 
     out = rows.withColumn("requests_60s", load(F.lit(1), minute)).withColumn(
         "tokens_3600s", load(F.col("tokens"), hour)).withColumn("cost_3600s", load(F.col("cost"), hour))
-    over = ((F.col("requests_60s") >= limits.requests_per_minute) | (F.col("tokens_3600s") >= limits.tokens_per_hour)
-            | (F.round("cost_3600s", 9) >= limits.cost_per_hour))
-    hit = (F.when(F.col("requests_60s") >= limits.requests_per_minute, minute).when(over, hour).otherwise(0))
-    return out.where("o = 0").select("usage_key", "request_id", "us", "requests_60s", "tokens_3600s", "cost_3600s",
+    rates = rate_multiplier(usage).select("usage_key", "request_id", F.col("multiplier_before").alias("rate"))
+    out = out.where("o = 0").join(rates, ["usage_key", "request_id"])
+    per_minute = F.floor(F.round(F.col("rate") * limits.requests_per_minute, 9))
+    per_hour = F.floor(F.round(F.col("rate") * limits.tokens_per_hour, 9))
+    over = ((F.col("requests_60s") >= per_minute) | (F.col("tokens_3600s") >= per_hour)
+            | (F.round("cost_3600s", 9) >= F.round(F.col("rate") * limits.cost_per_hour, 9)))
+    hit = (F.when(F.col("requests_60s") >= per_minute, minute).when(over, hour).otherwise(0))
+    return out.select("usage_key", "request_id", "us", "requests_60s", "tokens_3600s", "cost_3600s",
                                      over.alias("over_limit"), hit.alias("window_seconds"))
 
 
@@ -314,9 +320,11 @@ def _replay(block: pd.DataFrame) -> pd.DataFrame:
     ordered = block.sort_values(["us", "request_id"])
     m, out = float(ordered["m0"].iloc[0]), []
     for ok, errors in zip(ordered["success"], ordered["errors_before"]):
+        before = m
         m, _ = rate_step(m, int(errors), bool(ok))
-        out.append(m)
-    return ordered[["usage_key", "request_id", "consecutive_errors"]].assign(multiplier=out)
+        out.append((before, m))
+    return ordered[["usage_key", "request_id", "consecutive_errors"]].assign(
+        multiplier=[after for _, after in out], multiplier_before=[before for before, _ in out])
 
 
 def rate_multiplier(usage: DataFrame, block_seconds: int = 86_400) -> DataFrame:
@@ -336,7 +344,7 @@ def rate_multiplier(usage: DataFrame, block_seconds: int = 86_400) -> DataFrame:
         F.collect_list(F.struct("a", "c", "lo", "hi")).over(earlier), F.lit(RATE_MAX),
         lambda m, x: F.least(F.greatest(x["a"] * m + x["c"], x["lo"]), x["hi"]))).select("usage_key", "b", "m0")
     return steps.join(start, ["usage_key", "b"]).groupBy("usage_key", "b").applyInPandas(
-        _replay, "usage_key bigint, request_id bigint, consecutive_errors bigint, multiplier double")
+        _replay, "usage_key bigint, request_id bigint, consecutive_errors bigint, multiplier double, multiplier_before double")
 
 
 def backoff(usage: DataFrame, limits: UsageLimits = UsageLimits()) -> DataFrame:

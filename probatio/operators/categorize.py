@@ -119,6 +119,31 @@ def case_type_dims(ev: DataFrame, case_type: str) -> DataFrame:
     return category_scores(ev, case_type_lexicon(case_type)).where("hits > 0")
 
 
+def case_type_hits(ev: DataFrame) -> DataFrame:
+    """C05 for every case type: files and hits of each keyword group and of each indicator list, those
+    without hits with zero."""
+    lower = F.col("lower_text")
+
+    def rule(case: str, kind: str, name: str, words: list[str]) -> Column:
+        hits = [F.contains(lower, F.lit(w.lower())).cast("int") for w in words]
+        return F.struct(F.lit(case).alias("case_type"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), sum(hits[1:], hits[0]).alias("hits"))
+
+    rules = [rule(c, "keywords", g, w) for c, groups in lx.CASE_TYPE_KEYWORDS.items() for g, w in groups.items()]
+    rules += [rule(c, "indicators", g, w) for c, groups in lx.CASE_TYPE_INDICATORS.items() for g, w in groups.items()]
+    rows = _lower_text(ev).select(F.explode(F.array(*rules)).alias("r")).select("r.*")
+    return rows.groupBy("case_type", "kind", "name").agg(F.sum((F.col("hits") > 0).cast("long")).alias("files"), F.sum("hits").alias("hits"))
+
+
+def case_type_folder(categories: DataFrame, review: str = lx.REVIEW_FOLDER) -> DataFrame:
+    """The folder each case type has for a category, else review."""
+    def of(case: str, folders: list[str]) -> Column:
+        rules = [(F.contains(F.lit(f.upper()), F.upper("category")), F.lit(f)) for f in folders]
+        return F.struct(F.lit(case).alias("case_type"), tx.first_rule(rules, review).alias("folder"))
+
+    return categories.select("*", F.explode(F.array(*[of(c, list(t)) for c, t in lx.CASE_TYPE_FOLDERS.items()])).alias("x")) \
+        .select(*categories.columns, "x.*")
+
+
 def map_category(categories: DataFrame, folders: list[str], review: str = lx.REVIEW_FOLDER) -> DataFrame:
     """First folder whose name contains the category, else review."""
     rules = [(F.contains(F.lit(f.upper()), F.upper("category")), F.lit(f)) for f in folders]

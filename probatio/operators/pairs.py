@@ -50,6 +50,12 @@ def _cooccurrence(ev: DataFrame, values: Column, names: tuple[str, str], step: f
     sets = _value_sets(ev, values).groupBy("vals").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
         F.max(F.size("vals")).alias("k")).where("k >= 2")
+    # a value of fewer files is in no pair: only the others are paired
+    sets = written(sets.withColumn("set_id", F.xxhash64("vals")), "value-sets")
+    one = sets.select("set_id", "n", "first_doc", "last_doc", F.explode("vals").alias("v"))
+    used = one.groupBy("v").agg(F.sum("n").alias("files"), F.count("*").alias("n_sets")).where(F.col("files") >= min_files)
+    sets = attach_by_key(one, used.select("v", "n_sets", "files"), "v", "n_sets", "set_id").where("files IS NOT NULL") \
+        .groupBy("set_id", "n", "first_doc", "last_doc").agg(F.sort_array(F.collect_set("v")).alias("vals"))
     pairs = _pairs_of(sets, "n", "first_doc", "last_doc").groupBy("a", "b").agg(
         F.sum("n").alias("n_files"), F.min("first_doc").alias("first_file"), F.max("last_doc").alias("last_file"))
     return pairs.where(F.col("n_files") >= min_files).select(
@@ -68,29 +74,56 @@ def term_cooccurrence(ev: DataFrame, terms: list[str] | None = None, min_files:
                          ("term1", "term2"), 0.25, 0.7, min_files)
 
 
+def _pair_files(sets: DataFrame, min_files: int) -> DataFrame:
+    """(a, b, doc_id) for pairs of values in several files. Sets (doc_id, vals) are written once; a
+    pair in very many files comes back by :func:`attach_by_key`."""
+    rows = _pairs_of(written(sets, "value-sets"), "doc_id").withColumn("pair", F.concat_ws("\0", "a", "b"))
+    kept = rows.groupBy("pair").agg(F.count("*").alias("files")).where(F.col("files") >= min_files)
+    return attach_by_key(rows, kept.withColumn("kept", F.lit(True)), "pair", "files", "doc_id").where("kept").select("a", "b", "doc_id")
+
+
 def name_pair_files(ev: DataFrame, min_files: int = 2) -> DataFrame:
-    """D06, the files of each pattern: one row per pair of names and file.
+    """D06, the files of each pattern: one row per pair of names and file."""
+    return _pair_files(_value_sets(ev, names_in(F.col("content"))), min_files).toDF("name1", "name2", "doc_id")
 
-    The join has one row per pair on one side, so a pair found in very many files can be split.
-    """
-    rows = _pairs_of(_value_sets(ev, names_in(F.col("content"))), "doc_id") \
-        .select(F.col("a").alias("name1"), F.col("b").alias("name2"), "doc_id")
-    kept = name_cooccurrence(ev, min_files).select("name1", "name2")
-    return rows.join(kept, ["name1", "name2"], "left_semi")
 
+def term_pair_files(ev: DataFrame, terms: list[str] | None = None, min_files: int = 2) -> DataFrame:
+    """D07, the files of each pattern: one row per pair of terms and file."""
+    found = tx.matched_words(F.lower("content"), terms or lx.LEGAL_TERMS)
+    return _pair_files(_value_sets(ev, found), min_files).toDF("term1", "term2", "doc_id")
 
-def communication_clusters(ev: DataFrame, min_files: int = 2) -> DataFrame:
-    """Groups of communication words and how many files use them (three groups)."""
+
+def _communication_rows(ev: DataFrame) -> DataFrame:
     lower = F.col("lower_text")
     groups = F.array_compact(F.array(*[F.when(tx.any_hit(lower, words), F.lit(name))
                                        for name, words in lx.COMMUNICATION_GROUPS.items()]))
-    rows = ev.select("doc_id", F.lower("content").alias("lower_text")).select(
+    return ev.select("doc_id", F.lower("content").alias("lower_text")).select(
         "doc_id", F.explode(groups).alias("communication_type"))
+
+
+def communication_files(ev: DataFrame, min_files: int = 2) -> DataFrame:
+    """D09, the files of each group. The other side of the join has one row per configured group."""
+    rows = written(_communication_rows(ev), "communication")
+    kept = rows.groupBy("communication_type").agg(F.count("*").alias("files")).where(F.col("files") >= min_files)
+    return rows.join(F.broadcast(kept.select("communication_type")), "communication_type", "left_semi")
+
+
+def communication_clusters(ev: DataFrame, min_files: int = 2) -> DataFrame:
+    """Groups of communication words and how many files use them (three groups)."""
+    rows = _communication_rows(ev)
     return (rows.groupBy("communication_type").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_file"))
             .where(F.col("n_files") >= min_files)
             .withColumn("confidence", F.least(F.lit(0.8), F.col("n_files") * 0.2)))
 
 
+def date_files(events: DataFrame, min_files: int = 2) -> DataFrame:
+    """D10, the files of each date: one row per date and file, with its number of events there."""
+    rows = written(events.groupBy("event_date", "doc_id").agg(F.count("*").alias("n_events")), "date-files")
+    kept = rows.groupBy("event_date").agg(F.count("*").alias("files")).where(F.col("files") >= min_files)
+    return attach_by_key(rows, kept.withColumn("kept", F.lit(True)), "event_date", "files", "doc_id").where("kept") \
+        .select("event_date", "doc_id", "n_events")
+
+
 def temporal_clusters(events: DataFrame, min_files: int = 2) -> DataFrame:
     """Dates that several files refer to. Counted per (date, file) first."""
     per_file = events.groupBy("event_date", "doc_id").agg(F.count("*").alias("n"))

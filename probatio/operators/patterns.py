@@ -51,6 +51,23 @@ def lexicon_patterns(texts: DataFrame, lexicon: list[tuple] | None = None) -> Da
         F.concat(title_case(F.col("group_name")), F.lit(": "), title_case(F.col("sub_pattern"))).alias("title"))
 
 
+def pattern_descriptions(ev: DataFrame, lexicon: list[tuple] | None = None, shown: int = 3) -> DataFrame:
+    """The sentence of each hit: the sub-pattern's template, the file, and the first keywords found
+    in the lexicon's order."""
+    text, lower = F.col("content"), F.col("lower_text")
+
+    def rule(group: str, sub: str, template: str, words: list[str]) -> Column:
+        found = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(w.lower())) & F.rlike(text, F.lit(tx.whole_word(w))), F.lit(w)) for w in words]))
+        sentence = template.replace("{sub_pattern_name}", sub.replace("_", " "))
+        return F.struct(F.lit(group).alias("group_name"), F.lit(sub).alias("sub_pattern"), F.lit(sentence).alias("sentence"), found.alias("found"))
+
+    rules = F.array(*[rule(g, s, t, w) for g, s, _b, t, _base, w in (lexicon or LEXICON_ROWS)])
+    rows = ev.withColumn("lower_text", F.lower("content")).select("doc_id", "file_name", F.explode(rules).alias("r")).where(F.size("r.found") > 0)
+    return rows.select("doc_id", "r.group_name", "r.sub_pattern", F.concat(
+        "r.sentence", F.lit(" Identified in '"), "file_name", F.lit("' based on keywords like '"),
+        F.array_join(F.slice("r.found", 1, shown), ", "), F.lit("'.")).alias("description"))
+
+
 def lexicon_patterns_joined(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """H01 for a lexicon too large for expressions: a join on words finds the keywords to look for.
 

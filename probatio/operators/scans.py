@@ -36,6 +36,15 @@ def unsupported_files(ev: DataFrame) -> DataFrame:
     return ext_category(ev).where(~F.col("supported")).select("file_path", "extension")
 
 
+def uncategorised_files(ev: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """Files in which no category has a keyword, which the scheme leaves to review."""
+    words = list(dict.fromkeys(w for ws in (lexicon or lx.CATEGORY_KEYWORDS).values() for w in ws))
+    rows = ev.select("file_path", "doc_id", F.lower(F.concat_ws(" ", "content", "file_name")).alias("lower_text"))
+    # a filter on the text itself would be pushed down and spell the text out once per word
+    told = rows.select("file_path", "doc_id", F.explode(F.array(tx.any_hit(F.col("lower_text"), words))).alias("hit"))
+    return told.where(~F.col("hit")).select("file_path", "doc_id")
+
+
 def mime_type(ev: DataFrame) -> DataFrame:
     """Extension to MIME type."""
     return ev.select("file_path", tx.lookup(

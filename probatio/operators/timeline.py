@@ -11,6 +11,7 @@ from probatio.functions.dates import parse_mention
 from probatio.operators.categorize import argument_col
 from probatio.operators.entities import participants_in
 from probatio.operators.scoring import strength_col
+from probatio.session import written
 
 
 # ---- mentions --------------------------------------------------------------------
@@ -212,6 +213,21 @@ def first_events(events: DataFrame, n: int = 10) -> DataFrame:
         .select("event_date", "doc_id", "position", "event_type", "title")
 
 
+def timeline_listing(events: DataFrame) -> DataFrame:
+    """The lines of the chronological listing; the first event of a year carries its heading.
+
+    Sort by ``event_date, doc_id, position, format, event_type`` to print. The firsts are at most one
+    row for each of the 10,000 years a date can have, so they are broadcast.
+    """
+    place = F.struct("event_date", "doc_id", "position", "format", "event_type")
+    rows = written(events.select("event_date", "doc_id", "position", "format", "event_type", "file_path", "description", "date_confidence"), "events")
+    firsts = rows.groupBy(F.year("event_date").alias("year")).agg(F.min(place).alias("first"))
+    heading = F.when(place == F.col("first"), F.concat(F.lit("=== "), F.col("year").cast("string"), F.lit(" ==="))).otherwise("")
+    return rows.withColumn("year", F.year("event_date")).join(F.broadcast(firsts), "year").select(
+        heading.alias("heading"), F.date_format("event_date", "MMMM dd, yyyy").alias("date"), "doc_id", "position", "format",
+        F.initcap(F.replace("event_type", F.lit("_"), F.lit(" "))).alias("type"), "file_path", "description", "date_confidence")
+
+
 def events_by_year(events: DataFrame) -> DataFrame:
     """Events per year; sort by year, date for the listing under year headings."""
     return events.groupBy(F.year("event_date").alias("year")).agg(

@@ -162,8 +162,6 @@ _UW = """SELECT usage_key, request_id, epoch_us(ts) AS us, success,
   coalesce(sum(cost) OVER (w RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW), 0) - own_c AS cost_3600s
   FROM (SELECT *, count(*) OVER s AS own_n, sum(tokens) OVER s AS own_t, sum(cost) OVER s AS own_c FROM ledger WINDOW s AS (PARTITION BY usage_key, ts ORDER BY request_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) x
   WINDOW w AS (PARTITION BY usage_key ORDER BY ts)"""
-COMMON["uwin"] = (f"SELECT *, requests_60s >= {LIMITS.requests_per_minute} OR tokens_3600s >= {LIMITS.tokens_per_hour} OR round(cost_3600s, 9) >= {LIMITS.cost_per_hour} AS over_limit, "
-                  f"CASE WHEN requests_60s >= {LIMITS.requests_per_minute} THEN 60 WHEN tokens_3600s >= {LIMITS.tokens_per_hour} OR round(cost_3600s, 9) >= {LIMITS.cost_per_hour} THEN 3600 ELSE 0 END AS window_seconds FROM ({_UW.replace(' OVER (w RANGE', ' OVER (PARTITION BY usage_key ORDER BY ts RANGE').replace('  WINDOW w AS (PARTITION BY usage_key ORDER BY ts)', '')}) w0")
 COMMON["errs"] = ("SELECT usage_key, request_id, success, CAST(row_number() OVER (PARTITION BY usage_key ORDER BY ts, request_id) - 1 - coalesce(last_ok, 0) AS BIGINT) AS errors_before FROM ("
                   "SELECT *, max(CASE WHEN success THEN i END) OVER (PARTITION BY usage_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ok FROM ("
                   "SELECT *, row_number() OVER (PARTITION BY usage_key ORDER BY ts, request_id) AS i FROM ledger) a) b")
@@ -173,7 +171,17 @@ def ledger(spark, d):
     return ai_usage(spark, d).withColumn("usage_key", F.col("usage_key") % 15)
 
 
-@query("usage_windows", f"SELECT usage_key, request_id, us, requests_60s, CAST(tokens_3600s AS BIGINT) AS tokens_3600s, {r6('cost_3600s')} AS cost_3600s, over_limit, CAST(window_seconds AS BIGINT) AS window_seconds FROM uwin")
+_FOLD = """WITH RECURSIVE steps AS (SELECT e.usage_key, e.request_id, e.success, CASE WHEN e.success THEN 0 ELSE e.errors_before + 1 END AS ce,
+  row_number() OVER (PARTITION BY e.usage_key ORDER BY l.ts, e.request_id) AS i FROM errs e JOIN ledger l ON l.request_id = e.request_id),
+  fold(usage_key, i, request_id, ce, m0, m) AS (SELECT usage_key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(1.0 AS DOUBLE), CAST(1.0 AS DOUBLE) FROM (SELECT DISTINCT usage_key FROM ledger) k
+  UNION ALL SELECT s.usage_key, s.i, s.request_id, s.ce, f.m, CASE WHEN s.success THEN least(1.0, f.m + 0.1) WHEN s.ce >= 3 THEN greatest(0.3, f.m * 0.7) ELSE f.m END FROM fold f JOIN steps s ON s.usage_key = f.usage_key AND s.i = f.i + 1)"""
+_BY_MINUTE = f"requests_60s >= floor(round(m0 * {LIMITS.requests_per_minute}, 9))"
+_BY_HOUR = f"(tokens_3600s >= floor(round(m0 * {LIMITS.tokens_per_hour}, 9)) OR round(cost_3600s, 9) >= round(m0 * {LIMITS.cost_per_hour}, 9))"
+_UWIN = _FOLD + (f", uwin AS (SELECT *, {_BY_MINUTE} OR {_BY_HOUR} AS over_limit, CASE WHEN {_BY_MINUTE} THEN 60 WHEN {_BY_HOUR} THEN 3600 ELSE 0 END AS window_seconds FROM ("
+                 f"{_UW.replace(' OVER (w RANGE', ' OVER (PARTITION BY usage_key ORDER BY ts RANGE').replace('  WINDOW w AS (PARTITION BY usage_key ORDER BY ts)', '')}) w0 JOIN (SELECT request_id, m0 FROM fold WHERE i > 0) f0 USING (request_id))")
+
+
+@query("usage_windows", f"{_UWIN} SELECT usage_key, request_id, us, requests_60s, CAST(tokens_3600s AS BIGINT) AS tokens_3600s, {r6('cost_3600s')} AS cost_3600s, over_limit, CAST(window_seconds AS BIGINT) AS window_seconds FROM uwin")
 def _(spark, d):
     return ai.usage_windows(ledger(spark, d), LIMITS)
 
@@ -184,16 +192,12 @@ def _(spark, d):
 
 
 # the fold, step by step over each key's requests
-@query("rate_multiplier", f"""WITH RECURSIVE steps AS (SELECT e.usage_key, e.request_id, e.success, CASE WHEN e.success THEN 0 ELSE e.errors_before + 1 END AS ce,
-  row_number() OVER (PARTITION BY e.usage_key ORDER BY l.ts, e.request_id) AS i FROM errs e JOIN ledger l ON l.request_id = e.request_id),
-  fold(usage_key, i, request_id, ce, m) AS (SELECT usage_key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(1.0 AS DOUBLE) FROM (SELECT DISTINCT usage_key FROM ledger) k
-  UNION ALL SELECT s.usage_key, s.i, s.request_id, s.ce, CASE WHEN s.success THEN least(1.0, f.m + 0.1) WHEN s.ce >= 3 THEN greatest(0.3, f.m * 0.7) ELSE f.m END FROM fold f JOIN steps s ON s.usage_key = f.usage_key AND s.i = f.i + 1)
-  SELECT usage_key, request_id, ce AS consecutive_errors, {r6('m')} AS multiplier FROM fold WHERE i > 0""")
+@query("rate_multiplier", f"{_FOLD} SELECT usage_key, request_id, ce AS consecutive_errors, {r6('m')} AS multiplier, {r6('m0')} AS multiplier_before FROM fold WHERE i > 0")
 def _(spark, d):
     return ai.rate_multiplier(ledger(spark, d))
 
 
-@query("backoff", f"SELECT u.usage_key, u.request_id, CAST(window_seconds AS BIGINT) AS window_seconds, errors_before, {r6(f'least(least(window_seconds * 0.1, 60.0) * pow(1.5, least(errors_before, 5)), {LIMITS.max_backoff_seconds})')} AS backoff_seconds FROM uwin u JOIN errs e ON e.request_id = u.request_id WHERE over_limit")
+@query("backoff", f"{_UWIN} SELECT u.usage_key, u.request_id, CAST(window_seconds AS BIGINT) AS window_seconds, errors_before, {r6(f'least(least(window_seconds * 0.1, 60.0) * pow(1.5, least(errors_before, 5)), {LIMITS.max_backoff_seconds})')} AS backoff_seconds FROM uwin u JOIN errs e ON e.request_id = u.request_id WHERE over_limit")
 def _(spark, d):
     return ai.backoff(ledger(spark, d), LIMITS)
 

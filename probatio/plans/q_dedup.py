@@ -101,6 +101,30 @@ def _(spark, d):
     return pr.communication_clusters(evidence(spark, d))
 
 
+@query("term_pair_files", "SELECT p.term1, p.term2, e.doc_id FROM (" + _pairs_sql("legal_terms", "term1", "term2", 0.25, 0.7)
+       + ") p JOIN esets e ON list_contains(legal_terms, term1) AND list_contains(legal_terms, term2)")
+def _(spark, d):
+    return pr.term_pair_files(evidence(spark, d))
+
+
+_COMM = " UNION ALL ".join(f"SELECT {q(g)} AS communication_type, doc_id FROM ev WHERE {any_sql('lower(content)', w)}" for g, w in lx.COMMUNICATION_GROUPS.items())
+
+
+@query("communication_files", f"SELECT communication_type, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY communication_type) AS n FROM ({_COMM}) c) x WHERE n >= 2")
+def _(spark, d):
+    return pr.communication_files(evidence(spark, d))
+
+
+@query("date_files", "SELECT strftime(dd, '%Y-%m-%d') AS event_date, doc_id, n_events FROM (SELECT *, count(*) OVER (PARTITION BY dd) AS n FROM (SELECT event_date AS dd, doc_id, count(*) AS n_events FROM events_all GROUP BY 1, 2) c) x WHERE n >= 2")
+def _(spark, d):
+    return pr.date_files(tl.timeline_events(plan.categorised(evidence(spark, d))))
+
+
+@query("uncategorised_files", "SELECT file_path, doc_id FROM ev JOIN cat_best USING (doc_id) WHERE category IS NULL")
+def _(spark, d):
+    return sn.uncategorised_files(evidence(spark, d))
+
+
 @query("theory_assignment", "SELECT doc_id, coalesce(theory, '') AS theory, folder2 AS folder, concat(folder2, '/', regexp_replace(folder, '[^a-zA-Z0-9_\\-\\s]', '', 'g'), '/', file_name) AS target_path FROM ("
        "SELECT ev.doc_id, file_name, b.folder, t.theory, CASE WHEN t.theory IS NULL THEN 'GENERAL_EVIDENCE' ELSE concat('THEORY_', replace(replace(t.theory, '!', ''), ' ', '_')) END AS folder2 FROM ev JOIN cat_best b USING (doc_id) LEFT JOIN ("
        "SELECT doc_id, arg_min(concat('Theory! No ', CAST(supp AS VARCHAR)), supp) AS theory FROM (SELECT l_orderkey AS doc_id, l_suppkey % 7 AS supp FROM lineitem) l GROUP BY doc_id) t USING (doc_id)) x")

@@ -196,6 +196,25 @@ _FNCAT = "CASE " + " ".join(f"WHEN {any_sql('lower(file_name)', w)} THEN {q(f)}"
 COMMON["fncat"] = f"SELECT doc_id, {_FNCAT} AS folder FROM ev"
 
 
+_HITS = [(c, k, g, w) for k, table_ in (("keywords", lx.CASE_TYPE_KEYWORDS), ("indicators", lx.CASE_TYPE_INDICATORS)) for c, gs in table_.items() for g, w in gs.items()]
+
+
+@query("case_type_hits", " UNION ALL ".join(
+    f"SELECT '{c}' AS case_type, '{k}' AS kind, '{g}' AS name, CAST(sum(CASE WHEN {hits_sql('lt', w)} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS files, CAST(sum({hits_sql('lt', w)}) AS BIGINT) AS hits FROM cat_text"
+    for c, k, g, w in _HITS))
+def _(spark, d):
+    return ca.case_type_hits(evidence(spark, d))
+
+
+@query("case_type_folder", " UNION ALL ".join(
+    f"SELECT doc_id, category, {q(c)} AS case_type, CASE " + " ".join(f"WHEN contains({q(f.upper())}, upper(category)) THEN {q(f)}" for f in tree)
+    + f" ELSE {q(lx.REVIEW_FOLDER)} END AS folder FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'communications' WHEN 1 THEN 'financial' WHEN 2 THEN 'Medical' WHEN 3 THEN 'reports' ELSE 'unheard of' END AS category FROM documents) x"
+    for c, tree in lx.CASE_TYPE_FOLDERS.items()))
+def _(spark, d):
+    cats = F.array(*map(F.lit, ["communications", "financial", "Medical", "reports", "unheard of"]))
+    return ca.case_type_folder(table(spark, d, "documents").select("doc_id", F.element_at(cats, (F.col("doc_id") % 5 + 1).cast("int")).alias("category")))
+
+
 @query("filename_categorize", "SELECT doc_id, folder FROM fncat")
 def _(spark, d):
     return ca.filename_categorize(evidence(spark, d))

@@ -47,6 +47,19 @@ def _(spark, d):
     return lexicon_patterns(spark, d)
 
 
+def _described() -> str:
+    parts = []
+    for group, sub, _b, template, words in lx.PATTERN_LEXICON:
+        found = "list_filter([" + ", ".join("CASE WHEN regexp_matches(txt, " + q(r"(?i)\b" + w.replace("-", "\\-") + r"\b") + f") THEN {q(w)} END" for w in words) + "], lambda x: x IS NOT NULL)"
+        parts.append(f"SELECT doc_id, '{group}' AS group_name, '{sub}' AS sub_pattern, {q(template.replace('{sub_pattern_name}', sub.replace('_', ' ')))} AS t, {found} AS f FROM lex_text")
+    return " UNION ALL ".join(parts)
+
+
+@query("pattern_descriptions", f"SELECT doc_id, group_name, sub_pattern, concat(t, ' Identified in \'\'', file_name, '\'\' based on keywords like \'\'', array_to_string(f[1:3], ', '), '\'\'.') AS description FROM ({_described()}) x JOIN ev USING (doc_id) WHERE len(f) > 0".replace("\\'", "'"))
+def _(spark, d):
+    return pt.pattern_descriptions(evidence(spark, d))
+
+
 @query("lexicon_patterns_joined", f"SELECT doc_id, source, group_name, sub_pattern, distinct_keywords, total_matches, {r6('confidence')} AS confidence FROM lexpat")
 def _(spark, d):
     return pt.lexicon_patterns_joined(pj.text_sources(evidence(spark, d), ["content"]), fs.default_lexicon(spark))

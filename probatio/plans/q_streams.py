@@ -51,7 +51,7 @@ def _(spark, d):
     return drained(jobs.stream_sessions(stream_table(spark, d, "events", "ts")), "sessions")
 
 
-@query("stream_usage", f"SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, usage_key, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, {r6('sum(cost)')} AS cost, sum(tokens) >= {LIMITS.tokens_per_hour} OR round(sum(cost), 9) >= {LIMITS.cost_per_hour} AS over_limit FROM "
+@query("stream_usage", f"SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, usage_key, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, {r6('sum(cost)')} AS cost, sum(tokens) >= {LIMITS.tokens_per_hour} OR round(sum(cost), 9) >= {LIMITS.cost_per_hour} OR count(*) >= {LIMITS.requests_per_minute * 60} AS over_limit FROM "
        "(SELECT *, time_bucket(INTERVAL '10 minutes', ts) - k * INTERVAL '10 minutes' AS w FROM ledger, (SELECT unnest(range(0, 6)) AS k) r) x WHERE w + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '1 hour' FROM ledger) GROUP BY w, usage_key")
 def _(spark, d):
     return drained(jobs.stream_usage(_usage(spark, d), LIMITS), "usage")

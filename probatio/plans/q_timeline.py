@@ -129,6 +129,12 @@ def _(spark, d):
     return tl.first_events(events(spark, d))
 
 
+@query("timeline_listing", "SELECT CASE WHEN row_number() OVER (PARTITION BY year(event_date) ORDER BY event_date, doc_id, position, format, event_type) = 1 THEN concat('=== ', CAST(year(event_date) AS VARCHAR), ' ===') ELSE '' END AS heading, "
+       "strftime(event_date, '%B %d, %Y') AS date, doc_id, position, format, array_to_string(list_transform(string_split(event_type, '_'), lambda w: concat(upper(w[1]), w[2:])), ' ') AS type, file_path, description, " + r6("date_confidence") + " AS date_confidence FROM events_all")
+def _(spark, d):
+    return tl.timeline_listing(events(spark, d))
+
+
 @query("events_by_year", "SELECT year(event_date) AS year, count(*) AS events, strftime(min(event_date), '%Y-%m-%d') AS first_date, strftime(max(event_date), '%Y-%m-%d') AS last_date FROM events_all GROUP BY year(event_date)")
 def _(spark, d):
     return tl.events_by_year(events(spark, d))
