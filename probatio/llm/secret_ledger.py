@@ -110,7 +110,8 @@ def scan_history(history: DataFrame, ledger: DataFrame | None = None, rules: Seq
     number = F.array_position(kinds, F.col("rule")).cast("int")
     per_blob = known.where(F.size("spans") > 0).withColumn("span", F.explode("spans")).groupBy("blob").agg(
         F.sort_array(F.collect_list(F.struct("span.start", number.alias("kind_no"), "span.end", F.col("rule").alias("kind")))).alias("spans"))
-    per_blob = per_blob.join(blobs.select("blob", "copies"), "blob")
+    # every blob has a row, so that a much copied one counts as heavy also if nothing was found in it
+    per_blob = blobs.select("blob", "copies").join(per_blob, "blob", "left")
     spread = paths.withColumn("_row", F.xxhash64("path", "version"))
     return new, attach_by_key(spread, per_blob, "blob", "copies", "_row").select(
         "path", "version", "blob", F.coalesce("spans", F.array().cast(per_blob.schema["spans"].dataType)).alias("spans"))
@@ -151,11 +152,14 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, path_col: str = "doc_
            mask: str = "[secret]") -> DataFrame:
     """The rows of ``docs`` with each run of found spans replaced by ``mask``; all other columns,
     and texts without findings (null too), stay as they are."""
-    cuts = islands(scan_history(docs, None, rules, path_col, text_col)[1])
+    found = scan_history(docs, None, rules, path_col, text_col)[1].where(F.size("spans") > 0)
+    # by path and blob: the copies of a text, found in or not, are spread over their paths
+    at = found.select(F.col("path").alias("_path"), "blob").distinct()
+    cuts = attach_by_key(at.withColumn("_row", F.xxhash64("_path", "blob")), islands(found), "blob", "copies", "_row") \
+        .select("_path", F.col("blob").alias("_found"), F.col("cuts").alias("_cuts"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.withColumn("_blob", F.sha2(text, 256)).withColumn("_row", F.xxhash64(path_col, "_blob"))
-    marked = attach_by_key(keyed, cuts.select(F.col("blob").alias("_blob"), F.col("copies").alias("_copies"), F.col("cuts").alias("_cuts")),
-                           "_blob", "_copies", "_row")
+    keyed = docs.withColumn("_blob", F.sha2(text, 256))
+    marked = keyed.join(cuts, keyed[path_col].eqNullSafe(F.col("_path")) & (F.col("_blob") == F.col("_found")), "left")
     whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def rebuilt(found: Column) -> Column:
