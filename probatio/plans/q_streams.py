@@ -61,6 +61,6 @@ def _(spark, d):
   row_number() OVER (PARTITION BY e.usage_key ORDER BY l.ts, e.request_id) AS i FROM errs e JOIN ledger l ON l.request_id = e.request_id),
   fold(usage_key, i, request_id, m) AS (SELECT usage_key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(1.0 AS DOUBLE) FROM (SELECT DISTINCT usage_key FROM ledger) k
   UNION ALL SELECT s.usage_key, s.i, s.request_id, CASE WHEN s.success THEN least(1.0, f.m + 0.1) WHEN s.ce >= 3 THEN greatest(0.3, f.m * 0.7) ELSE f.m END FROM fold f JOIN steps s ON s.usage_key = f.usage_key AND s.i = f.i + 1)
-  SELECT usage_key, request_id, {r6('m')} AS multiplier FROM fold WHERE i > 0""")
+  SELECT fold.usage_key, fold.request_id, {r6('m')} AS multiplier FROM fold JOIN ledger l2 ON l2.request_id = fold.request_id WHERE i > 0 AND l2.ts <= (SELECT max(ts) - INTERVAL '1 hour' FROM ledger)""")
 def _(spark, d):
     return drained(jobs.stream_rate_state(_usage(spark, d)), "rate")

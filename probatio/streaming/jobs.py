@@ -7,6 +7,7 @@ in the query's progress.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -73,23 +74,44 @@ def stream_usage(usage: DataFrame, limits: UsageLimits = UsageLimits(), length:
     return out.select(F.col("w.start").alias("window_start"), "usage_key", "requests", "tokens", "cost", over.alias("over_limit"))
 
 
-def _rate(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    multiplier, errors = state.get if state.exists else (RATE_MAX, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-    out = []
-    for ok in rows["success"]:
-        multiplier, errors = rate_step(multiplier, int(errors), bool(ok))
-        out.append(multiplier)
-    state.update((multiplier, errors))
-    yield pd.DataFrame({"usage_key": key[0], "request_id": rows["request_id"], "multiplier": out})
-
-
-def stream_rate_state(usage: DataFrame) -> DataFrame:
-    """Rate multiplier of each key after each request, kept as state of two numbers per key.
-
-    A group is one key's requests of one micro-batch, so its size is bounded by the trigger's
+RATE_STATE = "multiplier double, errors bigint, waiting string"
+
+
+def _rate(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    """Requests wait in the state until the watermark has passed them, are then folded in order of time,
+    and the state of a key without requests for ``keep_ms`` is dropped (its rate starts anew)."""
+    multiplier, errors, waiting = state.get if state.exists else (RATE_MAX, 0, "[]")
+    mark = state.getCurrentWatermarkMs()
+    rows = json.loads(waiting)
+    for batch in batches:
+        ms = batch["ts"].astype("datetime64[us]").astype("int64")
+        rows += [[int(t), int(r), bool(ok)] for t, r, ok in zip(ms, batch["request_id"], batch["success"], strict=True)]
+    rows.sort()
+    ready = [r for r in rows if r[0] <= mark * 1000]
+    rest, out = rows[len(ready):], []
+    for _, request, ok in ready:
+        multiplier, errors = rate_step(multiplier, int(errors), ok)
+        out.append((request, multiplier))
+    if not rest and state.hasTimedOut:
+        state.remove()
+    else:
+        state.update((multiplier, errors, json.dumps(rest)))
+        state.setTimeoutTimestamp(max(mark + 1, rest[0][0] // 1000 + 1 if rest else mark + keep_ms))
+    yield pd.DataFrame({"usage_key": [key[0]] * len(out), "request_id": [r for r, _ in out], "multiplier": [m for _, m in out]}).astype(
+        {"usage_key": "int64", "request_id": "int64", "multiplier": "float64"})
+
+
+def stream_rate_state(usage: DataFrame, delay: str = "1 hour", keep: str = "7 days") -> DataFrame:
+    """Rate multiplier of each key after each request, in order of time.
+
+    A request comes out once the watermark (latest time less ``delay``) has passed it, so requests
+    that arrive up to ``delay`` late are folded in their place; later ones are dropped and counted in
+    the query's progress. State is two numbers and the waiting requests of a key, and ends after
+    ``keep`` without any. A group is one key's requests of one micro-batch, bounded by the trigger's
     limits (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
-    return usage.select("usage_key", "request_id", "ts", "success").groupBy("usage_key").applyInPandasWithState(
-        _rate, "usage_key bigint, request_id bigint, multiplier double", "multiplier double, errors bigint",
-        "append", GroupStateTimeout.NoTimeout)
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = timed(usage.select("usage_key", "request_id", "ts", "success"), "ts", delay)
+    return rows.groupBy("usage_key").applyInPandasWithState(
+        lambda key, batches, state: _rate(key, batches, state, keep_ms),
+        "usage_key bigint, request_id bigint, multiplier double", RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
