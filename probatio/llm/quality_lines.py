@@ -91,7 +91,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def boilerplate(measured: DataFrame, rules: LineRules) -> DataFrame:
-    """(text_key, copies, removed_words): words in boilerplate lines for each text that has some.
+    """(text_key, copies, removed_words): words in boilerplate lines of each text.
 
     Lines are counted once per different text of a host, with sums formed before the shuffle; a
     line that half a host shares is one row per map task there, and comes back to its texts by
@@ -110,8 +110,8 @@ def boilerplate(measured: DataFrame, rules: LineRules) -> DataFrame:
     common = small.select("line", "documents", F.lit(True).alias("common"))
     hit = attach_by_key(held, common, "line", "documents", "text_key").where("common")
     removed = hit.groupBy("text_key").agg(F.sum(F.col("n") * F.col("times")).alias("words_of_copies"))
-    return texts.join(removed, "text_key").select(
-        "text_key", "copies", F.expr("words_of_copies div copies").alias("removed_words"))
+    return texts.join(removed, "text_key", "left").select(
+        "text_key", "copies", F.coalesce(F.expr("words_of_copies div copies"), F.lit(0)).alias("removed_words"))
 
 
 def judge(measured: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -140,12 +140,13 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "do
               text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns as they are.
 
-    Rejected texts are found by the hash of host and text, not by id, so repeated ids do no harm.
+    Rejected rows are found by id and hash of host and text, so neither repeated ids nor copies
+    make a hot key.
     """
     judged = quality_rules(docs, rules, id_col, text_col, host_col)
-    bad = judged.where(~F.col("kept")).groupBy("text_key").agg(F.count("*").alias("_copies"))
+    bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_bad")).distinct()
     key = F.md5(F.concat_ws("\0", F.coalesce(docs[host_col].cast("string"), F.lit("\0")),
                             F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    keyed = docs.withColumn("text_key", key).withColumn("_row", F.xxhash64(id_col, "text_key"))
-    marked = attach_by_key(keyed, bad.withColumn("_bad", F.lit(True)), "text_key", "_copies", "_row")
-    return marked.where(F.col("_bad").isNull()).select(*[marked[c] for c in docs.columns])
+    keyed = docs.withColumn("_key", key)
+    same = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_bad"))
+    return keyed.join(bad, same, "left_anti").select(*docs.columns)
