@@ -80,33 +80,54 @@ def suffix_of(name: Column) -> Column:
     return F.regexp_extract(name, r"^.+(\.[^./]+)$", 1)
 
 
+#: Matches folded into one array before it is put away, and characters of a segment of text.
+FOLD, SEGMENT = 256, 1024
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def match_positions(text: Column, pattern: str, group: int = 0) -> Column:
     """Every match as ``array<struct<start:int, raw:string>>``; ``start`` counts characters.
 
     The pieces between matches and the matches themselves alternate, so the start of match i
-    is the length of the pieces up to i plus the length of the matches before i. A running
-    fold over both arrays gives all starts without leaving the JVM.
+    is the length of the pieces up to i plus the length of the matches before i. The running sum is
+    folded in chunks of ``FOLD`` matches: an array that grows by one is copied each time, and within
+    a chunk that stays short, so the work is in proportion to the matches of a text.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.split(text, pattern, -1)
-    steps = F.arrays_zip(
-        F.transform(pieces, F.length).alias("gap"), found.alias("raw"))
     empty = F.array().cast("array<struct<start:int,raw:string>>")
-    init = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def add(acc: Column, x: Column) -> Column:
         start = (acc["at"] + x["gap"]).cast("int")
-        entry = F.struct(start.alias("start"), x["raw"].alias("raw"))
-        return F.struct(
-            (start + F.coalesce(F.length(x["raw"]), F.lit(0))).alias("at"),
-            F.when(x["raw"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(entry))).alias("out"))
+        return F.struct((start + F.length(x["raw"])).alias("at"), F.concat(acc["out"], F.array(F.struct(
+            start.alias("start"), x["raw"].alias("raw")))).alias("out"))
+
+    def add_chunk(acc: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(acc["at"].alias("at"), empty.alias("out")), add)
+        return bound(inner, lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
+
+    def placed(raw: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        steps = F.slice(F.arrays_zip(gaps.alias("gap"), raw.alias("raw")), 1, F.size(raw))
+        chunks = bound(steps, lambda s: F.transform(
+            F.sequence(F.lit(1), F.size(raw), F.lit(FOLD)), lambda at: F.slice(s, at, FOLD)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,raw:string>>>").alias("out"))
+        return F.flatten(F.aggregate(chunks, start, add_chunk, lambda a: a["out"]))
+
+    return bound(found, lambda raw: F.when(F.size(raw) > 0, placed(raw)).otherwise(empty))
+
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, init, step, lambda a: a["out"])) \
-        .otherwise(empty)
+def segments(text: Column) -> Column:
+    """A text cut into pieces of ``SEGMENT`` characters, from which any place is reached at once."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % SEGMENT), F.lit(0))
 
 
-def around(text: Column, start: Column, length: Column, window: int) -> Column:
-    """Up to ``window`` characters on both sides of a match at ``start`` (0-based)."""
-    begin = F.greatest(F.lit(0), start - window)
-    return F.substring(text, begin + 1, start + length + window - begin)
+def around(parts: Column, start: Column, length: Column, window: int) -> Column:
+    """Up to ``window`` characters on both sides of a match at ``start`` (0-based) in :func:`segments`."""
+    begin, end = F.greatest(F.lit(0), start - window), start + length + window
+    first = F.floor(begin / SEGMENT).cast("int")
+    near = F.array_join(F.slice(parts, first + 1, F.floor(end / SEGMENT).cast("int") - first + 1), "")
+    return F.substring(near, begin - first * SEGMENT + 1, end - begin)

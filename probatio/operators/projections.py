@@ -133,23 +133,27 @@ def keyword_snippets(texts: DataFrame, keywords: list[str], window: int = 50) ->
     One narrow pass: a text is searched by regular expression only for keywords it contains.
     """
     text, lower = F.col("text"), F.col("lower_text")
+    empty = F.array().cast("array<struct<keyword:string,start_pos:int,end_pos:int>>")
 
     def found(keyword: str) -> Column:
         matches = F.transform(
             tx.match_positions(text, tx.whole_word(keyword)),
             lambda m: F.struct(F.lit(keyword.lower()).alias("keyword"), m["start"].alias("start_pos"),
                                (m["start"] + F.length(m["raw"])).cast("int").alias("end_pos")))
-        empty = F.array().cast("array<struct<keyword:string,start_pos:int,end_pos:int>>")
         return F.when(F.contains(lower, F.lit(keyword.lower())), matches).otherwise(empty)
 
-    rows = (texts.withColumn("lower_text", F.lower("text"))
-            .select("doc_id", "source", "text", F.explode(F.concat(*[found(k) for k in keywords])).alias("m"))
-            .select("doc_id", "source", "text", "m.*"))
-    start, end = F.col("start_pos"), F.col("end_pos")
-    snippet = F.concat(F.when(start > window, "...").otherwise(""),
-                       tx.around(text, start, end - start, window),
-                       F.when(end + window < F.length(text), "...").otherwise(""))
-    return rows.select("doc_id", "source", "keyword", "start_pos", "end_pos", snippet.alias("snippet"))
+    def cut(matches: Column) -> Column:
+        # snippets are cut out before the matches become rows, so no row carries the text
+        known = F.struct(tx.segments(text).alias("parts"), F.length(text).alias("size"))
+        return tx.bound(known, lambda t: F.transform(matches, lambda m: F.struct(
+            m["keyword"].alias("keyword"), m["start_pos"].alias("start_pos"), m["end_pos"].alias("end_pos"),
+            F.concat(F.when(m["start_pos"] > window, "...").otherwise(""),
+                     tx.around(t["parts"], m["start_pos"], m["end_pos"] - m["start_pos"], window),
+                     F.when(m["end_pos"] + window < t["size"], "...").otherwise("")).alias("snippet"))))
+
+    all_found = tx.bound(F.concat(*[found(k) for k in keywords]), lambda ms: F.when(F.size(ms) > 0, cut(ms)))
+    return (texts.withColumn("lower_text", F.lower("text"))
+            .select("doc_id", "source", F.explode(all_found).alias("m")).select("doc_id", "source", "m.*"))
 
 
 def required_fields(df: DataFrame, key: str, required: list[str]) -> DataFrame:

@@ -15,10 +15,12 @@ from probatio.session import written
 
 
 # ---- mentions --------------------------------------------------------------------
-def date_mentions(ev: DataFrame, window: int = 100) -> DataFrame:
-    """Every match of the date patterns with position and context; one narrow pass.
+def date_mentions(ev: DataFrame, window: int = 100, wide: int = 200) -> DataFrame:
+    """Every match of the date patterns with position, context and ``nearby``, what lies up to
+    ``wide`` characters around its start; one narrow pass.
 
-    Columns of ``ev`` other than the text are carried along.
+    Both are cut out before the matches become rows, so no row carries the text. Columns of ``ev``
+    other than the text are carried along.
     """
     keep = [c for c in ev.columns if c != "content"]
 
@@ -27,10 +29,14 @@ def date_mentions(ev: DataFrame, window: int = 100) -> DataFrame:
             m["start"].alias("position"), m["raw"].alias("raw_date"), F.lit(fmt).alias("format"),
             F.lit(conf).alias("confidence")))
 
-    found = [found_by(*p) for p in lx.DATE_PATTERNS]
-    rows = ev.select(*keep, "content", F.explode(F.concat(*found)).alias("d"))
-    return rows.select(*keep, "content", "d.*").withColumn("context", tx.around(
-        F.col("content"), F.col("position"), F.length("raw_date"), window))
+    def cut(matches: Column) -> Column:
+        return tx.bound(tx.segments(F.col("content")), lambda parts: F.transform(matches, lambda m: F.struct(
+            m["position"].alias("position"), m["raw_date"].alias("raw_date"), m["format"].alias("format"), m["confidence"].alias("confidence"),
+            tx.around(parts, m["position"], F.length(m["raw_date"]), window).alias("context"),
+            tx.around(parts, m["position"], F.lit(0), wide).alias("nearby"))))
+
+    found = tx.bound(F.concat(*[found_by(*p) for p in lx.DATE_PATTERNS]), lambda ms: F.when(F.size(ms) > 0, cut(ms)))
+    return ev.select(*keep, F.explode(found).alias("d")).select(*keep, "d.*")
 
 
 def date_parse(mentions: DataFrame, pivot: int = 70) -> DataFrame:
@@ -50,10 +56,10 @@ EVENT_COLUMNS = ["doc_id", "file_path", "position", "format", "event_date", "dat
                  "argument", "title", "description", "participants", "evidence_strength"]
 
 
-def pattern_events(parsed: DataFrame, window: int = 200) -> DataFrame:
+def pattern_events(parsed: DataFrame) -> DataFrame:
     """Up to one event per mention and event type, where the context fits its patterns.
 
-    ``parsed`` carries content, file_path and folder. The few rules are literal expressions, so
+    ``parsed`` carries nearby, file_path and folder. The few rules are literal expressions, so
     events come out of the same narrow pass as the mentions.
     """
     parsed = parsed.withColumn("_lower", F.lower("context"))
@@ -61,8 +67,7 @@ def pattern_events(parsed: DataFrame, window: int = 200) -> DataFrame:
     types = F.array_compact(F.array(*[
         F.when(F.rlike(lower, F.lit("|".join(patterns))), F.lit(kind))
         for kind, patterns in lx.EVENT_PATTERNS.items()]))
-    description = tx.strip(tx.around(F.col("content"), F.col("position"), F.lit(0), window))
-    rows = (parsed.withColumn("description", description).withColumn("event_type", F.explode(types))
+    rows = (parsed.withColumn("description", tx.strip(F.col("nearby"))).withColumn("event_type", F.explode(types))
             .withColumn("participants", participants_in(F.col("description"))))
     return rows.select(
         "doc_id", "file_path", F.col("position").cast("bigint").alias("position"), "format", "event_date",

@@ -52,6 +52,21 @@ def test_top_per_key(spark):
     assert got == want
 
 
+def test_many_dates_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    from probatio.operators import timeline as tl
+    n = 50_000
+    text = "".join(f"{i:06d} on 2023-0{1 + i % 9}-1{i % 9} " + "x" * 80 + "\n" for i in range(n))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, content string")
+    start = time.time()
+    got = tl.date_mentions(rows).where("format = 'iso' OR raw_date LIKE '2023-%'").select("position", "raw_date", "context").collect()
+    assert time.time() - start < 60 and len(got) >= n
+    for r in got[:: 5000]:
+        assert text[r.position:r.position + len(r.raw_date)] == r.raw_date
+        assert r.context == text[max(0, r.position - 100):r.position + len(r.raw_date) + 100]
+
+
 def test_name_conflicts_of_one_popular_name(spark):
     df = spark.createDataFrame([(i, "F", "a.b.txt") for i in range(50)], "doc_id long, folder string, file_name string")
     got = [r["unique_name"] for r in dd.name_conflicts(df, block_size=7).orderBy("doc_id").collect()]
