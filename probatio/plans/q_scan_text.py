@@ -9,8 +9,9 @@ from probatio.operators import scans as sn
 from probatio.plans import scored as plan
 from probatio.plans.registry import COMMON, lit_list, positions_sql, q, query, r6
 from probatio.plans.registry import any_sql, hits_sql
-from probatio.session import fresh_path
+from probatio.session import fresh_path, written
 from probatio.sources import files as fs
+from probatio.sources.sinks import write_bundle
 from probatio.sources.evidence import evidence, table
 
 # thresholds under which a fair share of the sample stays out of review
@@ -72,11 +73,17 @@ def run_dup(spark, d):
 
 
 # ---- 2.1 ----------------------------------------------------------------------------------
-@query("corpus_scan")
+# one file per source and kind, of wanted and unwanted extensions; a line ends each text
+@query("corpus_scan", "SELECT source, '.txt' AS extension, CAST(sum(octet_length(encode(content)) + 1) AS BIGINT) AS length FROM ev GROUP BY source "
+       "UNION ALL SELECT source, '.csv', CAST(sum(octet_length(encode(CAST(doc_id AS VARCHAR))) + 1) AS BIGINT) FROM ev GROUP BY source")
 def _(spark, d):
     path = fresh_path(spark, "corpus")
-    evidence(spark, d).select("source", "content").write.partitionBy("source").text(path)
-    return fs.corpus_scan(spark, path)
+    ev = evidence(spark, d)
+    ev.select("source", "content").repartition("source").write.partitionBy("source").text(f"{path}/text")
+    ev.select("source", F.col("doc_id").cast("string").alias("v")).repartition("source").write.partitionBy("source").csv(f"{path}/table")
+    ev.select("source", F.struct("doc_id").alias("v")).write.partitionBy("source").json(f"{path}/other")  # not an extension to scan
+    found = fs.corpus_scan(spark, path, [".txt", ".CSV"])
+    return found.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "extension", "length")
 
 
 _FT = "CASE extension " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in lx.FILE_TYPES.items()) + " ELSE 'Unknown' END"
@@ -165,13 +172,18 @@ def _(spark, d):
     return sn.custody_ledger(evidence(spark, d))
 
 
-@query("export_bundle")
+# written and read back; the fields of each record are taken out of its JSON
+@query("export_bundle", f"SELECT 'files' AS table_name, 'Sample' AS case_name, CAST(doc_id AS VARCHAR) AS id, new_name AS name, {r6('overall_impact')} AS value FROM scored "
+       "UNION ALL SELECT 'categories', 'Sample', category, subcategory, CAST(count(*) AS DOUBLE) FROM scored GROUP BY category, subcategory")
 def _(spark, d):
-    from probatio.operators import reports as rp
-    s = run(spark, d)
-    return sn.export_bundle({"case_name": "Sample", "source": "documents"}, {
-        "category_distribution": rp.category_distribution(s), "folder_strength": rp.folder_strength(s),
-        "files": s.select("doc_id", "new_name", "category", "overall_impact")})
+    s, path = written(run(spark, d).select("doc_id", "new_name", "category", "subcategory", "overall_impact"), "scored"), fresh_path(spark, "bundle")
+    write_bundle({"case_name": "Sample", "source": "documents"}, {
+        "files": s.select(F.col("doc_id").cast("string").alias("id"), F.col("new_name").alias("name"), F.col("overall_impact").alias("value")),
+        "categories": s.groupBy(F.col("category").alias("id"), F.col("subcategory").alias("name")).agg(F.count("*").cast("double").alias("value"))}, path)
+    read = spark.read.schema("header string, record string, table_name string").json(path)
+    record = F.from_json("record", "id string, name string, value double")
+    return read.select("table_name", F.get_json_object("header", "$.case_name").alias("case_name"), record.alias("r")) \
+        .select("table_name", "case_name", "r.*")
 
 
 @query("lexicon_load", r"""SELECT concat('item_', CAST(item_id AS VARCHAR)) AS group_name, 'words' AS sub_pattern, w AS keyword, 0.5::DOUBLE AS base_confidence,
