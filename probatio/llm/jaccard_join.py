@@ -31,7 +31,7 @@ from probatio.session import written
 WORDS, PERCENT = 5, 80
 #: Frequent shingles told to each worker; they only set an order, so leaving some out harms no result.
 FREQUENT = 200_000
-BLOCK_SETS = 4000
+BLOCK_SETS = 2000
 
 
 def needed(n: np.ndarray | int, percent: int = PERCENT):
@@ -48,7 +48,7 @@ def overlap_needed(n: np.ndarray | int, m: np.ndarray | int, percent: int = PERC
 class Shingles:
     """Hashed shingle sets of whole texts, words by way of a table of distinct words."""
 
-    def __init__(self, words: int = WORDS, limit: int = 300_000):
+    def __init__(self, words: int = WORDS, limit: int = 150_000):
         self.words, self.index, self.hashes = words, WordIndex(limit), np.empty(0, np.uint64)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -91,22 +91,15 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text", F.length("text")))
 
 
-def _probes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
-        for batch in batches:
-            sets = shingles.sets(batch_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(
-                [s[:probe_size(len(s), percent)].tobytes() for s in sets], pa.binary())], names=["key", "tokens"])
-
-    return docs.select("key", "text").mapInArrow(run, "key long, tokens binary")
-
-
 def text_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n, set_key, tokens) per text: the size of its set, a hash of the set, and the set itself
     where it may have a partner. ``docs``: (doc_id, text, key); only the row of smallest id of each
     key is read further, and rows are joined by key and id, so that copies are spread."""
-    shared = shared_tokens(_probes(docs, words, percent)).groupBy("key").agg(F.sum(F.length("tokens") / 8).cast("int").alias("shared"))
+    def probes():
+        shingles = Shingles(words)
+        return lambda texts: [s[:probe_size(len(s), percent)].tobytes() for s in shingles.sets(texts)]
+
+    shared = shared_tokens(docs, probes).select("key", (F.length("tokens") / 8).cast("int").alias("shared"))
     lowest = F.coalesce("doc_id", F.lit(-(1 << 63)))
     firsts = docs.select("key", lowest.alias("_id")).groupBy("key").agg(F.min("_id").alias("_id")).join(shared, "key", "left") \
         .withColumnRenamed("key", "_key")

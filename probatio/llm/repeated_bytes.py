@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from probatio.llm.common import id_and_text
 from probatio.llm.shared_tokens import shared_tokens, shorten
-from probatio.llm.words import BASE, BYTE, batch_bytes, mix
+from probatio.llm.words import BASE, BYTE, batch_bytes, groups, mix
 from probatio.session import written
 
 LENGTH, TRIGGER = 50, 16
@@ -89,28 +89,55 @@ def _triggers_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return places, np.concatenate([h for _, h in parts])[first]
 
 
-def _trigger_rows(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(_triggers_of(t)[1]).tobytes() for t in batch_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], names=["key", "tokens"])
-
-    return docs.select("key", "text").mapInArrow(run, "key long, tokens binary")
+def _trigger_sets():
+    return lambda texts: [np.unique(_triggers_of(t)[1]).tobytes() for t in texts]
 
 
 # ---- dictionary and parse ----------------------------------------------------------------------
-def phrases(text: bytes, shared: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(places, trigger hashes, phrases) of a text's shared triggers. A phrase is its trigger with
-    what is on either side, marked with how much of the left side there is."""
+SIDE = LENGTH - TRIGGER
+#: A phrase as bytes: how much of either side there is, the left side from the trigger backwards, and
+#: the trigger with its right side; both padded with zeros.
+WIDTH = 2 + SIDE + LENGTH
+
+
+def phrases(text: bytes, shared: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, trigger hashes, phrases) of a text's shared triggers, a row of ``WIDTH`` bytes each."""
     places, hashes = _triggers_of(text)
     chosen = np.isin(shorten(hashes, buckets), shared)
     places, hashes = places[chosen], hashes[chosen]
-    side = LENGTH - TRIGGER
-    return places, hashes, [bytes([min(p, side)]) + text[max(0, p - side):p + TRIGGER + side] for p in places.tolist()]
+    padded = np.zeros(len(text) + SIDE + LENGTH, np.uint8)
+    padded[SIDE:SIDE + len(text)] = np.frombuffer(text, np.uint8)
+    rows = np.empty((len(places), WIDTH), np.uint8)
+    rows[:, 0] = np.minimum(places, SIDE)
+    rows[:, 1] = np.minimum(len(text) - places, LENGTH)
+    at = places[:, None] + SIDE
+    rows[:, 2:2 + SIDE] = padded[at - 1 - np.arange(SIDE)]
+    rows[:, 2 + SIDE:] = padded[at + np.arange(LENGTH)]
+    return places, hashes, rows
+
 
+def phrase_keys(rows: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), -(-WIDTH // 8) * 8), np.uint8)
+    wide[:, :WIDTH] = rows
+    h = np.zeros(len(rows), np.uint64)
+    for column in wide.view("<u8").T:
+        h = mix(h * BASE + column)
+    return h.view(np.int64)
 
-def phrase_key(phrase: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(phrase, digest_size=8).digest(), "little", signed=True)
+
+def as_binary(rows: np.ndarray) -> pa.Array:
+    """A byte table as a binary column, one value per row."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def distinct_entries(keys: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each distinct key is met first, smallest first id, largest last id)."""
+    _, where, number = np.unique(keys, return_index=True, return_inverse=True)
+    low, high = first[where].copy(), last[where].copy()
+    np.minimum.at(low, number, first)
+    np.maximum.at(high, number, last)
+    return where, low, high
 
 
 def _runs(words: np.ndarray, groups: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,62 +154,61 @@ def _runs(words: np.ndarray, groups: np.ndarray, width: int) -> tuple[np.ndarray
     return order, np.append([-1], np.where(same[1:] == same[:-1], shared, -1))
 
 
-def first_documents(entries: pd.DataFrame, length: int = LENGTH) -> np.ndarray:
-    """For dictionary entries (trigger, phrase, first_id): per entry and offset, the smallest document
-    of all entries that hold the same ``length`` bytes at that offset; the largest long where no such
-    string lies in the entry.
+def first_documents(trigger: np.ndarray, rows: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """For dictionary entries (trigger, phrase, first document): per entry and offset, the smallest
+    document of all entries that hold the same ``LENGTH`` bytes at that offset; the largest long
+    where no such string lies in the entry.
 
     The entries of a trigger are put in suffix order from the trigger rightwards, and in the order
     of their reversed prefixes from the trigger leftwards. A string takes so many bytes on the left
     and so many on the right; entries that hold the same one are those in one run of either order.
     """
-    side = length - TRIGGER
-    n = len(entries)
-    left = np.array([p[0] for p in entries["phrase"]], np.int64)
-    right = np.array([len(p) - 1 for p in entries["phrase"]], np.int64) - left
-    lefts, rights = np.zeros((n, side), np.uint8), np.zeros((n, length), np.uint8)
-    for k, p in enumerate(entries["phrase"]):
-        data = np.frombuffer(p, np.uint8, offset=1)
-        lefts[k, :left[k]] = data[:left[k]][::-1]
-        rights[k, :right[k]] = data[left[k]:]
-    trigger, smallest = entries["trigger"].to_numpy(np.int64), entries["first_id"].to_numpy(np.int64)
-    order_left, shared_left = _runs(lefts, trigger, side)
-    order_right, shared_right = _runs(rights, trigger, length)
-    out = np.full((n, side + 1), np.iinfo(np.int64).max, np.int64)
+    n, left, right = len(rows), rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64)
+    order_left, shared_left = _runs(rows[:, 2:2 + SIDE], trigger, SIDE)
+    order_right, shared_right = _runs(rows[:, 2 + SIDE:], trigger, LENGTH)
+    out = np.full((n, SIDE + 1), np.iinfo(np.int64).max, np.int64)
     run_left, run_right = np.empty(n, np.int64), np.empty(n, np.int64)
-    for before in range(side + 1):  # bytes of the string on the left of its trigger
-        after = length - before
+    for before in range(SIDE + 1):  # bytes of the string on the left of its trigger
+        after = LENGTH - before
         inside = np.flatnonzero((left >= before) & (right >= after))
         if not len(inside):
             continue
         run_left[order_left] = np.cumsum(shared_left < before)
         run_right[order_right] = np.cumsum(shared_right < after)
-        _, run = np.unique(run_left[inside] * (n + 1) + run_right[inside], return_inverse=True)
-        least = np.full(run.max() + 1, np.iinfo(np.int64).max, np.int64)
-        np.minimum.at(least, run, smallest[inside])
-        out[inside, side - before] = least[run]
+        pair = run_left[inside] * (n + 1) + run_right[inside]
+        order = np.argsort(pair)
+        opens = np.flatnonzero(np.append([True], pair[order][1:] != pair[order][:-1]))
+        least = np.minimum.reduceat(smallest[inside[order]], opens)
+        out[inside[order], SIDE - before] = np.repeat(least, np.diff(np.append(opens, len(order))))
     return out
 
 
 ENTRY = np.dtype([("offset", "u1"), ("end", "u1"), ("first_id", "<i8")])
 
 
-def pack_entry(first: np.ndarray, last_id: int) -> bytes | None:
-    """Runs of equal documents over an entry's offsets, those that can remove anything."""
-    useful = first < last_id
-    if not useful.any():
-        return None
-    cuts = np.flatnonzero(np.append([True], first[1:] != first[:-1]))
-    runs = np.zeros(len(cuts), ENTRY)
-    runs["offset"], runs["end"], runs["first_id"] = cuts, np.append(cuts[1:], len(first)), first[cuts]
-    return runs[useful[cuts]].tobytes()
+def pack_entries(first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """Per entry, its runs of offsets with one document, those that remove something from ``last``."""
+    n, width = first.shape
+    opens = np.ones((n, width), bool)
+    opens[:, 1:] = first[:, 1:] != first[:, :-1]
+    row, column = np.nonzero(opens)
+    ends = np.where(np.append(row[1:] != row[:-1], True), width, np.append(column[1:], 0))
+    useful = first[row, column] < last[row]
+    runs = np.zeros(int(useful.sum()), ENTRY)
+    runs["offset"], runs["end"], runs["first_id"] = column[useful], ends[useful], first[row, column][useful]
+    data, stops = runs.tobytes(), np.cumsum(np.bincount(row[useful], minlength=n)) * ENTRY.itemsize
+    return [data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
 
-def removed(runs: bytes, doc_id: int, place: int, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Byte ranges of a document that an entry at ``place`` removes."""
-    base = place - (length - TRIGGER)
-    return [(base + int(r["offset"]), base + int(r["end"]) - 1 + length)
-            for r in np.frombuffer(runs, ENTRY) if r["first_id"] < doc_id]
+def removed(runs: list[bytes], ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the occurrence, start, end): byte ranges that entries remove from the documents
+    ``ids`` in which they occur at ``places``."""
+    which = np.repeat(np.arange(len(runs)), np.fromiter(map(len, runs), np.int64, len(runs)) // ENTRY.itemsize)
+    entry = np.frombuffer(b"".join(runs), ENTRY)
+    hits = entry["first_id"] < ids[which]
+    which, entry = which[hits], entry[hits]
+    base = places[which] - SIDE
+    return which, base + entry["offset"], base + entry["end"] - 1 + LENGTH
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -203,10 +229,9 @@ def _affected(docs: DataFrame, buckets: int) -> DataFrame:
     smallest id meet their text's triggers; the others are whole repeats (``copy``).
     """
     keyed = docs.withColumn("key", F.xxhash64("text", F.length("text"))).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    shared = shared_tokens(_trigger_rows(keyed), buckets).groupBy("key").agg(F.array_join(F.collect_list(
-        F.hex("tokens")), "").alias("tokens"))
+    shared = shared_tokens(keyed, _trigger_sets, buckets)
     firsts = keyed.groupBy("key").agg(F.min("id").alias("_id")).join(shared, "key", "left").select(
-        F.col("key").alias("_key"), "_id", F.unhex("tokens").alias("tokens"))
+        F.col("key").alias("_key"), "_id", "tokens")
     read = keyed.join(firsts, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")), "left")
     long_enough = F.octet_length("text") >= LENGTH
     state = F.when(F.col("_key").isNull() & long_enough, "copy").when(F.col("tokens").isNotNull(), "shared").otherwise("own")
@@ -216,22 +241,26 @@ def _affected(docs: DataFrame, buckets: int) -> DataFrame:
         F.sha2(F.when(F.col("state") == "copy", F.lit("")).otherwise(F.col("text")), 256).alias("kept_sha256")), "affected")
 
 
+def _phrases_of(batch: pa.RecordBatch, names: list[str], buckets: int) -> Iterator[tuple]:
+    """(places, hashes, phrase rows, *values of ``names`` for each phrase), some texts at a time."""
+    texts, tokens = batch_bytes(batch.column("text")), batch.column("tokens").to_pylist()
+    values = [batch.column(c).to_numpy() for c in names]
+    for a, b in groups([len(t) for t in texts], 1 << 22):
+        found = [phrases(t, np.unique(np.frombuffer(x, "<u8")), buckets) for t, x in zip(texts[a:b], tokens[a:b], strict=True)]
+        counts = [len(f[0]) for f in found]
+        yield (*(np.concatenate(c) for c in zip(*found, strict=True)), *(np.repeat(v[a:b], counts) for v in values))
+
+
 def _dictionary(rows: DataFrame, buckets: int) -> DataFrame:
-    """(trigger, phrase_key, phrase, first_id, last_id), once per Arrow batch and phrase."""
+    """(trigger, phrase_key, phrase, first_id, last_id), once per group of texts and phrase."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["trigger", "phrase_key", "phrase", "first_id", "last_id"]
         for batch in batches:
-            found: dict[int, list] = {}
-            for doc_id, text, tokens in zip(batch.column("id").to_pylist(), batch_bytes(batch.column("text")),
-                                            batch.column("tokens").to_pylist(), strict=True):
-                _, hashes, made = phrases(text, np.unique(np.frombuffer(tokens, "<u8")), buckets)
-                for h, phrase in zip(hashes.view(np.int64).tolist(), made, strict=True):
-                    key = phrase_key(phrase)
-                    entry = found.setdefault(key, [h, key, phrase, doc_id, doc_id])
-                    entry[3], entry[4] = min(entry[3], doc_id), max(entry[4], doc_id)
-            columns = list(zip(*found.values(), strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            for _, hashes, table, ids in _phrases_of(batch, ["id"], buckets):
+                keys = phrase_keys(table)
+                where, low, high = distinct_entries(keys, ids, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[where]), pa.array(keys[where]), as_binary(table[where]),
+                                                  pa.array(low), pa.array(high)],
+                                                 names=["trigger", "phrase_key", "phrase", "first_id", "last_id"])
 
     return rows.select("id", "text", "tokens").mapInArrow(
         run, "trigger long, phrase_key long, phrase binary, first_id long, last_id long")
@@ -241,11 +270,11 @@ def _ordered(entries: DataFrame, groups: int) -> DataFrame:
     """(phrase_key, runs) of entries that can remove something. Entries of one trigger meet in one
     group, a document's copies of a phrase having become one entry per batch before."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.groupby("phrase_key", sort=False).agg(
-            trigger=("trigger", "first"), phrase=("phrase", "first"), first_id=("first_id", "min"), last_id=("last_id", "max")).reset_index()
-        first = first_documents(rows)
-        packed = [pack_entry(f, last) for f, last in zip(first, rows["last_id"], strict=True)]
-        return pd.DataFrame({"phrase_key": rows["phrase_key"], "runs": packed})[lambda r: r["runs"].notna()]
+        keys = rows["phrase_key"].to_numpy(np.int64)
+        where, low, high = distinct_entries(keys, rows["first_id"].to_numpy(np.int64), rows["last_id"].to_numpy(np.int64))
+        table = np.frombuffer(b"".join(rows["phrase"]), np.uint8).reshape(-1, WIDTH)[where]
+        packed = pack_entries(first_documents(rows["trigger"].to_numpy(np.int64)[where], table, low), high)
+        return pd.DataFrame({"phrase_key": keys[where], "runs": packed})[lambda r: r["runs"] != b""]
 
     return entries.withColumn("group", F.pmod("trigger", F.lit(groups))).groupBy("group").applyInPandas(run, "phrase_key long, runs binary")
 
@@ -254,12 +283,8 @@ def _parse(rows: DataFrame, buckets: int) -> DataFrame:
     """(phrase_key, row, id, place): the phrases of each row, in place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, doc_id, text, tokens in zip(*(batch.column(c).to_pylist() for c in ("row", "id")), batch_bytes(batch.column("text")),
-                                                 batch.column("tokens").to_pylist(), strict=True):
-                places, _, made = phrases(text, np.unique(np.frombuffer(tokens, "<u8")), buckets)
-                n = len(made)
-                yield pa.RecordBatch.from_arrays([pa.array([phrase_key(p) for p in made], pa.int64()), pa.array([row] * n, pa.int64()),
-                                                  pa.array([doc_id] * n, pa.int64()), pa.array(places)],
+            for places, _, table, row, ids in _phrases_of(batch, ["row", "id"], buckets):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (phrase_keys(table), row, ids, places))),
                                                  names=["phrase_key", "row", "id", "place"])
 
     return rows.select("row", "id", "text", "tokens").mapInArrow(run, "phrase_key long, row long, id long, place long")
@@ -280,11 +305,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(row, a, b) for row, doc_id, place, packed in zip(
-                *(batch.column(c).to_pylist() for c in ("row", "id", "place", "runs")), strict=True)
-                for a, b in removed(packed, doc_id, place)]
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "start", "end"])
+            which, start, end = removed(batch.column("runs").to_pylist(), batch.column("id").to_numpy(), batch.column("place").to_numpy())
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (batch.column("row").to_numpy()[which], start, end))),
+                                             names=["row", "start", "end"])
 
     hits = met.select("row", "id", "place", "runs").mapInArrow(ranges, "row long, start long, end long")
     per_row = hits.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("hits"))
