@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatio.llm.common import id_and_text
-from probatio.llm.shared_tokens import shared_tokens
-from probatio.llm.words import BASE, Letters, WordIndex, batch_bytes, groups, mix, split_words
+from probatio.llm.shared_tokens import shared_tokens, shorten
+from probatio.llm.words import BASE, Letters, WordIndex, batch_bytes, groups, mix, slices, split_words
 from probatio.operators.components import connected_components
 from probatio.operators.skew import attach_by_key
 from probatio.session import written
@@ -108,7 +108,7 @@ def text_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingles.sets(batch_bytes(batch.column("text")))
             sizes = [len(s) for s in sets]
             kept = []
@@ -127,7 +127,7 @@ def text_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
 def _frequent(sets: DataFrame, most: int) -> np.ndarray:
     """Shingles of two or more sets of one task, the most frequent first by count; at most ``most``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4000):
             blobs = batch.column("tokens").to_pylist()
             tokens, counts = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["token", "n"])
@@ -138,15 +138,39 @@ def _frequent(sets: DataFrame, most: int) -> np.ndarray:
     return np.array([r.token for r in rows], np.int64).view(np.uint64)
 
 
-def _prefix(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of which a partner must have one: those of lowest rank, then hash."""
-    n = len(tokens)
-    return tokens[np.lexsort((tokens, rank))][:n - needed(n, percent) + 1]
+def _prefix(tokens: np.ndarray, rank: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The tokens of which a partner must have one, of a set of ``n`` with ``tokens`` shared by others:
+    the rest come first and match nothing, then those of lowest rank, then of lowest hash."""
+    return tokens[np.lexsort((tokens, rank))][:len(tokens) - needed(n, percent) + 1]
+
+
+def shared_parts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(set_key, n, tokens) of the ``sets`` (set_key, tokens) that may have a partner: ``tokens`` now are
+    those that another set holds, enough of them for a partner. Intersections lie among these."""
+    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = shared_tokens(sets.select(F.col("set_key").alias("key"), F.col("tokens").alias("text")), lambda: lambda blobs: blobs, buckets) \
+        .withColumnRenamed("tokens", "shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, sizes, kept = [], [], []
+            for key, blob, found in zip(*(batch.column(c).to_pylist() for c in ("set_key", "tokens", "shared")), strict=True):
+                tokens = np.frombuffer(blob, "<u8")
+                mine = tokens[np.isin(shorten(tokens, buckets), np.frombuffer(found, "<u8"))]
+                if len(mine) >= needed(len(tokens), percent):
+                    keys.append(key)
+                    sizes.append(len(tokens))
+                    kept.append(mine.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary())],
+                                             names=["set_key", "n", "tokens"])
+
+    return sets.join(shared, F.col("set_key") == F.col("key")).select("set_key", "tokens", "shared").mapInArrow(
+        run, "set_key long, n long, tokens binary")
 
 
 def families(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """(id, cluster_id): family of each set that shares a prefix shingle with another; ``sets`` has
-    (set_key, tokens). Each task ties its own sets, and sends one set per shingle to meet others."""
+    (set_key, n, tokens). Each task ties its own sets, and sends one set per shingle to meet others."""
     ordered = _frequent(sets, frequent)
     place = np.argsort(ordered)
     lookup = ordered[place]
@@ -158,11 +182,11 @@ def families(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT)
         return np.where(lookup[at] == tokens, place[at] + 1, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4000):
             found = []
-            for blob in batch.column("tokens").to_pylist():
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(blob, "<u8")
-                found.append(_prefix(tokens, ranks(tokens), percent))
+                found.append(_prefix(tokens, ranks(tokens), n, percent))
             if not found:
                 continue
             tokens = np.concatenate(found)
@@ -178,7 +202,7 @@ def families(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(ties), pa.int64()), pa.array(ties["a"].to_numpy()), pa.array(ties["b"].to_numpy())],
                                              names=["token", "a", "b"])
 
-    rows = written(sets.select("set_key", "tokens").mapInArrow(run, "token long, a long, b long"), "prefixes")
+    rows = written(sets.select("set_key", "n", "tokens").mapInArrow(run, "token long, a long, b long"), "prefixes")
     met = rows.where(F.col("token").isNotNull())
     leaders = met.groupBy("token").agg(F.min("a").alias("leader"), F.max("a").alias("last")).where("leader <> last")
     ties = met.join(leaders, "token").where("a <> leader").select("a", F.col("leader").alias("b")).distinct()
@@ -189,21 +213,21 @@ def families(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT)
 class Block:
     """Sets in memory, searched in order of size."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        self.order, self.percent = order, percent
-        self.sizes = np.array([len(sets[k]) for k in order], np.int64)
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int):
+        order = np.argsort(sizes, kind="stable")
+        self.order, self.percent, self.sizes = order, percent, sizes[order]
+        self.held = np.array([len(sets[k]) for k in order], np.int64)  # tokens that other sets have, too
         flat, ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
         self.ids, self.n_tokens = ids.astype(np.int64), len(flat)
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
+        self.ends = np.cumsum(self.held)
+        self.starts = self.ends - self.held
         counts = np.bincount(self.ids, minlength=self.n_tokens)
         by_rarity = np.empty(self.n_tokens, np.int64)
         by_rarity[np.argsort(counts, kind="stable")] = np.arange(self.n_tokens)
         prefixes = []
         for k, n in enumerate(self.sizes):
             mine = self.ids[self.starts[k]:self.ends[k]]
-            prefixes.append(mine[np.argsort(by_rarity[mine])][:n - needed(n, percent) + 1])
+            prefixes.append(mine[np.argsort(by_rarity[mine])][:len(mine) - needed(n, percent) + 1])
         self.prefixes = prefixes
         tokens = np.concatenate(prefixes)
         owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
@@ -217,7 +241,7 @@ class Block:
     def overlaps(self, k: int, others: np.ndarray) -> np.ndarray:
         """Exact intersections of set ``k`` with each of ``others``."""
         self.mask[self.tokens(k)] = True
-        lengths = self.sizes[others]
+        lengths = self.held[others]
         first = np.cumsum(lengths) - lengths
         where = np.arange(int(lengths.sum())) + np.repeat(self.starts[others] - first, lengths)
         out = np.add.reduceat(self.mask[self.ids[where]].astype(np.int64), first)
@@ -267,7 +291,7 @@ class Block:
                         out.append((int(self.order[k]), int(self.order[c])))
                         root[root == root[k]] = root[c]
                 if like is None and int(some[0]) in answers:
-                    like, extra = int(some[0]), int(self.sizes[k] - got[0])
+                    like, extra = int(some[0]), int(self.held[k] - got[0])
                 rest = rest[root[rest] != root[k]]
             if seen:
                 near, counts = np.concatenate(seen), np.concatenate(known)
@@ -281,7 +305,7 @@ def _block_links(sets: DataFrame, group: list[str], percent: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("set_key").sort_values("set_key")
         keys = rows["set_key"].to_numpy()
-        block = Block([np.frombuffer(b, "<u8") for b in rows["tokens"]], percent)
+        block = Block([np.frombuffer(b, "<u8") for b in rows["tokens"]], rows["n"].to_numpy(np.int64), percent)
         found = block.links(None if rows["label"].isna().any() else rows["label"].to_numpy())
         return pd.DataFrame([(keys[a], keys[b]) for a, b in found], columns=["a", "b"]).astype("int64")
 
@@ -290,6 +314,7 @@ def _block_links(sets: DataFrame, group: list[str], percent: int) -> DataFrame:
 
 def link_sets(sets: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(id, cluster_id) of each set with a link; ``sets``: (set_key, tokens), repeated rows allowed."""
+    sets = written(shared_parts(sets, percent), "shared-parts")
     family = written(families(sets, percent), "families")
     sizes = family.groupBy("cluster_id").agg(F.count("*").alias("size")) \
         .withColumn("blocks", F.ceil(F.col("size") / block_sets).cast("int"))
@@ -321,7 +346,7 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_S
     # outsiders visit every block of their family; all others stay in their own
     visits = marked.select("set_key", "family", "label", F.explode(F.when(
         F.col("label") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
-    across = _block_links(held.select("set_key", "tokens").join(visits, "set_key"), ["family", "block"], percent)
+    across = _block_links(held.select("set_key", "n", "tokens").join(visits, "set_key"), ["family", "block"], percent)
     return connected_components(written(tied.unionByName(across), "links"), "a", "b")
 
 
