@@ -8,12 +8,14 @@
 3. Within a block: inverted lists in order of set size, so a search skips to the sizes that can
    match; a set like one already searched derives bounds for its answers from that one's answers;
    sets already in one component are not compared again.
-4. Across blocks of one family, only sets outside its largest component meet every other block.
+4. Across blocks of one family, sets outside its largest component ("guests", in blocks of their own)
+   meet the blocks that hold one of their prefix shingles, in cells of one block of guests and one
+   other block. The smaller set of a pair has its shared shingle in a shorter prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -168,9 +170,8 @@ def shared_parts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         run, "set_key long, n long, tokens binary")
 
 
-def families(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """(id, cluster_id): family of each set that shares a prefix shingle with another; ``sets`` has
-    (set_key, n, tokens). Each task ties its own sets, and sends one set per shingle to meet others."""
+def ranking(sets: DataFrame, frequent: int = FREQUENT) -> Callable[[np.ndarray], np.ndarray]:
+    """The order of shingles: a function from shingles to ranks, 0 for all but the frequent ones."""
     ordered = _frequent(sets, frequent)
     place = np.argsort(ordered)
     lookup = ordered[place]
@@ -181,6 +182,12 @@ def families(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT)
         at = np.minimum(np.searchsorted(lookup, tokens), len(lookup) - 1)
         return np.where(lookup[at] == tokens, place[at] + 1, 0)
 
+    return ranks
+
+
+def families(sets: DataFrame, ranks: Callable[[np.ndarray], np.ndarray], percent: int = PERCENT) -> DataFrame:
+    """(id, cluster_id): family of each set that shares a prefix shingle with another; ``sets`` has
+    (set_key, n, tokens). Each task ties its own sets, and sends one set per shingle to meet others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000):
             found = []
@@ -263,13 +270,16 @@ class Block:
         order = np.argsort(-times, kind="stable")
         return found[order], times[order]
 
-    def links(self, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links enough to tie every component; sets of one label count as tied already. Numbers are
-        those of the list given at the start."""
+    def links(self, labels: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links enough to tie every component; sets of one label count as tied already, and sets of one
+        side are not compared. Numbers are those of the list given at the start."""
+        side = None if sides is None else sides[self.order]
         root = np.arange(len(self.sizes)) if labels is None else np.unique(labels[self.order], return_inverse=True)[1]
         out, answers = [], {}
         for k in range(len(self.sizes)):
             rest, _ = self.candidates(k)
+            if side is not None:
+                rest = rest[side[rest] != side[k]]
             rest = rest[root[rest] != root[k]]
             like, seen, known = None, [], []
             while len(rest):
@@ -301,32 +311,74 @@ class Block:
 
 
 def _block_links(sets: DataFrame, group: list[str], percent: int) -> DataFrame:
-    """(a, b) links of (set_key, tokens, label) within each group, which must be of bounded size."""
+    """(a, b) links of (set_key, n, tokens, label, side) within each group, which must be of bounded
+    size; sets of one side, unless null, are compared elsewhere."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("set_key").sort_values("set_key")
         keys = rows["set_key"].to_numpy()
         block = Block([np.frombuffer(b, "<u8") for b in rows["tokens"]], rows["n"].to_numpy(np.int64), percent)
-        found = block.links(None if rows["label"].isna().any() else rows["label"].to_numpy())
+        found = block.links(*[None if rows[c].isna().any() else rows[c].to_numpy() for c in ("label", "side")])
         return pd.DataFrame([(keys[a], keys[b]) for a, b in found], columns=["a", "b"]).astype("int64")
 
     return sets.groupBy(*group).applyInPandas(run, "a long, b long")
 
 
+def _visits(sets: DataFrame, places: DataFrame, ranks: Callable[[np.ndarray], np.ndarray], percent: int) -> DataFrame:
+    """(set_key, family, low, high, label, side): the cells in which each set meets others. ``places``:
+    (set_key, family, unit, label), units of guests being negative.
+
+    Of a pair that links, the smaller set has a common shingle among its first
+    n - overlap_needed(n, n) + 1 and the larger one has the same among its prefix. So a set visits a
+    unit if they share a prefix shingle, in the shorter prefix of either, under different labels. A
+    shingle of one label, or in no shorter prefix, is dropped first; what comes back to the sets is
+    the list of a shingle's units, of which a family has as many as blocks.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found, close = [], []
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(blob, "<u8")
+                found.append(_prefix(tokens, ranks(tokens), n, percent))
+                close.append(np.arange(len(found[-1])) < len(tokens) - overlap_needed(n, n, percent) + 1)
+            if not found:
+                continue
+            counts = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(close)), *[
+                pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("set_key", "family", "unit", "label")]],
+                names=["token", "close", "set_key", "family", "unit", "label"])
+
+    rows = written(sets.join(places, "set_key").select("set_key", "n", "tokens", "family", "unit", "label").mapInArrow(
+        run, "token long, close boolean, set_key long, family long, unit long, label long"), "postings")
+    per_unit = rows.groupBy("token", "unit").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                                 F.max("close").alias("close"), F.count("*").alias("held"))
+    per_token = per_unit.groupBy("token").agg(
+        F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("close").alias("_close"), F.sum("held").alias("held"),
+        F.collect_list(F.struct("unit", "low", "high", "close")).alias("units")).where("_close and _low <> _high").select("token", "held", "units")
+    met = attach_by_key(rows, written(per_token, "units"), "token", "held", "set_key").where(F.col("units").isNotNull())
+    others = F.filter("units", lambda u: (F.least(u["unit"], F.col("unit")) < 0) & (F.col("close") | u["close"])
+                      & ((u["low"] != F.col("label")) | (u["high"] != F.col("label"))))
+    met = met.select("set_key", "family", "label", "unit", F.explode(F.transform(others, lambda u: u["unit"])).alias("other")).distinct()
+    return met.select("set_key", "family", F.least("unit", "other").alias("low"), F.greatest("unit", "other").alias("high"), "label",
+                      F.when(F.col("unit") != F.col("other"), F.col("unit")).alias("side"))
+
+
 def link_sets(sets: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(id, cluster_id) of each set with a link; ``sets``: (set_key, tokens), repeated rows allowed."""
     sets = written(shared_parts(sets, percent), "shared-parts")
-    family = written(families(sets, percent), "families")
+    ranks = ranking(sets)
+    family = written(families(sets, ranks, percent), "families")
     sizes = family.groupBy("cluster_id").agg(F.count("*").alias("size")) \
         .withColumn("blocks", F.ceil(F.col("size") / block_sets).cast("int"))
     placed = attach_by_key(family, sizes.select("cluster_id", "size", "blocks"), "cluster_id", "size", "id") \
         .select(F.col("id").alias("set_key"), F.col("cluster_id").alias("family"), "blocks",
                 F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    held = sets.join(placed, "set_key").withColumn("label", F.lit(None).cast("long"))
+    none = {c: F.lit(None).cast("long") for c in ("label", "side")}
+    held = sets.join(placed, "set_key").withColumns(none)
     inner = written(_block_links(held, ["family", "block"], percent), "block-links")
     wide = placed.where("blocks > 1")
     if wide.isEmpty():
         return connected_components(inner, "a", "b")
-    held = held.where("blocks > 1").drop("label")
+    held = held.where("blocks > 1").drop("label", "side")
 
     def labelled(links: DataFrame) -> DataFrame:
         found = connected_components(links, "a", "b").select(F.col("id").alias("set_key"), F.col("cluster_id").alias("label"))
@@ -337,16 +389,17 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_S
     first = labelled(inner)
     largest = first.groupBy("family", "block", "label").agg(F.count("*").alias("size"), F.min("set_key").alias("set_key")) \
         .groupBy("family", "block").agg(F.max_by("set_key", F.struct("size", "set_key")).alias("set_key"))
-    leaders = held.join(largest.select("set_key"), "set_key").withColumn("label", F.lit(None).cast("long"))
-    tied = written(inner.unionByName(_block_links(leaders, ["family"], percent)), "block-links")
+    leaders = held.join(largest.select("set_key"), "set_key").withColumns(none).withColumn("part", F.floor(F.col("block") / block_sets))
+    tied = written(inner.unionByName(_block_links(leaders, ["family", "part"], percent)), "block-links")
     second = labelled(tied)
-    main = second.groupBy("family", "label").agg(F.count("*").alias("size")) \
-        .groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    main = second.groupBy("family", "label").agg(F.count("*").alias("size")).groupBy("family").agg(
+        F.max_by("label", F.struct("size", "label")).alias("main"), (F.sum("size") - F.max("size")).alias("guests"))
     marked = attach_by_key(second.withColumn("w", F.lit(1)), main.withColumn("weight", F.lit(1)), "family", "weight", "set_key")
-    # outsiders visit every block of their family; all others stay in their own
-    visits = marked.select("set_key", "family", "label", F.explode(F.when(
-        F.col("label") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
-    across = _block_links(held.select("set_key", "n", "tokens").join(visits, "set_key"), ["family", "block"], percent)
+    guest = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("guests") / block_sets))
+    places = written(marked.select("set_key", "family", "label", F.when(F.col("label") == F.col("main"), F.col("block").cast("long"))
+                                   .otherwise(-1 - guest).alias("unit")), "places")
+    visits = _visits(held.select("set_key", "n", "tokens"), places, ranks, percent)
+    across = _block_links(held.select("set_key", "n", "tokens").join(visits, "set_key"), ["family", "low", "high"], percent)
     return connected_components(written(tied.unionByName(across), "links"), "a", "b")
 
 

@@ -231,6 +231,27 @@ def test_small_blocks_lose_no_link(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_cells_of_a_wide_family_stay_small(spark, monkeypatch):
+    import random
+
+    rng, passage, texts = random.Random(8), [f"p{i}" for i in range(104)], []
+    for k in range(240):  # one passage ties all; few link, and those lie in different blocks
+        own = [f"own{k // 3 if k < 30 else k}x{i}" for i in range(16 + k % 5)]
+        texts.append(" ".join(passage + own + [f"last{rng.randrange(10 ** 6)}"]))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    largest, block_links = [], jaccard_join._block_links
+    monkeypatch.setattr(jaccard_join, "_block_links", lambda sets, group, percent: largest.append(max(
+        [r["count"] for r in sets.groupBy(*group).count().collect()], default=0)) or block_links(sets, group, percent))
+    link_sets = jaccard_join.link_sets
+    monkeypatch.setattr(jaccard_join, "link_sets", lambda sets, percent: link_sets(sets, percent, 12))
+    got = jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute.components(rows)
+    same(got, want)
+    assert len({c for _, _, c in want}) > 150 and any(d != c for d, _, c in want)
+    assert len(largest) == 3 and max(largest) <= 60
+
+
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
