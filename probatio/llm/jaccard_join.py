@@ -94,7 +94,7 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, n, set_key, tokens) per text: the size of its set, a hash of the set, and the set itself
+    """(key, n, set_key, tokens) per text, repeated as often as its row of smallest id: the size of its set, a hash of the set, and the set itself
     where it may have a partner. ``docs``: (doc_id, text, key); only the row of smallest id of each
     key is read further, and rows are joined by key and id, so that copies are spread."""
     def probes():
@@ -373,7 +373,7 @@ def link_sets(sets: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_S
         .select(F.col("id").alias("set_key"), F.col("cluster_id").alias("family"), "blocks",
                 F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     none = {c: F.lit(None).cast("long") for c in ("label", "side")}
-    held = sets.join(placed, "set_key").withColumns(none)
+    held = sets.dropDuplicates(["set_key"]).join(placed, "set_key").withColumns(none)
     inner = written(_block_links(held, ["family", "block"], percent), "block-links")
     wide = placed.where("blocks > 1")
     if wide.isEmpty():
@@ -419,7 +419,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = texts.where("n > 0").select("set_key").distinct().join(clusters.withColumnRenamed("id", "set_key"), "set_key", "left") \
         .select("set_key", F.coalesce("cluster_id", "set_key").alias("cluster"))
     per_text = ids.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    joined = texts.drop("tokens").join(per_text, "key").join(sets, "set_key", "left")
+    # a text whose row of smallest id is repeated was read once for each
+    joined = texts.select("key", "n", "set_key").distinct().join(per_text, "key").join(sets, "set_key", "left")
     names = joined.where("n > 0").groupBy("cluster").agg(F.min("first_id").alias("component_id"), F.count("*").alias("texts"))
     named = attach_by_key(joined, names, "cluster", "texts", "key").select("key", "copies", "n", "component_id")
     spread = ids.withColumn("_row", F.xxhash64("doc_id", "key"))

@@ -252,6 +252,14 @@ def test_cells_of_a_wide_family_stay_small(spark, monkeypatch):
     assert len(largest) == 3 and max(largest) <= 60
 
 
+def test_repeated_rows_of_smallest_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, text), (2, text), (3, text + " more"), (3, text + " more"), (4, "alone"), (4, "alone"), (None, text), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect(), brute.components(rows))
+    same(jaccard_join.keep_one(docs).collect(), [r for r, c in zip(rows, brute.components(rows), strict=True) if r[0] is None or r[0] == c[2]])
+
+
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
