@@ -65,17 +65,19 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Ledger rows for ``blobs`` (blob, text, missing array<string>): each rule named in ``missing``
-    is run. Starts are running sums of gaps and lengths, taken in a window per blob and rule."""
+    is run. Starts are running sums of gaps and lengths, taken in a window per blob and rule. A blob
+    may have several rows: they bring the same matches, which count once."""
     per_rule = F.array(*[F.struct(
         F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version"),
         F.array_contains("missing", r.kind).alias("due"),
         F.when(F.array_contains("missing", r.kind), _matches(F.col("text"), r)).alias("matches")) for r in rules])
     rows = blobs.select("blob", F.explode(per_rule).alias("r")).where("r.due") \
-        .select("blob", "r.rule", "r.rule_version", F.posexplode_outer("r.matches").alias("at", "m"))
+        .select("blob", "r.rule", "r.rule_version", F.posexplode_outer("r.matches").alias("at", "m")) \
+        .groupBy("blob", "rule", "rule_version", "at").agg(*[F.max(f"m.{c}").alias(c) for c in ("gap", "len", "stays")])
     order = Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("m.gap") + F.col("m.len")).over(order).cast("int")
+    end = F.sum(F.col("gap") + F.col("len")).over(order).cast("int")
     return rows.withColumn("end", end).groupBy("blob", "rule", "rule_version").agg(F.sort_array(F.collect_set(
-        F.when(F.col("m.stays"), F.struct((F.col("end") - F.col("m.len")).alias("start"), F.col("end"))))).alias("spans"))
+        F.when(F.col("stays"), F.struct((F.col("end") - F.col("len")).alias("start"), F.col("end"))))).alias("spans"))
 
 
 def scan_history(history: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES,
@@ -86,7 +88,8 @@ def scan_history(history: DataFrame, ledger: DataFrame | None = None, rules: Seq
     ``ledger``: what earlier runs returned, appended; None if there were none. Findings have one
     row per row of ``history``: path, version, blob, and ``spans``, all findings of the current
     rule versions as (start, kind_no, end, kind), in order. A null text is the empty blob. Repeated
-    rows share a blob and are scanned once, or twice where path and version repeat as well.
+    rows share a blob and are scanned once; those of equal path and version may be scanned each, with
+    the matches counted once.
     """
     version = history[version_col].cast("string") if version_col else F.lit("")
     text = F.coalesce(history[text_col].cast("string"), F.lit(""))
