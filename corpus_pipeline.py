@@ -15,8 +15,8 @@ from probatio.session import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules on their own text and on lines shared within their host."""
-    return quality_lines.keep_good(docs)
+    """Documents that pass the rules on their own text and on lines shared within their host, without those lines."""
+    return quality_lines.clean_good(docs)
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

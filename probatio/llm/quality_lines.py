@@ -91,7 +91,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def boilerplate(measured: DataFrame, rules: LineRules) -> DataFrame:
-    """(text_key, copies, removed_words): words in boilerplate lines of each text.
+    """(text_key, copies, removed_words, common): words in boilerplate lines of each text, and the hashes
+    of those lines, null if there are none; no more than the text has lines.
 
     Lines are counted once per different text of a host, with sums formed before the shuffle; a
     line that half a host shares is one row per map task there, and comes back to its texts by
@@ -102,20 +103,20 @@ def boilerplate(measured: DataFrame, rules: LineRules) -> DataFrame:
     held = measured.select("text_key", "host", F.explode("lines").alias("x")).groupBy(
         "text_key", "host", F.xxhash64("host", "x.h").alias("line")).agg(
         # every copy of a text brings its lines again; a maximum over one copy is told by count / copies
-        F.max("x.n").alias("n"), F.count("*").alias("times"))
+        F.max("x.n").alias("n"), F.count("*").alias("times"), F.max("x.h").alias("h"))
     counted = held.groupBy("line").agg(F.first("host").alias("host"), F.count("*").alias("documents")) \
         .where(F.col("documents") > rules.min_documents)
     small = attach_by_key(counted.withColumn("_id", F.col("line")), hosts, "host", "weight", "_id") \
         .where(F.col("documents") * 100 > F.col("host_documents") * rules.host_percent)
     common = small.select("line", "documents", F.lit(True).alias("common"))
     hit = attach_by_key(held, common, "line", "documents", "text_key").where("common")
-    removed = hit.groupBy("text_key").agg(F.sum(F.col("n") * F.col("times")).alias("words_of_copies"))
+    removed = hit.groupBy("text_key").agg(F.sum(F.col("n") * F.col("times")).alias("words_of_copies"), F.collect_set("h").alias("common"))
     return texts.join(removed, "text_key", "left").select(
-        "text_key", "copies", F.coalesce(F.expr("words_of_copies div copies"), F.lit(0)).alias("removed_words"))
+        "text_key", "copies", F.coalesce(F.expr("words_of_copies div copies"), F.lit(0)).alias("removed_words"), "common")
 
 
 def judge(measured: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """``measured`` without its lines, plus removed_words, base_failed and kept. ``measured`` is read
+    """``measured`` without its lines, plus removed_words, common, base_failed and kept. ``measured`` is read
     several times and should be a written table; it holds no text."""
     removed = boilerplate(measured, rules)
     rows = measured.drop("lines").withColumn("_row", F.xxhash64("doc_id", "text_key"))
@@ -133,7 +134,7 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words,
     base_failed, kept, host, text_key), one row per input row. The text is read once; its figures
     are written to the shared folder. An empty table gives none; an empty text fails."""
-    return judge(written(measure(docs, id_col, text_col, host_col), "quality"), rules)
+    return judge(written(measure(docs, id_col, text_col, host_col), "quality"), rules).drop("common")
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id",
@@ -150,3 +151,29 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "do
     keyed = docs.withColumn("_key", key)
     same = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_bad"))
     return keyed.join(bad, same, "left_anti").select(*docs.columns)
+
+
+def without_lines(text: Column, common: Column) -> Column:
+    """``text`` without the lines whose normalised form has a hash in ``common``."""
+    def stays(line: Column) -> Column:
+        w = words(line)
+        return (F.size(w) == 0) | ~F.array_contains(common, F.xxhash64(ascii_lower(F.array_join(w, " "))))
+    return F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+
+
+def clean_good(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id",
+               text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that pass, their texts without boilerplate lines; all other columns, and texts
+    without such lines, stay as they are. Rows meet their verdict by id and hash of host and text."""
+    judged = judge(written(measure(docs, id_col, text_col, host_col), "quality"), rules)
+    # equal rows have equal verdicts; only what changes a row is kept
+    verdicts = written(judged.where(~F.col("kept") | F.col("common").isNotNull()).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_told"), F.col("kept").alias("_kept"),
+        F.array_sort("common").alias("_common")).distinct(), "verdicts")
+    key = F.md5(F.concat_ws("\0", F.coalesce(docs[host_col].cast("string"), F.lit("\0")),
+                            F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    keyed = docs.withColumn("_key", key)
+    same = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_told"))
+    left = keyed.join(verdicts, same, "left").where(F.coalesce("_kept", F.lit(True)))
+    cleaned = F.when(F.col("_common").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col).cast("string"), F.col("_common")))
+    return left.withColumn("_text", cleaned).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

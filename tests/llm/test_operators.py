@@ -187,6 +187,21 @@ def test_quality_rules(docs, rows):
     same([(r.doc_id, r.text) for r in kept.collect()], [(d, t) for (d, t, _), w in zip(rows, want, strict=True) if w[8]])
 
 
+def test_boilerplate_lines_are_removed(docs, rows):
+    rules = quality_lines.LineRules(min_documents=5, host_percent=10)
+    common = brute.low("shared line of the host")
+    judged = brute.quality([(d, t, s or "\0") for d, t, s in rows], rules)
+    want = []
+    for (d, t, s), w in zip(rows, judged, strict=True):
+        if w[8]:
+            want.append((d, "\n".join(x for x in t.split("\n") if s != "hot" or brute.low(" ".join(brute.words(x))) != common)))
+            assert len(brute.words(t)) - len(brute.words(want[-1][1])) == w[6]
+    cleaned = quality_lines.clean_good(docs, rules)
+    assert cleaned.columns == docs.columns
+    same([(r.doc_id, r.text) for r in cleaned.collect()], want)
+    assert sum(w[8] and w[6] > 0 for w in judged) > 10
+
+
 # ---- 6 ---------------------------------------------------------------------------------------
 def test_repeated_bytes(docs, rows):
     got = repeated_bytes.repeated_spans(docs).collect()
