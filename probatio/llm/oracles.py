@@ -119,5 +119,43 @@ SELECT doc_id, n + 16 AS size, c AS text_crc32, 'key' AS law, CAST(shard AS INT)
     row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, c, n) - 1 AS slot, CAST(grown AS INT) AS grown_shard
 FROM b JOIN crc USING (rid) JOIN shards USING (rid)"""
 
-SQL = {"op1_blob_ledger": OP1, "op5_cross_document_lines": OP5, "op6_prefix_free_parsing": OP6,
-       "op7_set_relations": OP7, "op8_prefix_windows": OP8, "op9_jump_shards": OP9}
+_TERM11 = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP11 = f"""WITH {DOCS}, t AS (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS term FROM (
+    SELECT rid, doc_id, regexp_extract_all({LOW}, '{_TERM11}') AS ts FROM d) x),
+sums AS (SELECT CAST(count(DISTINCT rid) AS BIGINT) AS big_n, CAST(count(*) AS BIGINT) AS big_l FROM t),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, sums GROUP BY term),
+b AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM11}')) AS ts FROM benchmark),
+q AS (SELECT iid, item_id, unnest(ts) AS term FROM b),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term), sums GROUP BY iid, item_id, rid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+#: The checksum is folded by halves of bytes, over a table of 16 values. Words one edit apart share a
+#: form in which the place of the edit is marked or left out.
+_RUN12 = "[A-Za-z\u00C0-\u00FF]+"
+OP12 = f"""WITH RECURSIVE {DOCS}, nibbles AS (SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(0, 4), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+    FROM (SELECT unnest(range(0, 16)) AS b) x) y),
+runs AS (SELECT rid, doc_id, unnest(regexp_extract_all({LOW}, '{_RUN12}')) AS r FROM d),
+per AS (SELECT r, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS h FROM runs WHERE length(r) >= 6 GROUP BY rid, doc_id, r),
+crc AS (SELECT r, k, xor(list_reduce(range(0, CAST(length(h) AS BIGINT)), lambda c, i: xor(c >> 4, t[xor(c, CAST('0x' || substring(h, 2 * (i // 2) + 2 - i % 2, 1) AS BIGINT)) % 16 + 1]),
+    4294967295), 4294967295) AS c FROM per, nibbles),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN c % 199 = 0 THEN substring(r, 1, c % length(r)) || substring(r, c % length(r) + 2) ELSE r END AS word, k FROM crc) x
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS less, length(word) AS len FROM (
+    SELECT word, n, unnest(range(0, length(word))) AS i FROM v) x),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.len = b.len AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.less = b.word),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS no FROM near),
+said AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+    FROM v LEFT JOIN (SELECT * FROM best WHERE no = 1) b USING (word)),
+walk AS (SELECT word, word AS last, form AS ahead FROM said UNION ALL SELECT w.word, w.ahead, s.form FROM walk w JOIN said s ON s.word = w.ahead)
+SELECT word, form, last AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM said JOIN walk USING (word) WHERE ahead IS NULL"""
+
+SQL = {"op1_blob_ledger": OP1, "op5_cross_document_lines": OP5, "op6_prefix_free_parsing": OP6, "op7_set_relations": OP7,
+       "op8_prefix_windows": OP8, "op9_jump_shards": OP9, "op11_range_maxima": OP11, "op12_prefix_suffix_tiles": OP12}

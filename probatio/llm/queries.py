@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.llm import benchmark_windows, jaccard_join, jump_shards, lattice_scores, packed_ids, piece_chunks, quality_lines, repeated_bytes, secret_ledger, subword_quality
+from probatio.llm import (benchmark_windows, jaccard_join, jump_shards, language_families, lattice_scores, packed_ids, piece_chunks, quality_lines,
+                          ranked_search, repeated_bytes, secret_ledger, spelling_groups, subword_quality)
 from probatio.llm.common import table
 from probatio.llm.oracles import SQL
 
@@ -82,3 +83,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packed_ids")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packed_ids.checksums(spark, *packed_ids.write_ids(table(spark, folder, "documents")))
+
+
+@query("op11_range_maxima")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_prefix_suffix_tiles")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups.spelling_groups(table(spark, folder, "documents"), delete_every=199)
+
+
+@query("op13_language_families")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_families.identify(docs, language_families.train(docs)).select(
+        "doc_id", (language_families.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
