@@ -5,13 +5,13 @@ Answers arrive as rows (doc_id, agent, agent_ord, raw_response, provider, tokens
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatio import lexicons as lx
 from probatio.config import UsageLimits
 from probatio.functions import text as tx
+from probatio.operators.prefix import clamp, folded, running
 from probatio.operators.skew import top_per_key
 
 # Numbers are read as text first, so that "0.8" and 0.8 are both accepted, and
@@ -225,40 +225,50 @@ def agent_plan(ev: DataFrame, depth: str = "standard") -> DataFrame:
 
 
 # ---- usage ledger ------------------------------------------------------------------------
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def usage_windows(usage: DataFrame, limits: UsageLimits = UsageLimits(), minute: int = 60, hour: int = 3600) -> DataFrame:
     """Load before each request: requests of the last minute, tokens and cost of the last hour.
 
-    Only strictly younger than the window counts, and ties in time are ordered by request. The limits
-    are those of the settings times the key's rate multiplier before the request; requests and
-    tokens are cut to whole numbers.
-    The ledger of a key is cut into blocks of one hour; each row also serves as context of the next
-    block, which is as far as a window reaches. So one busy key is spread over its hours, each
-    row is copied once at most, and the frames stay exact.
+    Only strictly younger than the window counts, and ties in time are ordered by request. A request adds
+    its load when it is made and takes it away again when it leaves a window, so the load before a request is a
+    running total over these rows, however many requests a window holds. Costs are added
+    as decimals of twelve places, so what was added is taken away exactly.
     """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    size = hour * 1_000_000
-    base = usage.select("usage_key", "request_id", "tokens", "cost", us.alias("us")).withColumn(
-        "b", F.floor(F.col("us") / size))
-    rows = base.withColumn("o", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("b", F.col("b") + F.col("o"))
-    # events of one key at one instant: the earlier requests of that instant count, too
-    keyed = Window.partitionBy("usage_key", "b")
-    same = keyed.partitionBy("usage_key", "b", "us").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
-
-    def load(value: Column, seconds: int) -> Column:
-        before = keyed.orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), -1)
-        return F.coalesce(F.sum(value).over(before), F.lit(0)) + F.coalesce(F.sum(value).over(same), F.lit(0))
-
-    out = rows.withColumn("requests_60s", load(F.lit(1), minute)).withColumn(
-        "tokens_3600s", load(F.col("tokens"), hour)).withColumn("cost_3600s", load(F.col("cost"), hour))
-    rates = rate_multiplier(usage).select("usage_key", "request_id", F.col("multiplier_before").alias("rate"))
-    out = out.where("o = 0").join(rates, ["usage_key", "request_id"])
-    per_minute = F.floor(F.round(F.col("rate") * limits.requests_per_minute, 9))
-    per_hour = F.floor(F.round(F.col("rate") * limits.tokens_per_hour, 9))
-    over = ((F.col("requests_60s") >= per_minute) | (F.col("tokens_3600s") >= per_hour)
-            | (F.round("cost_3600s", 9) >= F.round(F.col("rate") * limits.cost_per_hour, 9)))
-    hit = (F.when(F.col("requests_60s") >= per_minute, minute).when(over, hour).otherwise(0))
-    return out.select("usage_key", "request_id", "us", "requests_60s", "tokens_3600s", "cost_3600s",
-                                     over.alias("over_limit"), hit.alias("window_seconds"))
+    us, tokens, cost = _micros(), F.col("tokens").cast("long"), F.col("cost").cast("decimal(28,12)")
+
+    def change(at: Column, made: bool, n: Column, t: Column, c: Column) -> Column:
+        return F.struct(at.alias("us"), F.lit(made).alias("made"), n.alias("n"), t.alias("t"), c.cast("decimal(28,12)").alias("c"))
+
+    nothing, free = F.lit(0).cast("long"), F.lit(0)
+    changes = usage.select("usage_key", "request_id", F.explode(F.array(
+        change(us, True, F.lit(1), tokens, cost), change(us + minute * 1_000_000, False, F.lit(-1), nothing, free),
+        change(us + hour * 1_000_000, False, F.lit(0), -tokens, -cost))).alias("e")).select("usage_key", "request_id", "e.*")
+    out = running(changes, ["usage_key"], ["us", "made", "request_id"], {
+        "requests_60s": ("sum", F.col("n")), "tokens_3600s": ("sum", F.col("t")), "cost_3600s": ("sum", F.col("c"))}, "usage").where("made")
+    over, window = _over(limits, F.lit(1.0), minute, hour)
+    return out.withColumn("cost_3600s", F.col("cost_3600s").cast("double")).select(
+        "usage_key", "request_id", "us", "requests_60s", "tokens_3600s", "cost_3600s", over.alias("over_limit"), window.alias("window_seconds"))
+
+
+def _over(limits: UsageLimits, rate: Column, minute: int, hour: int) -> tuple[Column, Column]:
+    """Is a request over the limits times ``rate``, and by which window? Requests and tokens are cut to whole numbers."""
+    by_minute = F.col("requests_60s") >= F.floor(F.round(rate * limits.requests_per_minute, 9))
+    by_hour = ((F.col("tokens_3600s") >= F.floor(F.round(rate * limits.tokens_per_hour, 9)))
+               | (F.round("cost_3600s", 9) >= F.round(rate * limits.cost_per_hour, 9)))
+    return by_minute | by_hour, F.when(by_minute, minute).when(by_hour, hour).otherwise(0)
+
+
+def usage_windows_scaled(usage: DataFrame, limits: UsageLimits = UsageLimits(), minute: int = 60, hour: int = 3600) -> DataFrame:
+    """A16 with both flags: ``over_limit`` by the limits of the settings, ``over_scaled`` by these limits
+    times the key's rate multiplier before the request, which is what a call is held to."""
+    rates = rate_multiplier(usage).select(F.col("usage_key").alias("_key"), F.col("request_id").alias("_request"), "multiplier_before")
+    out = usage_windows(usage, limits, minute, hour)
+    out = out.join(rates, (F.col("request_id") == F.col("_request")) & F.col("usage_key").eqNullSafe(F.col("_key"))).drop("_key", "_request")
+    over, window = _over(limits, F.col("multiplier_before"), minute, hour)
+    return out.withColumn("over_scaled", over).withColumn("scaled_window_seconds", window)
 
 
 RATE_UP, RATE_DOWN, RATE_MIN, RATE_MAX, ERRORS_BEFORE_CUT = 0.1, 0.7, 0.3, 1.0, 3
@@ -272,93 +282,48 @@ def rate_step(multiplier: float, errors: int, success: bool) -> tuple[float, int
     return (max(RATE_MIN, multiplier * RATE_DOWN) if errors >= ERRORS_BEFORE_CUT else multiplier), errors
 
 
-def consecutive_errors(usage: DataFrame, block_seconds: int = 86_400) -> DataFrame:
-    """Errors in a row before and after each request, per key, without one task per key.
+def consecutive_errors(usage: DataFrame) -> DataFrame:
+    """Errors in a row before and after each request, per key: requests are numbered, and the number of the last
+    success before a row tells how many errors followed it. Both are running totals."""
+    rows = usage.select("usage_key", "request_id", "success", _micros().alias("us"))
+    order = ["us", "request_id"]
+    numbered = running(rows, ["usage_key"], order, {"no": ("sum", F.lit(1))}, "requests")
+    last = running(numbered, ["usage_key"], order, {"last_ok": ("max", F.when(F.col("success"), F.col("no")))}, "errors")
+    before = F.col("no") - 1 - F.coalesce("last_ok", F.lit(-1))
+    return last.withColumn("errors_before", before).select(
+        "usage_key", "request_id", "us", "no", "success", "errors_before",
+        F.when(F.col("success"), 0).otherwise(F.col("errors_before") + 1).alias("consecutive_errors"))
 
-    Rows are numbered within a time block, and the last success before a row tells how many
-    errors followed it. A block that starts inside a series adds the errors its predecessors ended
-    with; those come from one row per key and block.
-    """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = usage.select("usage_key", "request_id", "success", us.alias("us")).withColumn(
-        "b", F.floor(F.col("us") / (block_seconds * 1_000_000)))
-    order = Window.partitionBy("usage_key", "b").orderBy("us", "request_id")
-    rows = rows.withColumn("i", F.row_number().over(order)).withColumn(
-        "last_ok", F.max(F.when(F.col("success"), F.col("i"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    blocks = rows.groupBy("usage_key", "b").agg(
-        F.max("i").alias("n"), F.max(F.when(F.col("success"), F.col("i"))).alias("ok"))
-    # blocks without success continue the series of the block before
-    per_key = Window.partitionBy("usage_key").orderBy("b")
-    upto = per_key.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.withColumn("grp", F.sum(F.when(F.col("ok").isNotNull(), 1).otherwise(0)).over(upto))
-    in_series = Window.partitionBy("usage_key", "grp").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    carried = blocks.withColumn("sofar", F.sum(F.col("n") - F.coalesce("ok", F.lit(0))).over(in_series)) \
-        .withColumn("errors_in", F.coalesce(F.lag("sofar").over(per_key), F.lit(0)))
-    before = F.when(F.col("last_ok").isNull(), F.col("i") - 1 + F.col("errors_in")).otherwise(
-        F.col("i") - 1 - F.col("last_ok"))
-    return (rows.join(carried.select("usage_key", "b", "errors_in"), ["usage_key", "b"])
-            .withColumn("errors_before", before).select(
-                "usage_key", "request_id", "us", "b", "success", "errors_before",
-                F.when(F.col("success"), 0).otherwise(F.col("errors_before") + 1).alias("consecutive_errors")))
-
-
-def _block_map(block: pd.DataFrame) -> pd.DataFrame:
-    """The effect of a block on any multiplier, as clamp(a*m + c, lo, hi)."""
-    a, c, lo, hi = 1.0, 0.0, RATE_MIN, RATE_MAX
-    ordered = block.sort_values(["us", "request_id"])
-    for ok, errors in zip(ordered["success"], ordered["consecutive_errors"]):
-        if ok:
-            c, lo, hi = c + RATE_UP, min(RATE_MAX, lo + RATE_UP), min(RATE_MAX, hi + RATE_UP)
-        elif errors >= ERRORS_BEFORE_CUT:
-            a, c = a * RATE_DOWN, c * RATE_DOWN
-            lo, hi = max(RATE_MIN, lo * RATE_DOWN), max(RATE_MIN, hi * RATE_DOWN)
-    return pd.DataFrame({"usage_key": [block["usage_key"].iloc[0]], "b": [block["b"].iloc[0]],
-                         "a": [a], "c": [c], "lo": [lo], "hi": [hi]})
-
-
-def _replay(block: pd.DataFrame) -> pd.DataFrame:
-    ordered = block.sort_values(["us", "request_id"])
-    m, out = float(ordered["m0"].iloc[0]), []
-    for ok, errors in zip(ordered["success"], ordered["errors_before"]):
-        before = m
-        m, _ = rate_step(m, int(errors), bool(ok))
-        out.append((before, m))
-    return ordered[["usage_key", "request_id", "consecutive_errors"]].assign(
-        multiplier=[after for _, after in out], multiplier_before=[before for before, _ in out])
-
-
-def rate_multiplier(usage: DataFrame, block_seconds: int = 86_400) -> DataFrame:
-    """The multiplier after each request, starting at 1 per key.
-
-    Each request maps the multiplier m to clamp(a*m + c, lo, hi), and such maps are closed under
-    composition. So each time block is first reduced to one map, the state at a block's start
-    follows from one short row per block before it, and then the blocks are replayed independently.
-    A key with very many requests is spread over its blocks (choose ``block_seconds`` so that a
-    block fits a task).
+
+def rate_multiplier(usage: DataFrame, block: int = 64) -> DataFrame:
+    """The multiplier before and after each request, starting at 1 per key.
+
+    Each request maps the multiplier m to min(hi, max(lo, a m + c)), and such maps are closed under
+    composition. So blocks of ``block`` requests become one map each, the maps are composed as a tree, and the blocks
+    are folded from their starts. No task holds the requests of a key.
     """
-    steps = consecutive_errors(usage, block_seconds)
-    maps = steps.groupBy("usage_key", "b").applyInPandas(
-        _block_map, "usage_key bigint, b bigint, a double, c double, lo double, hi double")
-    earlier = Window.partitionBy("usage_key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    start = maps.withColumn("m0", F.aggregate(
-        F.collect_list(F.struct("a", "c", "lo", "hi")).over(earlier), F.lit(RATE_MAX),
-        lambda m, x: F.least(F.greatest(x["a"] * m + x["c"], x["lo"]), x["hi"]))).select("usage_key", "b", "m0")
-    return steps.join(start, ["usage_key", "b"]).groupBy("usage_key", "b").applyInPandas(
-        _replay, "usage_key bigint, request_id bigint, consecutive_errors bigint, multiplier double, multiplier_before double")
+    one, zero, low, high = F.lit(1.0), F.lit(0.0), F.lit(RATE_MIN), F.lit(RATE_MAX)
+    step = F.when(F.col("success"), clamp(one, F.lit(RATE_UP), low, high)) \
+        .when(F.col("consecutive_errors") >= ERRORS_BEFORE_CUT, clamp(F.lit(RATE_DOWN), zero, low, high)) \
+        .otherwise(clamp(one, zero, low, high))
+    rows = consecutive_errors(usage).withColumn("step", step)
+    return folded(rows, ["usage_key"], "no", "step", F.lit(RATE_MAX), ["request_id", "consecutive_errors"], block).select(
+        "usage_key", "request_id", F.col("consecutive_errors").cast("long").alias("consecutive_errors"),
+        F.col("value").alias("multiplier"), F.col("value_before").alias("multiplier_before"))
 
 
 def backoff(usage: DataFrame, limits: UsageLimits = UsageLimits()) -> DataFrame:
-    """The pause each request over the limit would have caused.
+    """The pause each request over its scaled limit would have caused.
 
     min(window/10, 60) seconds, times 1.5 per consecutive error (five count at most), capped. The
     errors are those before the request, since the limit is checked before it is made.
     """
-    hits = usage_windows(usage, limits).where("over_limit").select("request_id", "window_seconds")
-    after = consecutive_errors(usage).select("usage_key", "request_id", "errors_before")
+    hits = usage_windows_scaled(usage, limits).where("over_scaled").select("request_id", F.col("scaled_window_seconds").alias("window_seconds"))
+    after_each = consecutive_errors(usage).select("usage_key", "request_id", "errors_before")
     seconds = F.least(F.least(F.col("window_seconds") * 0.1, F.lit(60.0))
                       * F.pow(F.lit(1.5), F.least("errors_before", F.lit(5))), F.lit(limits.max_backoff_seconds))
-    return hits.join(after, "request_id").select("usage_key", "request_id", "window_seconds", "errors_before",
-                                                 seconds.alias("backoff_seconds"))
+    return hits.join(after_each, "request_id").select("usage_key", "request_id", "window_seconds", "errors_before",
+                                                      seconds.alias("backoff_seconds"))
 
 
 def health_status(agents: DataFrame, limited: bool = False) -> DataFrame:

@@ -175,17 +175,28 @@ _FOLD = """WITH RECURSIVE steps AS (SELECT e.usage_key, e.request_id, e.success,
   row_number() OVER (PARTITION BY e.usage_key ORDER BY l.ts, e.request_id) AS i FROM errs e JOIN ledger l ON l.request_id = e.request_id),
   fold(usage_key, i, request_id, ce, m0, m) AS (SELECT usage_key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(1.0 AS DOUBLE), CAST(1.0 AS DOUBLE) FROM (SELECT DISTINCT usage_key FROM ledger) k
   UNION ALL SELECT s.usage_key, s.i, s.request_id, s.ce, f.m, CASE WHEN s.success THEN least(1.0, f.m + 0.1) WHEN s.ce >= 3 THEN greatest(0.3, f.m * 0.7) ELSE f.m END FROM fold f JOIN steps s ON s.usage_key = f.usage_key AND s.i = f.i + 1)"""
-_BY_MINUTE = f"requests_60s >= floor(round(m0 * {LIMITS.requests_per_minute}, 9))"
-_BY_HOUR = f"(tokens_3600s >= floor(round(m0 * {LIMITS.tokens_per_hour}, 9)) OR round(cost_3600s, 9) >= round(m0 * {LIMITS.cost_per_hour}, 9))"
-_UWIN = _FOLD + (f", uwin AS (SELECT *, {_BY_MINUTE} OR {_BY_HOUR} AS over_limit, CASE WHEN {_BY_MINUTE} THEN 60 WHEN {_BY_HOUR} THEN 3600 ELSE 0 END AS window_seconds FROM ("
-                 f"{_UW.replace(' OVER (w RANGE', ' OVER (PARTITION BY usage_key ORDER BY ts RANGE').replace('  WINDOW w AS (PARTITION BY usage_key ORDER BY ts)', '')}) w0 JOIN (SELECT request_id, m0 FROM fold WHERE i > 0) f0 USING (request_id))")
+def _flags(rate: str, over: str, window: str) -> str:
+    by_minute = f"requests_60s >= floor(round({rate} * {LIMITS.requests_per_minute}, 9))"
+    by_hour = f"(tokens_3600s >= floor(round({rate} * {LIMITS.tokens_per_hour}, 9)) OR round(cost_3600s, 9) >= round({rate} * {LIMITS.cost_per_hour}, 9))"
+    return f"{by_minute} OR {by_hour} AS {over}, CAST(CASE WHEN {by_minute} THEN 60 WHEN {by_hour} THEN 3600 ELSE 0 END AS BIGINT) AS {window}"
 
 
-@query("usage_windows", f"{_UWIN} SELECT usage_key, request_id, us, requests_60s, CAST(tokens_3600s AS BIGINT) AS tokens_3600s, {r6('cost_3600s')} AS cost_3600s, over_limit, CAST(window_seconds AS BIGINT) AS window_seconds FROM uwin")
+_LOADS = f"usage_key, request_id, us, requests_60s, CAST(tokens_3600s AS BIGINT) AS tokens_3600s, {r6('cost_3600s')} AS cost_3600s"
+_UW_INLINE = _UW.replace(" OVER (w RANGE", " OVER (PARTITION BY usage_key ORDER BY ts RANGE").replace("  WINDOW w AS (PARTITION BY usage_key ORDER BY ts)", "")
+_UWIN = _FOLD + (f", uwin AS (SELECT *, {_flags('1.0', 'over_limit', 'window_seconds')}, {_flags('m0', 'over_scaled', 'scaled_window_seconds')} "
+                 f"FROM ({_UW_INLINE}) w0 JOIN (SELECT request_id, m0 FROM fold WHERE i > 0) f0 USING (request_id))")
+
+
+@query("usage_windows", f"SELECT {_LOADS}, {_flags('1.0', 'over_limit', 'window_seconds')} FROM ({_UW_INLINE}) w0")
 def _(spark, d):
     return ai.usage_windows(ledger(spark, d), LIMITS)
 
 
+@query("usage_windows_scaled", f"{_UWIN} SELECT {_LOADS}, over_limit, window_seconds, {r6('m0')} AS multiplier_before, over_scaled, scaled_window_seconds FROM uwin")
+def _(spark, d):
+    return ai.usage_windows_scaled(ledger(spark, d), LIMITS)
+
+
 @query("consecutive_errors", "SELECT usage_key, request_id, errors_before, CASE WHEN success THEN 0 ELSE errors_before + 1 END AS consecutive_errors FROM errs")
 def _(spark, d):
     return ai.consecutive_errors(ledger(spark, d)).select("usage_key", "request_id", "errors_before", "consecutive_errors")
@@ -197,7 +208,7 @@ def _(spark, d):
     return ai.rate_multiplier(ledger(spark, d))
 
 
-@query("backoff", f"{_UWIN} SELECT u.usage_key, u.request_id, CAST(window_seconds AS BIGINT) AS window_seconds, errors_before, {r6(f'least(least(window_seconds * 0.1, 60.0) * pow(1.5, least(errors_before, 5)), {LIMITS.max_backoff_seconds})')} AS backoff_seconds FROM uwin u JOIN errs e ON e.request_id = u.request_id WHERE over_limit")
+@query("backoff", f"{_UWIN} SELECT u.usage_key, u.request_id, scaled_window_seconds AS window_seconds, errors_before, {r6(f'least(least(scaled_window_seconds * 0.1, 60.0) * pow(1.5, least(errors_before, 5)), {LIMITS.max_backoff_seconds})')} AS backoff_seconds FROM uwin u JOIN errs e ON e.request_id = u.request_id WHERE over_scaled")
 def _(spark, d):
     return ai.backoff(ledger(spark, d), LIMITS)
 

@@ -171,3 +171,43 @@ def test_rate_multiplier_equals_the_fold(spark, block):
             m = max(0.3, m * 0.7) if e >= 3 else m
         state[k] = (m, e)
         assert got[i]["multiplier"] == pytest.approx(m) and got[i]["consecutive_errors"] == e
+
+
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_rate_multiplier_in_small_blocks(spark, block):
+    rows = [*ledger(700), *[(None, 5000 + i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i % 5 == 0, 1, 0.1) for i in range(40)]]
+    got = {r["request_id"]: r for r in ai.rate_multiplier(spark.createDataFrame(rows, SCHEMA), block).collect()}
+    state = {}
+    for k, i, _, ok, _, _ in rows:
+        before, e = state.get(k, (1.0, 0))
+        after = min(1.0, before + 0.1) if ok else before * 0.7 if e >= 2 else before
+        state[k] = (max(0.3, after), 0 if ok else e + 1)
+        assert (got[i]["multiplier_before"], got[i]["multiplier"]) == (pytest.approx(before, abs=1e-12), pytest.approx(state[k][0], abs=1e-12))
+    assert len(got) == len(rows)
+
+
+def test_plain_and_scaled_limits_side_by_side(spark):
+    rows = ledger(300, seed=5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    limits = UsageLimits(3, 400, 12.0)
+    rates = {r["request_id"]: r["multiplier_before"] for r in ai.rate_multiplier(df).collect()}
+    plain = {r["request_id"]: (r["over_limit"], r["window_seconds"]) for r in ai.usage_windows(df, limits).collect()}
+    for r in ai.usage_windows_scaled(df, limits).collect():
+        for rate, over, window in ((1.0, r["over_limit"], r["window_seconds"]), (rates[r["request_id"]], r["over_scaled"], r["scaled_window_seconds"])):
+            minute = r["requests_60s"] >= int(round(rate * 3, 9))
+            hour = r["tokens_3600s"] >= int(round(rate * 400, 9)) or round(r["cost_3600s"], 9) >= round(rate * 12.0, 9)
+            assert (over, window) == (minute or hour, 60 if minute else 3600 if hour else 0)
+        assert plain[r["request_id"]] == (r["over_limit"], r["window_seconds"])
+
+
+def test_running_totals_of_a_hot_key_and_no_key(spark):
+    from probatio.operators.prefix import running
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), rng.randrange(50), i, rng.randrange(-5, 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, t long, i long, v long").repartition(7)
+    got = {r["i"]: (r["total"], r["top"]) for r in running(df, ["k"], ["t", "i"], {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}).collect()}
+    for k, t, i, _ in rows:
+        before = [r[3] for r in rows if r[0] == k and (r[1], r[2]) < (t, i)]
+        assert got[i] == (sum(before), max(before, default=None))
+    assert len(got) == len(rows)
