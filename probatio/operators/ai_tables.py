@@ -261,16 +261,21 @@ def _over(limits: UsageLimits, rate: Column, minute: int, hour: int) -> tuple[Co
     return by_minute | by_hour, F.when(by_minute, minute).when(by_hour, hour).otherwise(0)
 
 
-def usage_windows_scaled(usage: DataFrame, limits: UsageLimits = UsageLimits(), minute: int = 60, hour: int = 3600) -> DataFrame:
-    """A16 with both flags: ``over_limit`` by the limits of the settings, ``over_scaled`` by these limits
-    times the key's rate multiplier before the request, which is what a call is held to."""
-    rates = rate_multiplier(usage).select(F.col("usage_key").alias("_key"), F.col("request_id").alias("_request"), "multiplier_before")
+def _scaled(usage: DataFrame, limits: UsageLimits, minute: int = 60, hour: int = 3600) -> DataFrame:
+    rates = _rates(usage).select(F.col("usage_key").alias("_key"), F.col("request_id").alias("_request"),
+                                 F.col("value_before").alias("multiplier_before"), "errors_before")
     out = usage_windows(usage, limits, minute, hour)
     out = out.join(rates, (F.col("request_id") == F.col("_request")) & F.col("usage_key").eqNullSafe(F.col("_key"))).drop("_key", "_request")
     over, window = _over(limits, F.col("multiplier_before"), minute, hour)
     return out.withColumn("over_scaled", over).withColumn("scaled_window_seconds", window)
 
 
+def usage_windows_scaled(usage: DataFrame, limits: UsageLimits = UsageLimits(), minute: int = 60, hour: int = 3600) -> DataFrame:
+    """A16 with both flags: ``over_limit`` by the limits of the settings, ``over_scaled`` by these limits
+    times the key's rate multiplier before the request, which is what a call is held to."""
+    return _scaled(usage, limits, minute, hour).drop("errors_before")
+
+
 RATE_UP, RATE_DOWN, RATE_MIN, RATE_MAX, ERRORS_BEFORE_CUT = 0.1, 0.7, 0.3, 1.0, 3
 
 
@@ -295,6 +300,15 @@ def consecutive_errors(usage: DataFrame) -> DataFrame:
         F.when(F.col("success"), 0).otherwise(F.col("errors_before") + 1).alias("consecutive_errors"))
 
 
+def _rates(usage: DataFrame, block: int = 64) -> DataFrame:
+    one, zero, low, high = F.lit(1.0), F.lit(0.0), F.lit(RATE_MIN), F.lit(RATE_MAX)
+    step = F.when(F.col("success"), clamp(one, F.lit(RATE_UP), low, high)) \
+        .when(F.col("consecutive_errors") >= ERRORS_BEFORE_CUT, clamp(F.lit(RATE_DOWN), zero, low, high)) \
+        .otherwise(clamp(one, zero, low, high))
+    rows = consecutive_errors(usage).withColumn("step", step)
+    return folded(rows, ["usage_key"], "no", "step", high, ["request_id", "errors_before", "consecutive_errors"], block)
+
+
 def rate_multiplier(usage: DataFrame, block: int = 64) -> DataFrame:
     """The multiplier before and after each request, starting at 1 per key.
 
@@ -302,14 +316,8 @@ def rate_multiplier(usage: DataFrame, block: int = 64) -> DataFrame:
     composition. So blocks of ``block`` requests become one map each, the maps are composed as a tree, and the blocks
     are folded from their starts. No task holds the requests of a key.
     """
-    one, zero, low, high = F.lit(1.0), F.lit(0.0), F.lit(RATE_MIN), F.lit(RATE_MAX)
-    step = F.when(F.col("success"), clamp(one, F.lit(RATE_UP), low, high)) \
-        .when(F.col("consecutive_errors") >= ERRORS_BEFORE_CUT, clamp(F.lit(RATE_DOWN), zero, low, high)) \
-        .otherwise(clamp(one, zero, low, high))
-    rows = consecutive_errors(usage).withColumn("step", step)
-    return folded(rows, ["usage_key"], "no", "step", F.lit(RATE_MAX), ["request_id", "consecutive_errors"], block).select(
-        "usage_key", "request_id", F.col("consecutive_errors").cast("long").alias("consecutive_errors"),
-        F.col("value").alias("multiplier"), F.col("value_before").alias("multiplier_before"))
+    return _rates(usage, block).select("usage_key", "request_id", F.col("consecutive_errors").cast("long").alias("consecutive_errors"),
+                                       F.col("value").alias("multiplier"), F.col("value_before").alias("multiplier_before"))
 
 
 def backoff(usage: DataFrame, limits: UsageLimits = UsageLimits()) -> DataFrame:
@@ -318,12 +326,10 @@ def backoff(usage: DataFrame, limits: UsageLimits = UsageLimits()) -> DataFrame:
     min(window/10, 60) seconds, times 1.5 per consecutive error (five count at most), capped. The
     errors are those before the request, since the limit is checked before it is made.
     """
-    hits = usage_windows_scaled(usage, limits).where("over_scaled").select("request_id", F.col("scaled_window_seconds").alias("window_seconds"))
-    after_each = consecutive_errors(usage).select("usage_key", "request_id", "errors_before")
+    hits = _scaled(usage, limits).where("over_scaled").withColumn("window_seconds", F.col("scaled_window_seconds"))
     seconds = F.least(F.least(F.col("window_seconds") * 0.1, F.lit(60.0))
                       * F.pow(F.lit(1.5), F.least("errors_before", F.lit(5))), F.lit(limits.max_backoff_seconds))
-    return hits.join(after_each, "request_id").select("usage_key", "request_id", "window_seconds", "errors_before",
-                                                      seconds.alias("backoff_seconds"))
+    return hits.select("usage_key", "request_id", "window_seconds", "errors_before", seconds.alias("backoff_seconds"))
 
 
 def health_status(agents: DataFrame, limited: bool = False) -> DataFrame:
