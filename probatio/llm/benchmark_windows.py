@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import ascii_lower, bind, id_and_text
+from probatio.llm.common import ascii_lower, bind, id_and_text, packed, unpacked
 from probatio.session import written
 
 WINDOW = 10
@@ -110,7 +110,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window, with all their columns."""
     dirty = decontaminate(docs, items, id_col, text_col).where("contaminated").select("row_key").distinct()
-    key = F.md5(F.concat_ws("\0", F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("")),
-                            F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    out = docs.withColumn("row_key", key).join(dirty.withColumnRenamed("row_key", "_dirty"), F.col("row_key") == F.col("_dirty"), "left_anti")
-    return out.select(*docs.columns)
+    keyed = packed(docs, F.md5(F.concat_ws("\0", F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("")),
+                                           F.coalesce(docs[text_col].cast("string"), F.lit("")))).alias("row_key"))
+    return unpacked(keyed.join(dirty, "row_key", "left_anti"), docs.columns)

@@ -22,6 +22,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
+def packed(docs: DataFrame, *helpers: Column) -> DataFrame:
+    """The caller's rows as one column ``row`` beside an operator's own columns, whose names then cannot clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *helpers)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The caller's columns again, some of them ``changed``."""
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import id_and_text
+from probatio.llm.common import id_and_text, packed, unpacked
 from probatio.llm.shared_tokens import shared_tokens, shorten
 from probatio.llm.words import BASE, Letters, WordIndex, batch_bytes, groups, mix, slices, split_words
 from probatio.operators.components import connected_components
@@ -431,10 +431,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that a row of smaller id stands for: one per component.
-    Rows of one id and one component all stay if they have the smallest id."""
+    Rows of one id and one component all stay if they have the smallest id, and so do rows without an id, as no
+    smaller one can be told."""
     dropped = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+        F.col("doc_id").alias("id"), "key").distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.withColumn("_text_key", F.xxhash64(text, F.length(text)))
-    same = (keyed[id_col].cast("long") == F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    return keyed.join(dropped, same, "left_anti").select(*docs.columns)
+    keyed = packed(docs, docs[id_col].cast("long").alias("id"), F.xxhash64(text, F.length(text)).alias("key"))
+    return unpacked(keyed.join(dropped, ["id", "key"], "left_anti"), docs.columns)

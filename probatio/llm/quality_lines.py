@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import ascii_lower, bind, id_and_text
+from probatio.llm.common import ascii_lower, bind, id_and_text, packed, unpacked
 from probatio.operators.skew import attach_by_key
 from probatio.session import written
 
@@ -137,6 +137,12 @@ def quality_rules(docs: DataFrame, rules: LineRules = LineRules(), id_col: str =
     return judge(written(measure(docs, id_col, text_col, host_col), "quality"), rules).drop("common")
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(row, id, text_key): the caller's rows with the names that :func:`measure` gives them."""
+    return packed(docs, docs[id_col].cast("long").alias("id"), F.md5(F.concat_ws(
+        "\0", F.coalesce(docs[host_col].cast("string"), F.lit("\0")), F.coalesce(docs[text_col].cast("string"), F.lit("")))).alias("text_key"))
+
+
 def keep_good(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id",
               text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns as they are.
@@ -146,11 +152,8 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "do
     """
     judged = quality_rules(docs, rules, id_col, text_col, host_col)
     bad = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_bad")).distinct()
-    key = F.md5(F.concat_ws("\0", F.coalesce(docs[host_col].cast("string"), F.lit("\0")),
-                            F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    keyed = docs.withColumn("_key", key)
-    same = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_bad"))
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    keyed = _named(docs, id_col, text_col, host_col)
+    return unpacked(keyed.join(bad, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_bad")), "left_anti"), docs.columns)
 
 
 def without_lines(text: Column, common: Column) -> Column:
@@ -170,10 +173,9 @@ def clean_good(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "d
     verdicts = written(judged.where(~F.col("kept") | F.col("common").isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_told"), F.col("kept").alias("_kept"),
         F.array_sort("common").alias("_common")).distinct(), "verdicts")
-    key = F.md5(F.concat_ws("\0", F.coalesce(docs[host_col].cast("string"), F.lit("\0")),
-                            F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    keyed = docs.withColumn("_key", key)
-    same = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_told"))
-    left = keyed.join(verdicts, same, "left").where(F.coalesce("_kept", F.lit(True)))
-    cleaned = F.when(F.col("_common").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col).cast("string"), F.col("_common")))
-    return left.withColumn("_text", cleaned).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    keyed = _named(docs, id_col, text_col, host_col)
+    left = keyed.join(verdicts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_told")), "left") \
+        .where(F.coalesce("_kept", F.lit(True)))
+    text = F.col("row")[text_col]
+    cleaned = F.when(F.col("_common").isNull(), text).otherwise(without_lines(text.cast("string"), F.col("_common")))
+    return unpacked(left, docs.columns, **{text_col: cleaned})

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probatio.llm.common import bind
+from probatio.llm.common import bind, packed, unpacked
 from probatio.operators.skew import attach_by_key
 from probatio.session import written
 
@@ -160,10 +160,10 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, path_col: str = "doc_
     at = found.select(F.col("path").alias("_path"), "blob").distinct()
     cuts = attach_by_key(at.withColumn("_row", F.xxhash64("_path", "blob")), islands(found), "blob", "copies", "_row") \
         .select("_path", F.col("blob").alias("_found"), F.col("cuts").alias("_cuts"))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.withColumn("_blob", F.sha2(text, 256))
-    marked = keyed.join(cuts, keyed[path_col].eqNullSafe(F.col("_path")) & (F.col("_blob") == F.col("_found")), "left")
-    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = packed(docs, docs[path_col].alias("path"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256).alias("blob"))
+    marked = keyed.join(cuts, F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_found")), "left")
+    text = F.col("row")[text_col]
+    whole = F.coalesce(text.cast("string"), F.lit(""))
 
     def rebuilt(found: Column) -> Column:
         def piece(cut: Column, i: Column) -> Column:
@@ -172,6 +172,5 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, path_col: str = "doc_
         tail = F.substring(whole, F.element_at(found, -1)["end"] + 1, F.length(whole))
         return F.concat(F.array_join(F.transform(found, piece), ""), tail)
 
-    redacted = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(bind(F.col("_cuts"), rebuilt))
-    return marked.withColumn("_text", redacted).select(*[
-        F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    redacted = F.when(F.col("_cuts").isNull(), text).otherwise(bind(F.col("_cuts"), rebuilt))
+    return unpacked(marked, docs.columns, **{text_col: redacted})
