@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatio import lexicons as lx
 from probatio.functions import text as tx
-from probatio.operators.skew import blocked_row_number, top_per_key
+from probatio.operators.prefix import running
+from probatio.operators.skew import top_per_key
+from probatio.session import written
 
 LEXICON_ROWS = [(g, s, boost, template, lx.BASE_CONFIDENCE, words) for g, s, boost, template, words in lx.PATTERN_LEXICON]
 
@@ -124,20 +126,61 @@ def recurrence_first_events(events: DataFrame, at_least: int = 3, n: int = 5) ->
 def pattern_merge(patterns: DataFrame, boost: float = 0.05, block_size: int = 100_000) -> DataFrame:
     """One row per (type, title): highest confidence, number of files; and the boosted form.
 
-    In the boosted form each further pattern raises the running maximum by ``boost``, capped at 1, in
-    file order. Capped addition and maximum commute with the cap, so the value after n patterns is
-    ``min(1, max_i(c_i + boost * (n - max(i, 1))))`` with i counted from 0: a plain aggregate
-    once the patterns are numbered, instead of a sequential fold over a group.
+    ``merged`` counts files: a file in which several texts or sub-patterns show a pattern is one. In the boosted
+    form each further pattern raises the running maximum by ``boost``, capped at 1, in order of file and
+    confidence. Capped addition and maximum commute with the cap, so the value after n patterns is
+    ``min(1, max_i(c_i + boost * (n - max(i, 1))))`` with i counted from 1: an aggregate once the patterns are
+    numbered, which a running total over range partitions of about ``block_size`` rows does, however many a title has.
+    The rows are written first, so that the texts behind them are read once.
     """
-    numbered = blocked_row_number(patterns, ["pattern_type", "title"], "doc_id",
-                                  F.floor(F.col("doc_id") / block_size), "i")
-    lead = F.col("confidence") - boost * F.greatest(F.col("i") - 1, F.lit(1))
-    return numbered.groupBy("pattern_type", "title").agg(
+    rows = written(patterns.select("pattern_type", "title", "doc_id", "confidence"), "found-patterns")
+    numbered = running(rows, ["pattern_type", "title"], ["doc_id", "confidence"], {"before": ("sum", F.lit(1))}, "patterns",
+                       parts=1 + rows.count() // block_size)
+    lead = F.col("confidence") - boost * F.greatest(F.col("before"), F.lit(1))
+    # by file first: sums over few rows per file, and files counted without a set of them
+    per_file = numbered.groupBy("pattern_type", "title", "doc_id").agg(
+        F.max("confidence").alias("confidence"), F.count("*").alias("patterns"), F.max(lead).alias("lead"))
+    return per_file.groupBy("pattern_type", "title").agg(
         F.max("confidence").alias("confidence"), F.count("*").alias("merged"), F.min("doc_id").alias("first_file"),
-        F.least(F.lit(1.0), F.max(lead) + boost * F.count("*")).alias("boosted_confidence")) \
+        F.least(F.lit(1.0), F.max("lead") + boost * F.sum("patterns")).alias("boosted_confidence")) \
         .withColumn("pattern_id", pattern_id(F.col("pattern_type"), F.col("title")))
 
 
+def pattern_files(patterns: DataFrame) -> DataFrame:
+    """H03, the union of files: one row per merged pattern and file, with what the file adds to it."""
+    return patterns.groupBy(pattern_id(F.col("pattern_type"), F.col("title")).alias("pattern_id"), "doc_id").agg(
+        F.count("*").alias("patterns"), F.max("confidence").alias("confidence"))
+
+
+def pattern_matches(texts: DataFrame, lexicon: list[tuple] | None = None) -> DataFrame:
+    """H03, the matches of all files one after the other: one row per merged pattern, text and keyword, with the number of
+    matches and the place of the first in the text. Nothing is gathered into a list."""
+    text, lower = F.col("text"), F.col("lower_text")
+
+    def of(group: str, sub: str, words: list[str]) -> Column:
+        def one(w: str) -> Column:
+            pattern = F.lit(tx.whole_word(w))
+            return F.when(F.contains(lower, F.lit(w.lower())) & F.rlike(text, pattern), F.struct(
+                F.lit(group).alias("group_name"), F.lit(sub).alias("sub_pattern"), F.lit(w).alias("keyword"),
+                F.regexp_count(text, pattern).alias("matches"),
+                (F.length(F.element_at(F.split(text, tx.whole_word(w), 2), 1)) + 1).alias("first_place")))
+        return F.array_compact(F.array(*[one(w) for w in words]))
+
+    hits = F.concat(*[of(g, s, w) for g, s, _b, _t, _base, w in (lexicon or LEXICON_ROWS)])
+    rows = texts.withColumn("lower_text", F.lower("text")).select("doc_id", "source", F.explode(hits).alias("h")).select("doc_id", "source", "h.*")
+    title = F.concat(title_case(F.col("group_name")), F.lit(": "), title_case(F.col("sub_pattern")))
+    return rows.select(pattern_id(F.col("group_name"), title).alias("pattern_id"), "doc_id", "source", "keyword", "matches", "first_place")
+
+
+def pattern_events(patterns: DataFrame, events: DataFrame) -> DataFrame:
+    """H03, the distinct events of a merged pattern: those of its files, each date and type once, with the number of
+    files that tell it. Events are put together per file first, so a file with many patterns meets few rows."""
+    files = patterns.select(pattern_id(F.col("pattern_type"), F.col("title")).alias("pattern_id"), "doc_id").distinct()
+    per_file = events.select("doc_id", "event_date", "event_type").distinct()
+    return files.join(per_file, "doc_id").groupBy("pattern_id", "event_date", "event_type").agg(
+        F.count("*").alias("files"), F.min("doc_id").alias("first_file"))
+
+
 def theory_support_rows(patterns: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """(theory_name, pattern_id, confidence) for each pattern a rule accepts.
 
@@ -198,6 +241,26 @@ def pattern_top(patterns: DataFrame, n: int = 20) -> DataFrame:
     return patterns.orderBy(F.desc("confidence"), "pattern_id", "title").limit(n)
 
 
+def pattern_top_files(patterns: DataFrame, files: DataFrame, n: int = 10, shown: int = 5) -> DataFrame:
+    """The first ``n`` patterns of at least one file with their first ``shown`` files, a row each. The other side of
+    the join has ``n`` rows by construction."""
+    top = pattern_top(patterns, n).withColumn("place", F.row_number().over(Window.orderBy(F.desc("confidence"), "pattern_id", "title")))
+    rows = files.select("pattern_id", "doc_id").join(F.broadcast(top.select("pattern_id", "place", "title", "confidence")), "pattern_id")
+    return top_per_key(rows, ["pattern_id"], [F.asc("doc_id")], shown, "doc_id", "file_no").select(
+        "place", "pattern_id", "title", "confidence", "file_no", "doc_id")
+
+
+def theories_by_strength(patterns: DataFrame, at_least: float = 0.0, n: int | None = None) -> DataFrame:
+    """All theories, strongest first: mean confidence of the patterns behind each, how many there are, and the
+    strongest of them. The table has a row per rule, so ranks are given in one partition."""
+    rows = theory_support_rows(patterns).groupBy("theory_name").agg(
+        F.avg("confidence").alias("evidence_strength"), F.count("*").alias("supporting_patterns"),
+        F.min(F.struct((-F.col("confidence")).alias("c"), "pattern_id"))["pattern_id"].alias("strongest_pattern"))
+    rows = rows.where(F.col("evidence_strength") >= at_least).withColumn("rank", F.row_number().over(
+        Window.orderBy(F.desc(F.round("evidence_strength", 9)), F.desc("supporting_patterns"), "theory_name")))
+    return rows if n is None else rows.where(F.col("rank") <= n)
+
+
 def pattern_type_counts(patterns: DataFrame) -> DataFrame:
     """Patterns per type."""
     return patterns.groupBy("pattern_type").agg(F.count("*").alias("patterns"))

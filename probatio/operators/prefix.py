@@ -20,16 +20,16 @@ TOTALS = {"sum": F.sum, "max": F.max}
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]],
-            label: str = "running") -> DataFrame:
+            label: str = "running", parts: int | None = None) -> DataFrame:
     """``df`` with, for each name in ``values``, the sum or maximum of a column over the rows of its key
     that come before it in ``order``; a sum over no rows is 0, a maximum is null.
 
-    Rows are written once, in range partitions of (keys, order), as many as the session's shuffle
-    partitions. A key with very many rows spans many of them; each task's frame ends with its
+    Rows are written once, in ``parts`` range partitions of (keys, order), by default as many as the session's
+    shuffle partitions; ``df`` is read twice, as ranges are found by a sample. A key with very many rows spans many of them; each task's frame ends with its
     partition. Rows without a key are a key of their own.
     """
     keys, order = list(keys), list(order)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select("*", *[value.alias(f"_v_{name}") for name, (_, value) in values.items()])
     laid = written(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), label)
     per_part = laid.groupBy(*keys, "_part").agg(*[TOTALS[kind](f"_v_{name}").alias(f"_v_{name}") for name, (kind, _) in values.items()])

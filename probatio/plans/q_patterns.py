@@ -23,14 +23,14 @@ def _title(text: str) -> str:
 _TEXT_AT_WORDS = "regexp_replace(content, '[À-ÖØ-öø-ɏ]', '_', 'g')"
 
 
-def _lex_sql() -> str:
+def _lex_sql(texts: str = "lex_text") -> str:
     parts = []
     for group, sub, boost, _t, words in lx.PATTERN_LEXICON:
         counts = ["len(regexp_extract_all(txt, " + q(r"(?i)\b" + w.replace("-", "\\-") + r"\b") + "))" for w in words]
         kinds = " + ".join(f"CAST({c} > 0 AS INT)" for c in counts)
-        parts.append(f"SELECT doc_id, 'content' AS source, '{group}' AS group_name, '{sub}' AS sub_pattern, CAST({kinds} AS BIGINT) AS distinct_keywords, "
+        parts.append(f"SELECT doc_id, {"'content' AS source" if texts == "lex_text" else "source"}, '{group}' AS group_name, '{sub}' AS sub_pattern, CAST({kinds} AS BIGINT) AS distinct_keywords, "
                      f"CAST({' + '.join(counts)} AS BIGINT) AS total_matches, {lx.BASE_CONFIDENCE} AS base, {boost} AS boost, "
-                     f"concat({_title(q(group))}, ': ', {_title(q(sub))}) AS title FROM lex_text")
+                     f"concat({_title(q(group))}, ': ', {_title(q(sub))}) AS title FROM {texts}")
     return "SELECT *, least(1.0, base + boost * distinct_keywords)::DOUBLE AS confidence FROM (" + " UNION ALL ".join(parts) + ") l WHERE total_matches > 0"
 
 
@@ -86,13 +86,17 @@ def found_patterns(spark, d):
     return lexicon_patterns(spark, d).select("doc_id", F.col("group_name").alias("pattern_type"), "title", "confidence")
 
 
-COMMON["merged"] = ("SELECT sha256(concat(group_name, '#', title)) AS pattern_id, group_name AS pattern_type, title, max(confidence) AS confidence, count(*) AS merged, min(doc_id) AS first_file, "
-                    "least(1.0, max(confidence - 0.05 * greatest(i - 1, 1)) + 0.05 * count(*)) AS boosted_confidence FROM ("
-                    "SELECT *, row_number() OVER (PARTITION BY group_name, title ORDER BY doc_id) AS i FROM lexpat) p GROUP BY group_name, title")
+def _merged_sql(rows: str) -> str:
+    return ("SELECT sha256(concat(group_name, '#', title)) AS pattern_id, group_name AS pattern_type, title, max(confidence) AS confidence, count(DISTINCT doc_id) AS merged, min(doc_id) AS first_file, "
+            "least(1.0, max(confidence - 0.05 * greatest(i - 1, 1)) + 0.05 * count(*)) AS boosted_confidence FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY group_name, title ORDER BY doc_id, confidence) AS i FROM {rows}) p GROUP BY group_name, title")
+
+
+COMMON["merged"] = _merged_sql("lexpat")
 
 
 def merged(spark, d):
-    return pt.pattern_merge(found_patterns(spark, d), block_size=100)
+    return pt.pattern_merge(found_patterns(spark, d))
 
 
 @query("pattern_merge", f"SELECT pattern_id, pattern_type, title, {r6('confidence')} AS confidence, merged, first_file, {r6('boosted_confidence')} AS boosted_confidence FROM merged")
@@ -100,6 +104,54 @@ def _(spark, d):
     return merged(spark, d)
 
 
+# several texts of a file: its content and, of two files in three, the second half of it
+COMMON["lex_several"] = (f"SELECT doc_id, 'content' AS source, {_TEXT_AT_WORDS} AS txt FROM ev UNION ALL "
+                         f"SELECT doc_id, 'ocr_text', substring({_TEXT_AT_WORDS}, 1 + CAST(length(content) // 2 AS BIGINT)) FROM ev WHERE length(content) > 1 AND doc_id % 3 <> 0")
+COMMON["lexpat_several"] = _lex_sql("lex_several")
+
+
+def several_texts(spark, d):
+    """The content of each file and, of two in three, a second text of it."""
+    half = F.expr("substring(content, 1 + length(content) div 2)")
+    ev = evidence(spark, d).withColumn("ocr_text", F.when((F.col("doc_id") % 3 != 0) & (F.length("content") > 1), half))
+    return pj.text_sources(ev, ["content", "ocr_text"])
+
+
+def several_patterns(spark, d):
+    return pt.lexicon_patterns(several_texts(spark, d)).select("doc_id", F.col("group_name").alias("pattern_type"), "title", "confidence")
+
+
+@query("pattern_merge_texts", f"SELECT pattern_id, pattern_type, title, {r6('confidence')} AS confidence, merged, first_file, {r6('boosted_confidence')} AS boosted_confidence FROM ({_merged_sql('lexpat_several')}) m")
+def _(spark, d):
+    return pt.pattern_merge(several_patterns(spark, d))
+
+
+@query("pattern_merge_files", f"SELECT sha256(concat(group_name, '#', title)) AS pattern_id, doc_id, count(*) AS patterns, {r6('max(confidence)')} AS confidence FROM lexpat_several GROUP BY group_name, title, doc_id")
+def _(spark, d):
+    return pt.pattern_files(several_patterns(spark, d))
+
+
+def _matches_sql() -> str:
+    parts = []
+    for group, sub, _b, _t, words in lx.PATTERN_LEXICON:
+        for w in words:
+            p = q(r"(?i)\b" + w.replace("-", "\\-") + r"\b")
+            parts.append(f"SELECT sha256(concat('{group}#', {_title(q(group))}, ': ', {_title(q(sub))})) AS pattern_id, doc_id, source, {q(w)} AS keyword, len(regexp_extract_all(txt, {p})) AS matches, "
+                         f"length(string_split_regex(txt, {p})[1]) + 1 AS first_place FROM lex_several WHERE regexp_matches(txt, {p})")
+    return " UNION ALL ".join(parts)
+
+
+@query("pattern_merge_matches", _matches_sql())
+def _(spark, d):
+    return pt.pattern_matches(several_texts(spark, d))
+
+
+@query("pattern_merge_events", f"SELECT pattern_id, {day('event_date')}, event_type, count(*) AS files, min(doc_id) AS first_file FROM (SELECT DISTINCT sha256(concat(group_name, '#', title)) AS pattern_id, doc_id FROM lexpat) f "
+       "JOIN (SELECT DISTINCT doc_id, event_date, event_type FROM events_all) e USING (doc_id) GROUP BY pattern_id, event_date, event_type")
+def _(spark, d):
+    return pt.pattern_events(found_patterns(spark, d), events(spark, d))
+
+
 _RULES = " UNION ALL ".join(
     f"SELECT {q(name)} AS theory_name, pattern_id, confidence FROM merged WHERE pattern_type IN ({', '.join(q(t) for t in types)})"
     + (f" AND {any_sql(q('') + ' || replace(lower(title), ' + q(' ') + ', ' + q('_') + ')', terms)}" if terms else "")
@@ -188,6 +240,19 @@ def _(spark, d):
     return pt.pattern_top(all_patterns(spark, d).withColumn("confidence", F.round("confidence", 9)))
 
 
+@query("pattern_top_files", f"SELECT place, pattern_id, title, {r6('confidence')} AS confidence, file_no, doc_id FROM (SELECT place, t.pattern_id, title, t.confidence, doc_id, row_number() OVER (PARTITION BY t.pattern_id ORDER BY doc_id) AS file_no FROM ("
+       "SELECT *, row_number() OVER (ORDER BY round(confidence, 9) DESC, pattern_id, title) AS place FROM merged) t JOIN (SELECT DISTINCT sha256(concat(group_name, '#', title)) AS pattern_id, doc_id FROM lexpat) f ON f.pattern_id = t.pattern_id WHERE place <= 10) x WHERE file_no <= 5")
+def _(spark, d):
+    found = written(found_patterns(spark, d), "patterns")
+    return pt.pattern_top_files(pt.pattern_merge(found).withColumn("confidence", F.round("confidence", 9)), pt.pattern_files(found))
+
+
+@query("theories_by_strength", f"SELECT theory_name, {r6('evidence_strength')} AS evidence_strength, supporting_patterns, strongest_pattern, row_number() OVER (ORDER BY round(evidence_strength, 9) DESC, supporting_patterns DESC, theory_name) AS rank FROM ("
+       "SELECT theory_name, avg(confidence) AS evidence_strength, count(*) AS supporting_patterns, arg_min(pattern_id, (-confidence, pattern_id)) AS strongest_pattern FROM trows GROUP BY theory_name) x")
+def _(spark, d):
+    return pt.theories_by_strength(merged(spark, d))
+
+
 @query("pattern_type_counts", "SELECT pattern_type, count(*) AS patterns FROM allpat GROUP BY pattern_type")
 def _(spark, d):
     return pt.pattern_type_counts(all_patterns(spark, d))

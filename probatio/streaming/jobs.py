@@ -7,13 +7,12 @@ in the query's progress.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from probatio.config import ScoringConfig, UsageLimits
 from probatio.operators.ai_tables import RATE_MAX, rate_step
@@ -74,31 +73,71 @@ def stream_usage(usage: DataFrame, limits: UsageLimits = UsageLimits(), length:
     return out.select(F.col("w.start").alias("window_start"), "usage_key", "requests", "tokens", "cost", over.alias("over_limit"))
 
 
-RATE_STATE = "multiplier double, errors bigint, waiting string"
-
-
-def _rate(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
-    """Requests wait in the state until the watermark has passed them, are then folded in order of time,
-    and the state of a key without requests for ``keep_ms`` is dropped (its rate starts anew)."""
-    multiplier, errors, waiting = state.get if state.exists else (RATE_MAX, 0, "[]")
-    mark = state.getCurrentWatermarkMs()
-    rows = json.loads(waiting)
-    for batch in batches:
-        ms = batch["ts"].astype("datetime64[us]").astype("int64")
-        rows += [[int(t), int(r), bool(ok)] for t, r, ok in zip(ms, batch["request_id"], batch["success"], strict=True)]
-    rows.sort()
-    ready = [r for r in rows if r[0] <= mark * 1000]
-    rest, out = rows[len(ready):], []
-    for _, request, ok in ready:
-        multiplier, errors = rate_step(multiplier, int(errors), ok)
-        out.append((request, multiplier))
-    if not rest and state.hasTimedOut:
-        state.remove()
-    else:
-        state.update((multiplier, errors, json.dumps(rest)))
-        state.setTimeoutTimestamp(max(mark + 1, rest[0][0] // 1000 + 1 if rest else mark + keep_ms))
-    yield pd.DataFrame({"usage_key": [key[0]] * len(out), "request_id": [r for r, _ in out], "multiplier": [m for _, m in out]}).astype(
-        {"usage_key": "int64", "request_id": "int64", "multiplier": "float64"})
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class RateState(StatefulProcessor):
+    """Rate of one key: three numbers, and the requests that wait for the watermark as rows of a map.
+
+    A batch writes what arrives and sets a timer for the earliest of it. When the watermark passes a timer, the requests
+    it has passed are folded in order of time and forgotten, and the earliest of the rest has the next timer.
+    After ``keep_ms`` without requests a key's rate starts anew, and its state ends.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rate = handle.getValueState("rate", "multiplier double, errors bigint, last_ms bigint")
+        self.waiting = handle.getMapState("waiting", "us bigint, request_id bigint", "success boolean")
+
+    def _wake(self, us: int, mark: int) -> None:
+        """A timer at the first millisecond by which this time has passed; one that is past is due next."""
+        self.handle.registerTimer(max(-(-us // 1000), mark + 1))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            us = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for t, request, ok in zip(us, batch["request_id"].tolist(), batch["success"].tolist(), strict=True):
+                self.waiting.updateValue((t, request), (bool(ok),))
+            first = min([*us, *([] if first is None else [first])])
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"usage_key": [], "request_id": [], "multiplier": []}).astype(RATE_TYPES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        multiplier, errors, last = self.rate.get() if self.rate.exists() else (RATE_MAX, 0, None)
+        due, rest, out = [], None, []
+        for (us, request), (ok,) in self.waiting.iterator():
+            if us <= mark * 1000:
+                due.append((us, request, ok))
+            else:
+                rest = us if rest is None else min(rest, us)
+        for us, request, ok in sorted(due):
+            if last is not None and us // 1000 - last > self.keep_ms:
+                multiplier, errors = RATE_MAX, 0
+            multiplier, errors = rate_step(multiplier, int(errors), bool(ok))
+            last = us // 1000
+            out.append((request, multiplier))
+            self.waiting.removeKey((us, request))
+        if due:
+            self.rate.update((multiplier, errors, last))
+            self.handle.registerTimer(max(last + self.keep_ms, mark) + 1)
+        elif rest is None and last is not None and mark - last > self.keep_ms:
+            self.rate.clear()
+        if rest is not None:
+            self._wake(rest, mark)
+        yield pd.DataFrame({"usage_key": [key[0]] * len(out), "request_id": [r for r, _ in out],
+                            "multiplier": [m for _, m in out]}).astype(RATE_TYPES)
+
+    def close(self) -> None:
+        pass
+
+
+RATE_TYPES = {"usage_key": "int64", "request_id": "int64", "multiplier": "float64"}
 
 
 def stream_rate_state(usage: DataFrame, delay: str = "1 hour", keep: str = "7 days") -> DataFrame:
@@ -106,12 +145,14 @@ def stream_rate_state(usage: DataFrame, delay: str = "1 hour", keep: str = "7 da
 
     A request comes out once the watermark (latest time less ``delay``) has passed it, so requests
     that arrive up to ``delay`` late are folded in their place; later ones are dropped and counted in
-    the query's progress. State is two numbers and the waiting requests of a key, and ends after
-    ``keep`` without any. A group is one key's requests of one micro-batch, bounded by the trigger's
-    limits (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+    the query's progress. Waiting requests are rows of a map in the state store, so a batch writes only what
+    is new; the state of a key ends after ``keep`` without requests. Such state needs the RocksDB store,
+    which is set here for the queries that the session starts from now on.
     """
+    conf = usage.sparkSession.conf
+    if not conf.get(STORE, "").endswith("RocksDBStateStoreProvider"):
+        conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     rows = timed(usage.select("usage_key", "request_id", "ts", "success"), "ts", delay)
-    return rows.groupBy("usage_key").applyInPandasWithState(
-        lambda key, batches, state: _rate(key, batches, state, keep_ms),
-        "usage_key bigint, request_id bigint, multiplier double", RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("usage_key").transformWithStateInPandas(
+        RateState(keep_ms), "usage_key bigint, request_id bigint, multiplier double", "append", "eventtime")

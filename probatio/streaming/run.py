@@ -4,20 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from probatio.session import fresh_path
 
 
-def drained(stream: DataFrame, label: str) -> DataFrame:
-    """Append-mode run until all input is read; the table of everything that was emitted."""
-    spark = stream.sparkSession
-    path = fresh_path(spark, label)
+def started(stream: DataFrame, path: str) -> StreamingQuery:
+    """Append-mode run until all input is read; results under ``path``/out, state under ``path``/state."""
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
          .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
+
+
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """The table of everything that an append-mode run over all input emits."""
+    spark = stream.sparkSession
+    path = fresh_path(spark, label)
+    started(stream, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def late_rows(q: StreamingQuery) -> int:
+    """Rows that the state operators of a run have dropped as later than the watermark, told by its progress. Before an
+    aggregation these are a task's partial sums: late rows of one period and kind in one task count once."""
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+
+
 def upserted(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Update-mode run: each batch adds its changed rows, the newest row per key counts.
 

@@ -260,3 +260,31 @@ def test_files_on_disk(spark, tmp_path):
     mails = {r["path"].split("/")[-1]: r for r in fs.email_extract(scan.where("extension = '.eml'")).collect()}
     assert (mails["m.eml"]["subject"], mails["m.eml"]["recipient"], mails["m.eml"]["body"]) == ("Hi", "Unknown Recipient", "Body\n")
     assert mails["bad.eml"]["error"]
+
+
+def test_merged_patterns_count_files(spark):
+    """File 1 shows a pattern in two texts, file 2 in one: two files, three patterns."""
+    from probatio.operators import patterns as pt
+
+    rows = [(1, "g", "T", 0.5), (1, "g", "T", 0.7), (2, "g", "T", 0.6), (3, "g", "U", 0.9)]
+    df = spark.createDataFrame(rows, "doc_id long, pattern_type string, title string, confidence double")
+    got = {r["title"]: r for r in pt.pattern_merge(df).collect()}
+    assert (got["T"]["merged"], got["T"]["confidence"], got["T"]["first_file"]) == (2, 0.7, 1)
+    # in order 0.5, then max(0.5, 0.7) + 0.05, then max(0.75, 0.6) + 0.05
+    assert got["T"]["boosted_confidence"] == pytest.approx(0.8) and (got["U"]["merged"], got["U"]["boosted_confidence"]) == (1, 0.9)
+    files = {(r["pattern_id"], r["doc_id"]): (r["patterns"], r["confidence"]) for r in pt.pattern_files(df).collect()}
+    assert files[(got["T"]["pattern_id"], 1)] == (2, 0.7) and len(files) == 3
+    events = spark.createDataFrame([(1, "2024-01-02", "legal"), (1, "2024-01-02", "legal"), (2, "2024-01-02", "legal"), (2, "2024-03-01", "other"),
+                                    (9, "2024-01-02", "legal")], "doc_id long, event_date string, event_type string")
+    told = {(r["event_date"], r["event_type"]): (r["files"], r["first_file"]) for r in pt.pattern_events(df, events).collect()}
+    assert told == {("2024-01-02", "legal"): (2, 1), ("2024-03-01", "other"): (1, 2)}
+
+
+def test_matches_of_a_pattern_are_rows(spark):
+    from probatio.operators import patterns as pt
+
+    lexicon = [("money", "cash_flow", 0.1, "", 0.5, ["cash", "bank transfer"])]
+    texts = spark.createDataFrame([(1, "content", "Cash, cash and a bank transfer; cashier"), (1, "summary", "no money"), (2, "content", "BANK TRANSFER")],
+                                  "doc_id long, source string, text string")
+    got = {(r["doc_id"], r["source"], r["keyword"]): (r["matches"], r["first_place"]) for r in pt.pattern_matches(texts, lexicon).collect()}
+    assert got == {(1, "content", "cash"): (2, 1), (1, "content", "bank transfer"): (1, 18), (2, "content", "bank transfer"): (1, 1)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probatio.operators import ai_tables as ai
 from probatio.streaming import jobs
+from probatio.streaming.run import late_rows, started
 
 SCHEMA = "usage_key long, request_id long, ts timestamp, success boolean"
 
@@ -30,6 +31,34 @@ def test_rate_state_in_order_with_late_requests_and_restarts(spark, tmp_path):
     assert got == pytest.approx(want)  # all but the last request, which the watermark has not passed
 
 
+def test_rate_state_tells_every_request_and_starts_anew_after_a_pause(spark, tmp_path):
+    """Several files with a restart after each; a last row closes the stream, a request beyond the watermark is dropped."""
+    start, day = dt.datetime(2024, 1, 1), dt.timedelta(days=1)
+    rows = [(i % 3, i, start + dt.timedelta(minutes=i), i % 7 == 0) for i in range(45)]
+    paused = [(0, 100 + i, start + 10 * day + dt.timedelta(minutes=i), False) for i in range(4)]
+    closing = [(9, 999, start + 30 * day, True)]
+    too_late = [(1, 500, start + dt.timedelta(minutes=1), False)]
+    for batch in (rows[:20], rows[20:], paused, closing, too_late):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        drain(jobs.stream_rate_state(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")), tmp_path)
+    got = {r["request_id"]: r["multiplier"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    before = {r["request_id"]: r["multiplier"] for r in ai.rate_multiplier(spark.createDataFrame(rows, SCHEMA)).collect()}
+    anew = {r["request_id"]: r["multiplier"] for r in ai.rate_multiplier(spark.createDataFrame(paused, SCHEMA)).collect()}
+    assert got == pytest.approx({**before, **anew}) and 500 not in got
+
+
+def test_dropped_rows_are_counted(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    schema, counts = "ts timestamp, event_type string, value double", []
+    for hours in ([0, 1, 2, 50], [51, 3, 4], [60, 49, 5]):  # 3, 4 and 5 come after the watermark has passed their day
+        spark.createDataFrame([(start + dt.timedelta(hours=h), f"kind{h}", 1.0) for h in hours], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.stream_periods(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        counts.append(late_rows(started(stream, str(tmp_path))))
+    assert counts == [0, 2, 1]
+    kept = spark.read.parquet(f"{tmp_path}/out").agg(F.sum("events")).first()[0]
+    assert kept == 3  # those of the first day that were in time; the later days are still open
+
+
 def test_first_copy_wins_across_files(spark, tmp_path):
     for n, ids in enumerate(([1, 2], [3, 4])):
         rows = [(i, "same" if i != 4 else "other", dt.datetime(2024, 1, 1, n)) for i in ids]
