@@ -229,7 +229,9 @@ def semantic_neighbors(vectors: DataFrame, threshold: float = 0.85, n_pivots: in
     Pivots are a fixed number of rows.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    groups = vectors.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"))
+    # equal vectors by their text; adding zero makes -0 and 0 one
+    keyed = vectors.select("vec_id", "embedding", F.md5(F.transform("embedding", lambda x: x + F.lit(0).cast("float")).cast("string")).alias("vec_key"))
+    groups = keyed.groupBy("vec_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"), F.first("embedding").alias("embedding"))
     distinct = groups.select("rep", "embedding")
     pivots = _unit(pd.Series([r["embedding"] for r in distinct.orderBy(  # n_pivots rows, a fixed number
         F.xxhash64("rep"), "rep").limit(n_pivots).collect()]))
@@ -274,7 +276,8 @@ def semantic_neighbors(vectors: DataFrame, threshold: float = 0.85, n_pivots: in
     right = right.toDF(*right.columns)  # names of its own, as both sides come from one table
     near = left.groupBy("cell", "rb", "vb").cogroup(right.groupBy("cell", "rb", "vb")).applyInPandas(
         compare, "id1 bigint, id2 bigint, similarity double").withColumn("relation", F.lit("near"))
-    same = vectors.join(groups.where("members > 1").drop("members"), "embedding").where("vec_id <> rep").select(
+    same = attach_by_key(keyed.select("vec_id", "vec_key"), groups.where("members > 1").select("vec_key", "members", "rep"),
+                         "vec_key", "members", "vec_id").where("vec_id <> rep").select(
         F.col("rep").alias("id1"), F.col("vec_id").alias("id2"), F.lit(1.0).alias("similarity"), F.lit("same").alias("relation"))
     return near.unionByName(same)
 
