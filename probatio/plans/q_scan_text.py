@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from probatio import lexicons as lx
 from probatio.config import ScoringConfig
+from probatio.operators import custody
 from probatio.operators import projections as pj
 from probatio.operators import scans as sn
 from probatio.plans import scored as plan
@@ -11,6 +12,7 @@ from probatio.plans.registry import COMMON, lit_list, positions_sql, q, query, r
 from probatio.plans.registry import any_sql, hits_sql
 from probatio.session import fresh_path, written
 from probatio.sources import files as fs
+from probatio.sources import sinks
 from probatio.sources.sinks import write_bundle
 from probatio.sources.evidence import evidence, table
 
@@ -172,6 +174,34 @@ def _(spark, d):
     return sn.custody_ledger(evidence(spark, d))
 
 
+# three runs of an inventory: in the second, which is stored twice, some files are gone; in the third they are back and others changed
+def custody_runs(spark, d):
+    path, ev = fresh_path(spark, "custody"), evidence(spark, d)
+    ev = ev.withColumn("file_path", F.concat_ws("/", "doc_id", "file_path"))  # paths of the sample repeat; a ledger has each once a run
+    fewer = ev.where(F.col("doc_id") % 7 != 0)
+    changed = ev.withColumn("raw", F.when(F.col("doc_id") % 5 == 0, F.concat("raw", F.lit("+"))).otherwise(F.col("raw")))
+    for run, files in (("2024-01-01", ev), ("2024-02-01", fewer), ("2024-02-01", fewer), ("2024-03-01", changed)):
+        sinks.append_custody(files, F.lit(run), path)
+    return sinks.read_custody(spark, path)
+
+
+@query("custody_changes", "SELECT '2024-01-01' AS run_ts, concat(doc_id, '/', file_path) AS rel_path, 'added' AS change FROM ev "
+       "UNION ALL SELECT '2024-02-01', concat(doc_id, '/', file_path), CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'unchanged' END FROM ev "
+       "UNION ALL SELECT '2024-03-01', concat(doc_id, '/', file_path), CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END FROM ev")
+def _(spark, d):
+    return custody.custody_changes(custody_runs(spark, d))
+
+
+@query("custody_compare", "SELECT concat(doc_id, '/', file_path) AS rel_path, CASE WHEN doc_id % 5 = 0 THEN 'modified' ELSE 'unchanged' END AS change FROM ev")
+def _(spark, d):
+    return custody.custody_compare(custody_runs(spark, d), "2024-01-01", "2024-03-01")
+
+
+@query("custody_latest", "SELECT concat(doc_id, '/', file_path) AS rel_path, '2024-03-01' AS run_ts, CASE WHEN doc_id % 5 = 0 THEN sha256(concat(raw, '+')) ELSE file_hash END AS sha256 FROM ev")
+def _(spark, d):
+    return custody.custody_latest(custody_runs(spark, d)).select("rel_path", "run_ts", "sha256")
+
+
 # written and read back; the fields of each record are taken out of its JSON
 @query("export_bundle", f"SELECT 'files' AS table_name, 'Sample' AS case_name, CAST(doc_id AS VARCHAR) AS id, new_name AS name, {r6('overall_impact')} AS value FROM scored "
        "UNION ALL SELECT 'categories', 'Sample', category, subcategory, CAST(count(*) AS DOUBLE) FROM scored GROUP BY category, subcategory")

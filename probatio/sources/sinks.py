@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from probatio.operators import scans
 
@@ -18,8 +18,14 @@ def write_organized(scored: DataFrame, path: str) -> None:
 
 
 def append_custody(ev: DataFrame, run_ts: Column, path: str) -> None:
-    """This run's inventory; earlier runs stay as they are."""
-    scans.custody_ledger(ev, run_ts).write.mode("append").partitionBy("run_ts").parquet(path)
+    """This run's inventory. Earlier runs stay as they are, and a run that is repeated replaces itself only."""
+    scans.custody_ledger(ev, run_ts.cast("string")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run_ts").parquet(path)
+
+
+def read_custody(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of all runs; a filter on ``run_ts`` reads those runs alone."""
+    return spark.read.schema("rel_path string, sha256 string, size long, modified_ts timestamp, full_path string, run_ts string").parquet(path)
 
 
 def write_bundle(header: dict[str, str], tables: dict[str, DataFrame], path: str) -> None:

@@ -288,3 +288,28 @@ def test_matches_of_a_pattern_are_rows(spark):
                                   "doc_id long, source string, text string")
     got = {(r["doc_id"], r["source"], r["keyword"]): (r["matches"], r["first_place"]) for r in pt.pattern_matches(texts, lexicon).collect()}
     assert got == {(1, "content", "cash"): (2, 1), (1, "content", "bank transfer"): (1, 18), (2, "content", "bank transfer"): (1, 1)}
+
+
+def test_custody_runs(spark, tmp_path):
+    from probatio.operators import custody
+    from probatio.sources import sinks
+
+    def run(day, files):
+        ev = spark.createDataFrame([(p, t, len(t)) for p, t in files.items()], "file_path string, raw string, file_size long") \
+            .withColumn("modified_ts", F.lit("2024-01-01").cast("timestamp"))
+        sinks.append_custody(ev, F.lit(day), f"{tmp_path}/ledger")
+
+    run("d1", {"a": "1", "b": "1", "c": "1"})
+    run("d2", {"a": "1", "b": "wrong"})
+    run("d2", {"a": "1", "b": "2"})  # the same run again replaces itself
+    run("d3", {"a": "1", "b": "2", "c": "1", "d": "1"})
+    run("d4", {"a": "1"})
+    ledger = sinks.read_custody(spark, f"{tmp_path}/ledger")
+    assert ledger.count() == 10
+    got = {(r["run_ts"], r["rel_path"]): r["change"] for r in custody.custody_changes(ledger).collect()}
+    same, new, gone = "unchanged", "added", "missing"
+    assert got == {("d1", "a"): new, ("d1", "b"): new, ("d1", "c"): new, ("d2", "a"): same, ("d2", "b"): "modified", ("d2", "c"): gone,
+                   ("d3", "a"): same, ("d3", "b"): same, ("d3", "c"): new, ("d3", "d"): new,
+                   ("d4", "a"): same, ("d4", "b"): gone, ("d4", "c"): gone, ("d4", "d"): gone}
+    assert {r["rel_path"]: r["change"] for r in custody.custody_compare(ledger, "d1", "d3").collect()} == {"a": same, "b": "modified", "c": same, "d": new}
+    assert {r["rel_path"]: r["run_ts"] for r in custody.custody_latest(ledger).collect()} == {"a": "d4", "b": "d3", "c": "d3", "d": "d3"}
