@@ -70,29 +70,66 @@ def pattern_descriptions(ev: DataFrame, lexicon: list[tuple] | None = None, show
         F.array_join(F.slice("r.found", 1, shown), ", "), F.lit("'.")).alias("description"))
 
 
-def lexicon_patterns_joined(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """H01 for a lexicon too large for expressions: a join on words finds the keywords to look for.
+#: Keywords up to which a lexicon is broadcast; beyond, runs of words and keywords meet by a shuffle.
+BROADCAST_KEYWORDS = 200_000
+_WORD, _OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+#: What texts and keywords are read as: whole words, and every other character by itself.
+_UNIT = f"(?:{_WORD}++|{_OTHER})"
 
-    Distinct words of each text (without the text) meet the first words of the keywords. What is
-    left are the candidate keywords per text, at most a lexicon full; they return to the text by one
-    join, and each is then matched exactly.
+
+def _runs_of_units(text: Column, size: int) -> Column:
+    """Runs of ``size`` units that start and end at a word boundary, with the number of their first unit."""
+    run = f"(?:(?<!{_WORD})(?=({_UNIT}{{{size}}})(?!{_WORD}))|){_UNIT}"
+    placed = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(1)), lambda found, at: F.struct(
+        F.lower(found).alias("keyword"), at.alias("at"), F.lit(size).alias("size")))
+    return F.filter(placed, lambda p: p["keyword"] != "")
+
+
+def keyword_counts(texts: DataFrame, lexicon: DataFrame, broadcast_keywords: int = BROADCAST_KEYWORDS, labels: tuple = ("doc_id", "source")) -> DataFrame:
+    """(row, labels, keyword, n): whole-word matches of each lower-cased keyword in each row of ``texts``.
+
+    For a lexicon too large for expressions. Texts are read once, as runs of as many words and
+    other characters as some keyword has; a run that is no keyword goes at the join, and the text stays
+    behind. Matches of one keyword do not overlap, the leftmost counts; case is compared as lower
+    case. ``row`` numbers the input rows, so equal ids stay apart. Null and empty keywords match nothing.
     """
-    word = r"[\p{L}\p{N}_]+"
-    lex = lexicon.withColumn("first_word", F.regexp_extract(F.lower("keyword"), word, 0)).withColumn(
-        "pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), "keyword", F.lit(r"\E(?![\p{L}\p{N}_])")))
-    tokens = texts.select("doc_id", "source", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("first_word"))
-    candidates = tokens.join(lex, "first_word").groupBy("doc_id", "source").agg(F.collect_list(F.struct(
-        "group_name", "sub_pattern", "base_confidence", "boost", "pattern")).alias("ks"))
-    counted = F.transform("ks", lambda k: F.struct(
-        k["group_name"].alias("group_name"), k["sub_pattern"].alias("sub_pattern"),
-        k["base_confidence"].alias("base"), k["boost"].alias("boost"),
-        F.regexp_count(F.col("text"), k["pattern"]).alias("n")))
-    hits = texts.join(candidates, ["doc_id", "source"]).select("doc_id", "source", F.explode(
-        F.filter(counted, lambda k: k["n"] > 0)).alias("k")).select("doc_id", "source", "k.*")
-    return hits.groupBy("doc_id", "source", "group_name", "sub_pattern").agg(
+    keys = lexicon.where("keyword <> ''").select(F.lower("keyword").alias("keyword"), F.size(F.regexp_extract_all(
+        "keyword", F.lit(_UNIT), F.lit(0))).alias("size")).distinct()
+    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())
+    runs = F.concat(F.array().cast("array<struct<keyword:string,at:int,size:int>>"), *[_runs_of_units(F.col("text"), n) for n in sizes])
+    # explode_outer: Spark would put a filter on the size of the array before explode and so read each text twice
+    found = texts.select(F.monotonically_increasing_id().alias("row"), *labels, "text").select("row", *labels, F.explode_outer(runs).alias("run")) \
+        .select("row", *labels, "run.*")
+    small = keys.limit(broadcast_keywords + 1).count() <= broadcast_keywords
+    found = found.join(F.broadcast(keys) if small else keys, ["keyword", "size"], "left_semi")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("free"))
+    count = F.aggregate(F.sort_array(F.collect_list("at")), start, lambda acc, at: F.when(at >= acc["free"], F.struct(
+        (acc["n"] + 1).alias("n"), (at + F.col("size")).alias("free"))).otherwise(acc), lambda acc: acc["n"])
+    return found.groupBy("row", *labels, "keyword", "size").agg(count.alias("n")).drop("size")
+
+
+def lexicon_patterns_joined(texts: DataFrame, lexicon: DataFrame, broadcast_keywords: int = BROADCAST_KEYWORDS) -> DataFrame:
+    """H01 for a lexicon too large for expressions, from :func:`keyword_counts`."""
+    rules = lexicon.select(F.lower("keyword").alias("keyword"), "group_name", "sub_pattern", "base_confidence", "boost")
+    if lexicon.limit(broadcast_keywords + 1).count() <= broadcast_keywords:
+        rules = F.broadcast(rules)
+    return keyword_counts(texts, lexicon, broadcast_keywords).join(rules, "keyword").groupBy("row", "doc_id", "source", "group_name", "sub_pattern").agg(
         F.count("*").alias("distinct_keywords"), F.sum("n").alias("total_matches"),
-        F.least(F.lit(1.0), F.max("base") + F.max("boost") * F.count("*")).alias("confidence"))
+        F.least(F.lit(1.0), F.max("base_confidence") + F.max("boost") * F.count("*")).alias("confidence")).drop("row")
+
+
+def top_key_phrases(counts: DataFrame, n: int = 10) -> DataFrame:
+    """The keywords that occur most often in the texts of each folder; ``counts`` has folder, keyword, n."""
+    found = counts.groupBy("folder", F.col("keyword").alias("phrase")).agg(F.sum("n").alias("occurrences"))
+    return top_per_key(found, ["folder"], [F.desc("occurrences"), F.asc("phrase")], n, "phrase")
+
+
+def top_legal_arguments(counts: DataFrame, lexicon: DataFrame, n: int = 5) -> DataFrame:
+    """The sub-patterns that most files of each folder support by a keyword; ``counts`` has doc_id, folder, keyword."""
+    rules = lexicon.select(F.lower("keyword").alias("keyword"), "group_name", "sub_pattern").distinct()
+    files = counts.join(rules, "keyword").select("folder", "group_name", "sub_pattern", "doc_id").distinct()
+    found = files.groupBy("folder", "group_name", "sub_pattern").agg(F.count("*").alias("files"))
+    return top_per_key(found, ["folder"], [F.desc("files"), F.asc("group_name"), F.asc("sub_pattern")], n, "sub_pattern")
 
 
 def _recurring(events: DataFrame, at_least: int) -> DataFrame:

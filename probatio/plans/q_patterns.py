@@ -65,6 +65,39 @@ def _(spark, d):
     return pt.lexicon_patterns_joined(pj.text_sources(evidence(spark, d), ["content"]), fs.default_lexicon(spark))
 
 
+def _phrases_sql() -> str:
+    counts = {}
+    for _group, _sub, _b, _t, words in lx.PATTERN_LEXICON:
+        for w in words:
+            counts[w.lower()] = "len(regexp_extract_all(txt, " + q(r"(?i)\b" + w.replace("-", "\\-") + r"\b") + "))"
+    return " UNION ALL ".join(f"SELECT doc_id, folder, {q(w)} AS keyword, {c} AS n FROM lex_text JOIN cat_best USING (doc_id)" for w, c in counts.items())
+
+
+def _keyword_rules_sql() -> str:
+    rows = sorted({(w.lower(), g, s) for g, s, _b, _t, words in lx.PATTERN_LEXICON for w in words})
+    return "SELECT * FROM (VALUES " + ", ".join(f"({q(w)}, {q(g)}, {q(s)})" for w, g, s in rows) + ") v(keyword, group_name, sub_pattern)"
+
+
+COMMON["phrase_counts"] = f"SELECT * FROM ({_phrases_sql()}) p WHERE n > 0"
+
+
+def _folder_counts(spark, d):
+    texts = plan.categorised(evidence(spark, d)).select("doc_id", "folder", F.col("content").alias("text"))
+    return pt.keyword_counts(texts, fs.default_lexicon(spark), labels=("doc_id", "folder"))
+
+
+@query("top_key_phrases", "SELECT folder, phrase, CAST(occurrences AS BIGINT) AS occurrences, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY occurrences DESC, phrase) AS rn FROM ("
+       "SELECT folder, keyword AS phrase, sum(n) AS occurrences FROM phrase_counts GROUP BY ALL) a) b WHERE rn <= 10")
+def _(spark, d):
+    return pt.top_key_phrases(_folder_counts(spark, d))
+
+
+@query("top_legal_arguments", "SELECT folder, group_name, sub_pattern, files, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY files DESC, group_name, sub_pattern) AS rn FROM ("
+       f"SELECT folder, group_name, sub_pattern, count(DISTINCT doc_id) AS files FROM phrase_counts JOIN ({_keyword_rules_sql()}) r USING (keyword) GROUP BY ALL) a) b WHERE rn <= 5")
+def _(spark, d):
+    return pt.top_legal_arguments(_folder_counts(spark, d), fs.default_lexicon(spark))
+
+
 COMMON["recur"] = ("SELECT argument AS timeline, event_type, count(*) AS n, avg(evidence_strength) AS avg_strength, count(DISTINCT doc_id) AS files, min(event_date) AS first_date, max(event_date) AS last_date "
                    "FROM events_all GROUP BY argument, event_type HAVING count(*) >= 3")
 

@@ -172,6 +172,48 @@ def test_lexicon_confidence(spark):
     assert (other["distinct_keywords"], other["total_matches"], other["confidence"]) == (2, 4, pytest.approx(0.9))
 
 
+def lexicon_of(spark, words):
+    rows = [(i, "g", f"s{i % 7}", w, 0.4, 0.1, "") for i, w in enumerate(words)]
+    return spark.createDataFrame(rows, fs.LEXICON_SCHEMA)
+
+
+@pytest.mark.parametrize("broadcast_keywords", [0, 1000])
+def test_keyword_counts_equal_the_patterns(spark, broadcast_keywords):
+    import regex
+
+    from probatio.functions.text import whole_word
+    words = ["no", "no no", "No No No", "so-called", "$100", "c++", "(a)", "Zoë", "a", "A b", "!", "x_1", "\U0001F600 x", " no"]
+    texts = ["no no no no", "NO  no so-called, so-calledx $100 x$100 c++ c+++ (a) (a)b", "zoë ZOË Zoe a b a B! !! x_1 x_12", "", None,
+             "\U0001F600 x\U0001F600 x no", "a" * 5000 + " a b\nno no", "no no no no"]
+    df = spark.createDataFrame([(i if i < 7 else 0, "t", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = sorted((r["doc_id"], r["keyword"], r["n"]) for r in pt.keyword_counts(df, lexicon_of(spark, words + ["", "no"]), broadcast_keywords).collect())
+    want = sorted((i if i < 7 else 0, w.lower(), n) for i, t in enumerate(texts) for w in words for n in [len(regex.findall(whole_word(w).replace("(?iu)", "(?i)"), t or ""))] if n)
+    assert got == want
+
+
+def test_large_lexicon_reads_texts_once_and_shuffles_none(spark, tmp_path):
+    words = [f"k{i}" for i in range(25_000)] + [f"k{i} z{i}" for i in range(25_000)]
+    rows = [(i, "t", " ".join(f"k{(i * j) % 30_000} z{(i * j) % 30_000 if j % 2 else 1}" for j in range(300))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "texts"))
+    lexicon = lexicon_of(spark, words)
+    known = set(words)
+    want = {}
+    for i, _, t in rows:
+        w = t.split(" ")
+        n = sum(x in known for x in w) + sum(f"{a} {b}" in known for a, b in zip(w, w[1:]))
+        want[i] = n
+    for broadcast_keywords in (1000, 100_000):
+        out = pt.lexicon_patterns_joined(spark.read.parquet(str(tmp_path / "texts")), lexicon, broadcast_keywords)
+        got = {}
+        for r in out.collect():
+            got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["total_matches"]
+        assert got == want
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        parts = plan.split("\n\n")
+        assert sum("Scan parquet" in p and "text" in p for p in parts) == 1
+        assert not any("Exchange" in p.split("\n")[0] and " text#" in p for p in parts)
+
+
 def test_recurrence(spark):
     row = pt.recurrence_patterns(events(spark, ["2024-01-01"] * 4)).first()
     assert row["confidence"] == pytest.approx(0.85) and row["n"] == 4 and row["files"] == 4
