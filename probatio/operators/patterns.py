@@ -70,19 +70,29 @@ def pattern_descriptions(ev: DataFrame, lexicon: list[tuple] | None = None, show
         F.array_join(F.slice("r.found", 1, shown), ", "), F.lit("'.")).alias("description"))
 
 
-#: Keywords up to which a lexicon is broadcast; beyond, runs of words and keywords meet by a shuffle.
-BROADCAST_KEYWORDS = 200_000
+#: Keywords up to which their first words become a set within the expression, and up to which the lexicon is
+#: broadcast; beyond, runs of words and keywords meet by a shuffle.
+SET_KEYWORDS, BROADCAST_KEYWORDS = 5_000, 200_000
 _WORD, _OTHER = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 #: What texts and keywords are read as: whole words, and every other character by itself.
 _UNIT = f"(?:{_WORD}++|{_OTHER})"
 
 
-def _runs_of_units(text: Column, size: int) -> Column:
-    """Runs of ``size`` units that start and end at a word boundary, with the number of their first unit."""
-    run = f"(?:(?<!{_WORD})(?=({_UNIT}{{{size}}})(?!{_WORD}))|){_UNIT}"
-    placed = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(1)), lambda found, at: F.struct(
-        F.lower(found).alias("keyword"), at.alias("at"), F.lit(size).alias("size")))
-    return F.filter(placed, lambda p: p["keyword"] != "")
+def _openings(text: Column, most: int, first: list[str] | None) -> Column:
+    """Every unit after a word boundary (of those in ``first``, if given): its number, and up to ``most`` units from it on."""
+    units = F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(f"(?:(?<!{_WORD})(?=({_UNIT}{{1,{most}}}+))|){_UNIT}"), F.lit(1))
+    placed = F.transform(F.arrays_zip(units.alias("unit"), runs.alias("run")), lambda z, at: F.struct(
+        at.alias("at"), F.lower(z["unit"]).alias("first"), z["run"].alias("run")))
+    return F.filter(placed, lambda p: (p["run"] != "") & (F.lit(True) if first is None else p["first"].isin(first)))
+
+
+def _starts(run: Column, sizes: list[int]) -> Column:
+    """The first units of ``run`` as text, for each of ``sizes`` after which a word ends."""
+    units = F.regexp_extract_all(run, F.lit(_UNIT), F.lit(0))
+    return tx.bound(units, lambda u: F.filter(F.array(*[F.when(
+        (F.size(u) == n) | ((F.size(u) > n) & ~F.rlike(F.get(u, F.lit(n)), F.lit(_WORD))),
+        F.struct(F.lower(F.array_join(F.slice(u, 1, n), "")).alias("keyword"), F.lit(n).alias("size"))) for n in sizes]), lambda k: k.isNotNull()))
 
 
 def keyword_counts(texts: DataFrame, lexicon: DataFrame, broadcast_keywords: int = BROADCAST_KEYWORDS, labels: tuple = ("doc_id", "source")) -> DataFrame:
@@ -93,15 +103,18 @@ def keyword_counts(texts: DataFrame, lexicon: DataFrame, broadcast_keywords: int
     behind. Matches of one keyword do not overlap, the leftmost counts; case is compared as lower
     case. ``row`` numbers the input rows, so equal ids stay apart. Null and empty keywords match nothing.
     """
-    keys = lexicon.where("keyword <> ''").select(F.lower("keyword").alias("keyword"), F.size(F.regexp_extract_all(
-        "keyword", F.lit(_UNIT), F.lit(0))).alias("size")).distinct()
-    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect())
-    runs = F.concat(F.array().cast("array<struct<keyword:string,at:int,size:int>>"), *[_runs_of_units(F.col("text"), n) for n in sizes])
+    units = F.regexp_extract_all("keyword", F.lit(_UNIT), F.lit(0))
+    keys = lexicon.where("keyword <> ''").select(F.lower("keyword").alias("keyword"), F.size(units).alias("size"), F.lower(units[0]).alias("first")).distinct()
+    n_keys = keys.limit(broadcast_keywords + 1).count()
+    sizes = sorted(r["size"] for r in keys.select("size").distinct().collect()) or [1]
+    first = [r["first"] for r in keys.select("first").distinct().collect()] if n_keys <= min(SET_KEYWORDS, broadcast_keywords) else None
     # explode_outer: Spark would put a filter on the size of the array before explode and so read each text twice
-    found = texts.select(F.monotonically_increasing_id().alias("row"), *labels, "text").select("row", *labels, F.explode_outer(runs).alias("run")) \
-        .select("row", *labels, "run.*")
-    small = keys.limit(broadcast_keywords + 1).count() <= broadcast_keywords
-    found = found.join(F.broadcast(keys) if small else keys, ["keyword", "size"], "left_semi")
+    found = texts.select(F.monotonically_increasing_id().alias("row"), *labels, "text") \
+        .select("row", *labels, F.explode_outer(_openings(F.col("text"), sizes[-1] + 1, first)).alias("open")) \
+        .select("row", *labels, "open.at", F.explode_outer(_starts(F.col("open.run"), sizes)).alias("start")) \
+        .select("row", *labels, "at", "start.keyword", "start.size")
+    short = keys.select("keyword", "size")
+    found = found.join(F.broadcast(short) if n_keys <= broadcast_keywords else short, ["keyword", "size"], "left_semi")
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("free"))
     count = F.aggregate(F.sort_array(F.collect_list("at")), start, lambda acc, at: F.when(at >= acc["free"], F.struct(
         (acc["n"] + 1).alias("n"), (at + F.col("size")).alias("free"))).otherwise(acc), lambda acc: acc["n"])
