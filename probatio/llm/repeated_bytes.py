@@ -8,7 +8,9 @@ places. Triggers cut every text into phrases, so the corpus is a parse over a di
 2. The dictionary: around each shared trigger the phrase of up to ``length - window`` bytes on either
    side. Equal phrases are one entry with the smallest document that holds it.
 3. Entries of one trigger are put in suffix order: at each offset their strings of ``length`` bytes
-   are sorted, and each run of equal strings takes the smallest document of its entries.
+   are sorted, and each run of equal strings takes the smallest document of its entries. A trigger
+   that very many texts hold is no group: its entries become rows of hashed strings, whose smallest
+   documents Spark finds with partial aggregation and joins back.
 4. The parse: each document looks up its phrases, and what begins in a smaller document goes.
 
 Full suffix ranks of the corpus are never needed, as runs of equal strings of ``length`` bytes are
@@ -29,9 +31,12 @@ from pyspark.sql import functions as F
 from probatio.llm.common import id_and_text
 from probatio.llm.shared_tokens import shared_tokens, shorten
 from probatio.llm.words import BASE, BYTE, batch_bytes, groups, mix
+from probatio.operators.skew import attach_by_key
 from probatio.session import written
 
 LENGTH, TRIGGER = 50, 16
+#: A trigger in more texts than twice this is never one group; about as many entries make a group.
+HOT_TEXTS, GROUP_ENTRIES = 100_000, 100_000
 NO_ID = -(1 << 63)
 
 
@@ -251,19 +256,47 @@ def _phrases_of(batch: pa.RecordBatch, names: list[str], buckets: int) -> Iterat
         yield (*(np.concatenate(c) for c in zip(*found, strict=True)), *(np.repeat(v[a:b], counts) for v in values))
 
 
-def _dictionary(rows: DataFrame, buckets: int) -> DataFrame:
-    """(trigger, phrase_key, phrase, first_id, last_id), once per group of texts and phrase."""
+def _weigh_triggers(rows: DataFrame, hot_texts: int) -> tuple[np.ndarray, int]:
+    """(hot triggers by their short names, sorted; all pairs of text and trigger).
+
+    Each of the t tasks tells only triggers in more than hot_texts / t of its texts, and a trigger is hot
+    if the told counts exceed ``hot_texts``; so one that is not has at most twice as many texts. Hot ones
+    are fewer than the pairs divided by ``hot_texts``, which is raised with the pairs so that they are
+    at most a million.
+    """
+    held = rows.select("tokens")
+    total = held.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    pairs = total // 8
+    hot_texts = max(hot_texts, pairs // 1_000_000)
+    least = hot_texts // max(1, held.rdd.getNumPartitions())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            # a token stands once in each text's list
+            new, n = np.unique(np.frombuffer(b"".join(batch_bytes(batch.column("tokens"))), "<u8"), return_counts=True)
+            together, where = np.unique(np.concatenate([tokens, new]), return_inverse=True)
+            tokens, counts = together, np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
+        many = counts > least
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], names=["token", "n"])
+
+    told = held.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > hot_texts)
+    return np.sort(np.array([r["token"] for r in told.select("token").collect()], np.int64)).view(np.uint64), pairs
+
+
+def _dictionary(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """(trigger, hot, phrase_key, phrase, first_id, last_id), once per group of texts and phrase."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, hashes, table, ids in _phrases_of(batch, ["id"], buckets):
                 keys = phrase_keys(table)
                 where, low, high = distinct_entries(keys, ids, ids)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[where]), pa.array(keys[where]), as_binary(table[where]),
-                                                  pa.array(low), pa.array(high)],
-                                                 names=["trigger", "phrase_key", "phrase", "first_id", "last_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[where]), pa.array(np.isin(shorten(hashes[where], buckets), hot)),
+                                                  pa.array(keys[where]), as_binary(table[where]), pa.array(low), pa.array(high)],
+                                                 names=["trigger", "hot", "phrase_key", "phrase", "first_id", "last_id"])
 
     return rows.select("id", "text", "tokens").mapInArrow(
-        run, "trigger long, phrase_key long, phrase binary, first_id long, last_id long")
+        run, "trigger long, hot boolean, phrase_key long, phrase binary, first_id long, last_id long")
 
 
 def _ordered(entries: DataFrame, groups: int) -> DataFrame:
@@ -279,6 +312,57 @@ def _ordered(entries: DataFrame, groups: int) -> DataFrame:
     return entries.withColumn("group", F.pmod("trigger", F.lit(groups))).groupBy("group").applyInPandas(run, "phrase_key long, runs binary")
 
 
+def string_hashes(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, hash of 16 bytes) of each string of ``LENGTH`` bytes that lies whole in a phrase."""
+    left, right = table[:, 0].astype(np.int64), table[:, 1].astype(np.int64)
+    whole = np.concatenate([table[:, 2:2 + SIDE][:, ::-1], table[:, 2 + SIDE:]], axis=1)
+    rows, offsets, hashes = [], [], []
+    for at in range(SIDE + 1):
+        inside = np.flatnonzero((left >= SIDE - at) & (right >= at + TRIGGER))
+        wide = np.zeros((len(inside), -(-LENGTH // 8) * 8), np.uint8)
+        wide[:, :LENGTH] = whole[inside, at:at + LENGTH]
+        pair = np.zeros((len(inside), 2), np.uint64)
+        for column in wide.view("<u8").T:
+            pair[:, 0] = mix(pair[:, 0] * BASE + column)
+            pair[:, 1] = mix((pair[:, 1] ^ column) * BASE + np.uint64(1))
+        rows.append(inside)
+        offsets.append(np.full(len(inside), at))
+        hashes.append(pair)
+    return np.concatenate(rows), np.concatenate(offsets), np.concatenate(hashes)
+
+
+def _by_strings(entries: DataFrame) -> DataFrame:
+    """What :func:`_ordered` gives, for entries of hot triggers: no trigger and no string is a group in a task."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                keys = part.column("phrase_key").to_numpy()
+                where, low, high = distinct_entries(keys, part.column("first_id").to_numpy(), part.column("last_id").to_numpy())
+                table = np.frombuffer(b"".join(part.column("phrase").to_pylist()), np.uint8).reshape(-1, WIDTH)[where]
+                row, offset, hashes = string_hashes(table)
+                yield pa.RecordBatch.from_arrays([as_binary(hashes.view(np.uint8)), pa.array(keys[where][row]), pa.array(offset.astype(np.int32)),
+                                                  pa.array(low[row]), pa.array(high[row])],
+                                                 names=["string", "phrase_key", "offset", "first_id", "last_id"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("found").to_pylist()
+            first = np.full((len(found), SIDE + 1), np.iinfo(np.int64).max, np.int64)
+            for row, items in zip(first, found, strict=True):
+                for x in items:
+                    row[x["offset"]] = x["least"]
+            last = np.full(len(found), np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays([batch.column("phrase_key"), pa.array(pack_entries(first, last), pa.binary())], names=["phrase_key", "runs"])
+
+    strings = written(entries.select("phrase_key", "phrase", "first_id", "last_id").mapInArrow(
+        cut, "string binary, phrase_key long, offset int, first_id long, last_id long").withColumn("string", F.hex("string")), "strings")
+    per_string = strings.groupBy("string").agg(F.count("*").alias("n"), F.min("first_id").alias("least"), F.max("last_id").alias("most")) \
+        .where("least < most").drop("most")
+    met = attach_by_key(strings, per_string, "string", "n", "phrase_key").where("least < last_id")
+    return met.groupBy("phrase_key").agg(F.collect_set(F.struct("offset", "least")).alias("found")).mapInArrow(pack, "phrase_key long, runs binary")
+
+
 def _parse(rows: DataFrame, buckets: int) -> DataFrame:
     """(phrase_key, row, id, place): the phrases of each row, in place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +384,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _affected(id_and_text(docs, id_col, text_col), buckets)
     shared = rows.where(F.col("state") == "shared")
-    runs = written(_ordered(_dictionary(shared, buckets), 4 * buckets), "dictionary")
+    hot, pairs = _weigh_triggers(shared, HOT_TEXTS)
+    entries, n_groups = _dictionary(shared, buckets, hot), max(4 * buckets, pairs // GROUP_ENTRIES)
+    if len(hot):  # both parts are read from one pass over the texts
+        entries = written(entries, "entries")
+        runs = _ordered(entries.where("NOT hot"), n_groups).unionByName(_by_strings(entries.where("hot")))
+    else:
+        runs = _ordered(entries.drop("hot"), n_groups)
+    runs = written(runs, "dictionary")
     met = _parse(shared, buckets).join(runs, "phrase_key")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,6 +209,30 @@ def test_repeated_bytes(docs, rows):
     same(mine, brute.repeats(pairs(rows)))
 
 
+@pytest.mark.parametrize("hot_texts", [1, 4])
+def test_repeated_bytes_of_hot_triggers(spark, docs, rows, monkeypatch, hot_texts):
+    monkeypatch.setattr(repeated_bytes, "HOT_TEXTS", hot_texts)
+    got = repeated_bytes.repeated_spans(docs).collect()
+    mine = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got]
+    same(mine, brute.repeats(pairs(rows)))
+
+
+def test_hot_template_with_varying_surroundings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghij "))
+    some = lambda n: "".join(rng.choice(letters, n))
+    rows = [(int(i), some(60) + "==== the invoice of this month, due date ====" + some(60) + (" and a passage that two or three of the documents hold in full " if i % 9 == 0 else ""))
+            for i in rng.permutation(300)]
+    rows += [(5, rows[0][1]), (None, rows[1][1]), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(repeated_bytes, "HOT_TEXTS", 50)
+    found = []
+    monkeypatch.setattr(repeated_bytes, "_by_strings", lambda e, f=repeated_bytes._by_strings: found.append(e.count()) or f(e))
+    got = repeated_bytes.repeated_spans(df).collect()
+    assert found[0] > 200  # the template's phrases
+    same([(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got], brute.repeats(rows))
+
+
 def test_triggers_do_not_depend_on_what_is_around():
     rng = np.random.default_rng(0)
     text = bytes(rng.integers(97, 101, 5000, dtype=np.uint8)) + b"a" * 300 + bytes(rng.integers(0, 256, 2000, dtype=np.uint8))
