@@ -36,7 +36,8 @@ def jumps(key: Column, below: int) -> Column:
         moved = bind(grown, lambda key: F.struct(
             key.alias("key"),
             F.floor((state["next"] + 1).cast("double") * (F.lit(float(TWO_31)) / (
-                F.floor(key / _dec(TWO_33)) + 1).cast("double"))).cast("bigint").alias("next"),
+                # decimals round their quotient to six digits, so the rest goes first
+                F.floor((key - F.pmod(key, _dec(TWO_33))) / _dec(TWO_33)) + 1).cast("double"))).cast("bigint").alias("next"),
             F.concat(state["path"], F.array(state["next"].cast("int"))).alias("path")))
         return F.when(state["next"] < below, moved).otherwise(state)
 

@@ -334,6 +334,16 @@ def test_windows_when_no_side_is_small(docs, items, rows, monkeypatch):
 
 
 # ---- 9 ---------------------------------------------------------------------------------------
+def test_jumps_just_below_a_whole_quotient(spark):
+    keys = []
+    for jump in range(2, 40):  # the generator's next value is one below a multiple of 2^33, and one more would jump less far
+        below = (((1 << 31) // jump - 1) << 33) + (1 << 33) - 1
+        key = (below - 1) * pow(jump_shards.MULTIPLIER, -1, 1 << 64) % (1 << 64)
+        keys.append(key - (1 << 64) if key >> 63 else key)
+    got = jump_shards.assign(spark.createDataFrame([(k,) for k in keys], "doc_id long"), 40, 41).collect()
+    same([(r.doc_id, r.shard, r.grown_shard) for r in got], [(k, brute.jump(k, 40), brute.jump(k, 41)) for k in keys])
+
+
 def test_jump_shards(docs, rows):
     got = jump_shards.shard_documents(docs).collect()
     want = [(d, len((t or "").encode()) + 16, brute.crc(t), brute.jump(-1 if d is None else d, 40),
