@@ -284,7 +284,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
                                          if rows else {c: [] for c in ("part", "no", "file", "n_docs", "n_ids")}, schema=pa.schema(
             [("part", pa.int32()), ("no", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # by text among equal ids, so that a task run again gives every document the same start
+    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = written(ordered.mapInArrow(run, "part int, no int, file string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
     return folder, files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
