@@ -165,9 +165,9 @@ def recurrence_patterns(events: DataFrame, at_least: int = 3) -> DataFrame:
 
 
 def recurrence_first_events(events: DataFrame, at_least: int = 3, n: int = 5) -> DataFrame:
-    """The first events of each recurring type."""
-    kept = _recurring(events, at_least).select(F.col("timeline").alias("argument"), "event_type")
-    slim = events.select("argument", "event_type", "event_date", "doc_id", "position", "format", "title")
+    """The first events of each recurring type. The events are written first, so that the texts behind them are read once."""
+    slim = written(events.select("argument", "event_type", "event_date", "doc_id", "position", "format", "title", "evidence_strength"), "events")
+    kept = _recurring(slim, at_least).select(F.col("timeline").alias("argument"), "event_type")
     order = [F.asc("event_date"), F.asc("doc_id"), F.asc("position"), F.asc("format")]
     return top_per_key(slim.join(kept, ["argument", "event_type"], "left_semi"), ["argument", "event_type"], order, n, "doc_id") \
         .select("argument", "event_type", "rank", "event_date", "doc_id", "position", "title")

@@ -162,26 +162,30 @@ def date_clusters(events: DataFrame, gap_days: int = 30, keep: int = 2, report:
 HIGH_STRENGTH = 0.8
 
 
+def _critical_reason(busy: int) -> Column:
+    return F.when(F.col("event_count") >= busy, "High activity period") \
+        .when(F.col("_top") >= HIGH_STRENGTH, "High-strength evidence period")
+
+
 def critical_periods(events: DataFrame, busy: int = 3) -> DataFrame:
     """Months with many events, or else with strong ones. Titles: :func:`critical_titles`."""
     months = events.withColumn("month", F.date_format("event_date", "yyyy-MM")).groupBy("argument", "month").agg(
         F.count("*").alias("event_count"), F.avg("evidence_strength").alias("average_strength"),
         F.max("evidence_strength").alias("_top"))
-    reason = F.when(F.col("event_count") >= busy, "High activity period") \
-        .when(F.col("_top") >= HIGH_STRENGTH, "High-strength evidence period")
-    return months.withColumn("reason", reason).where("reason IS NOT NULL").drop("_top")
+    return months.withColumn("reason", _critical_reason(busy)).where("reason IS NOT NULL").drop("_top")
 
 
 def critical_titles(events: DataFrame, busy: int = 3) -> DataFrame:
     """Titles of the events of each critical month as rows with counts, never one long list.
 
-    A month picked for strength only lists its strong events. The side joined has one row per
-    argument and month.
+    A month picked for strength only lists its strong events. Months are sums over the written titles, so
+    the texts behind the events are read once; the side joined has one row per argument and month.
     """
-    titles = events.withColumn("month", F.date_format("event_date", "yyyy-MM")) \
-        .groupBy("argument", "month", "title").agg(
-            F.count("*").alias("n"), F.count_if(F.col("evidence_strength") >= HIGH_STRENGTH).alias("strong"))
-    picked = critical_periods(events, busy).select("argument", "month", "reason")
+    titles = written(events.withColumn("month", F.date_format("event_date", "yyyy-MM")).groupBy("argument", "month", "title").agg(
+        F.count("*").alias("n"), F.count_if(F.col("evidence_strength") >= HIGH_STRENGTH).alias("strong"),
+        F.max("evidence_strength").alias("top")), "titles")
+    months = titles.groupBy("argument", "month").agg(F.sum("n").alias("event_count"), F.max("top").alias("_top"))
+    picked = months.withColumn("reason", _critical_reason(busy)).where("reason IS NOT NULL").select("argument", "month", "reason")
     shown = F.when(F.col("reason") == "High activity period", F.col("n")).otherwise(F.col("strong"))
     return titles.join(picked, ["argument", "month"]).withColumn("events", shown).where("events > 0") \
         .select("argument", "month", "title", "events")
