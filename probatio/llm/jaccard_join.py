@@ -135,9 +135,10 @@ def _frequent(sets: DataFrame, most: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(tokens[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["token", "n"])
 
     rows = sets.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")) \
-        .orderBy(F.desc("n"), "token").limit(most).collect()
-    rows.sort(key=lambda r: (r.n, r.token))
-    return np.array([r.token for r in rows], np.int64).view(np.uint64)
+        .orderBy(F.desc("n"), "token").limit(most).toArrow()
+    # as Arrow columns: collect() would merge every partition's first ``most`` rows in the driver, and make an object of each
+    tokens, counts = (rows.column(c).to_numpy() for c in ("token", "n"))
+    return tokens[np.lexsort((tokens, counts))].view(np.uint64)
 
 
 def _prefix(tokens: np.ndarray, rank: np.ndarray, n: int, percent: int) -> np.ndarray:
