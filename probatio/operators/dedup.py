@@ -15,9 +15,15 @@ def exact_duplicates(ev: DataFrame) -> DataFrame:
 
     The original per hash is a partial aggregate, so a hash held by a third of all files is reduced
     before the shuffle; it comes back by a join that serves the heaviest hashes by broadcast.
-    Files without hash (unreadable) are never copies of each other.
+    Files without hash (unreadable) are never copies of each other. Hashes are written first, so the
+    texts behind them are read once.
     """
-    slim = ev.select("doc_id", "file_path", F.nullif("file_hash", F.lit("")).alias("file_hash"))
+    return duplicate_marks(written(ev.select("doc_id", "file_path", "file_hash"), "hashes"))
+
+
+def duplicate_marks(hashes: DataFrame) -> DataFrame:
+    """The same for hashes that are stored already; only ids, paths and hashes are read."""
+    slim = hashes.select("doc_id", "file_path", F.nullif("file_hash", F.lit("")).alias("file_hash"))
     first = (slim.where(F.col("file_hash").isNotNull()).groupBy("file_hash")
              .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "file_path")).alias("original"))
              .where("copies > 1"))

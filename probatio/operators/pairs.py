@@ -29,15 +29,28 @@ def _value_sets(ev: DataFrame, values: Column) -> DataFrame:
     return ev.select("doc_id", F.sort_array(values).alias("vals"))
 
 
-def _pairs_of(sets: DataFrame, *keep: str) -> DataFrame:
+#: Values of a set up to which its pairs are made in place; larger sets become a grid of cells.
+PAIR_BLOCK = 500
+
+
+def _pairs_of(sets: DataFrame, *keep: str, block: int | None = None) -> DataFrame:
     """All pairs a < b of each row's sorted array ``vals``, one row at a time (no array of pairs).
 
-    The outer form keeps Spark from adding a filter on ``vals`` below, which would run the regular
-    expressions behind it once more per text.
+    A set of more than ``block`` values is cut into blocks, and every two of them are a cell that any task
+    may take, so a directory with very many names is no single task. ``sets`` should be stored, as it is read twice.
     """
-    first = sets.select(*keep, "vals", F.posexplode_outer("vals").alias("i", "a"))
-    rest = F.slice("vals", F.col("i") + 2, F.size("vals"))
-    return first.where(F.col("i") < F.size("vals") - 1).select(*keep, "a", F.explode(rest).alias("b"))
+    block = block or PAIR_BLOCK
+    small = sets.where(F.size("vals") <= block).select(*keep, F.col("vals").alias("left"), F.col("vals").alias("right"), F.lit(0).alias("j"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("vals") - 1) / block).cast("int")),
+                       lambda i: F.slice("vals", i * block + 1, block))
+    cells = sets.where(F.size("vals") > block).select(*keep, cuts.alias("cuts")) \
+        .select(*keep, "cuts", F.posexplode("cuts").alias("i", "left")) \
+        .select(*keep, "left", F.posexplode(F.slice("cuts", F.col("i") + 1, F.size("cuts"))).alias("j", "right")) \
+        .repartition(*[F.col(c) for c in keep], F.element_at("left", 1), F.element_at("right", 1))
+    first = small.unionByName(cells).select(*keep, "right", "j", F.posexplode("left").alias("i", "a"))
+    # within a block (j = 0) a value meets those behind it, in another block all
+    rest = F.when(F.col("j") == 0, F.slice("right", F.col("i") + 2, F.size("right"))).otherwise(F.col("right"))
+    return first.select(*keep, "a", F.explode(rest).alias("b"))
 
 
 def _cooccurrence(ev: DataFrame, values: Column, names: tuple[str, str], step: float, cap: float,
@@ -56,16 +69,16 @@ def _cooccurrence(ev: DataFrame, values: Column, names: tuple[str, str], step: f
     used = one.groupBy("v").agg(F.sum("n").alias("files"), F.count("*").alias("n_sets")).where(F.col("files") >= min_files)
     sets = attach_by_key(one, used.select("v", "n_sets", "files"), "v", "n_sets", "set_id").where("files IS NOT NULL") \
         .groupBy("set_id", "n", "first_doc", "last_doc").agg(F.sort_array(F.collect_set("v")).alias("vals"))
-    pairs = _pairs_of(sets, "n", "first_doc", "last_doc").groupBy("a", "b").agg(
+    pairs = _pairs_of(written(sets, "value-sets"), "n", "first_doc", "last_doc").groupBy("a", "b").agg(
         F.sum("n").alias("n_files"), F.min("first_doc").alias("first_file"), F.max("last_doc").alias("last_file"))
     return pairs.where(F.col("n_files") >= min_files).select(
         F.col("a").alias(names[0]), F.col("b").alias(names[1]), "n_files", "first_file", "last_file",
         F.least(F.lit(cap), F.col("n_files") * step).alias("confidence"))
 
 
-def name_cooccurrence(ev: DataFrame, min_files: int = 2) -> DataFrame:
-    """Names that appear together in several files."""
-    return _cooccurrence(ev, names_in(F.col("content")), ("name1", "name2"), 0.3, 0.9, min_files)
+def name_cooccurrence(ev: DataFrame, min_files: int = 2, names: Column | None = None) -> DataFrame:
+    """Names that appear together in several files; ``names`` where they have been found before."""
+    return _cooccurrence(ev, names_in(F.col("content")) if names is None else names, ("name1", "name2"), 0.3, 0.9, min_files)
 
 
 def term_cooccurrence(ev: DataFrame, terms: list[str] | None = None, min_files: int = 2) -> DataFrame:
@@ -75,8 +88,13 @@ def term_cooccurrence(ev: DataFrame, terms: list[str] | None = None, min_files:
 
 
 def _pair_files(sets: DataFrame, min_files: int) -> DataFrame:
-    """(a, b, doc_id) for pairs of values in several files. Sets (doc_id, vals) are written once; a
-    pair in very many files comes back by :func:`attach_by_key`."""
+    """(a, b, doc_id) for pairs of values in several files. Sets (doc_id, vals) are written once; values of
+    fewer files go before pairs are made; a pair in very many files comes back by :func:`attach_by_key`."""
+    sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "value-sets")
+    one = sets.select("row", "doc_id", F.explode("vals").alias("v"))
+    used = one.groupBy("v").agg(F.count("*").alias("files")).where(F.col("files") >= min_files).withColumn("kept", F.lit(True))
+    sets = attach_by_key(one, used, "v", "files", "row").where("kept").groupBy("row", "doc_id").agg(
+        F.sort_array(F.collect_set("v")).alias("vals"))
     rows = _pairs_of(written(sets, "value-sets"), "doc_id").withColumn("pair", F.concat_ws("\0", "a", "b"))
     kept = rows.groupBy("pair").agg(F.count("*").alias("files")).where(F.col("files") >= min_files)
     return attach_by_key(rows, kept.withColumn("kept", F.lit(True)), "pair", "files", "doc_id").where("kept").select("a", "b", "doc_id")

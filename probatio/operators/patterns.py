@@ -34,16 +34,23 @@ def lexicon_patterns(texts: DataFrame, lexicon: list[tuple] | None = None) -> Da
     ``texts`` has doc_id, source, text. Keywords are matched as whole words in one narrow pass; the
     regular expression runs only where the plain words occur.
     """
-    text, lower = F.col("text"), F.col("lower_text")
+    rules = lexicon_rules(F.col("text"), F.col("lower_text"), lexicon)
+    return rule_patterns(texts.withColumn("lower_text", F.lower("text")).select("doc_id", "source", F.explode(rules).alias("r")))
+
 
+def lexicon_rules(text: Column, lower: Column, lexicon: list[tuple] | None = None) -> Column:
+    """Each sub-pattern of the lexicon with the matches of its keywords in one text."""
     def rule(group: str, sub: str, boost: float, base: float, words: list[str]) -> Column:
         counts = [F.when(F.contains(lower, F.lit(w.lower())),
                          F.regexp_count(text, F.lit(tx.whole_word(w)))).otherwise(0) for w in words]
         return F.struct(F.lit(group).alias("group_name"), F.lit(sub).alias("sub_pattern"),
                         F.lit(base).alias("base"), F.lit(boost).alias("boost"), F.array(*counts).alias("counts"))
 
-    rules = F.array(*[rule(g, s, b, base, w) for g, s, b, _t, base, w in (lexicon or LEXICON_ROWS)])
-    rows = texts.withColumn("lower_text", F.lower("text")).select("doc_id", "source", F.explode(rules).alias("r"))
+    return F.array(*[rule(g, s, b, base, w) for g, s, b, _t, base, w in (lexicon or LEXICON_ROWS)])
+
+
+def rule_patterns(rows: DataFrame) -> DataFrame:
+    """The rows of H01 from (doc_id, source, r), ``r`` being an entry of :func:`lexicon_rules`."""
     out = rows.select("doc_id", "source", "r.group_name", "r.sub_pattern", "r.base", "r.boost",
                       F.size(F.filter("r.counts", lambda c: c > 0)).alias("distinct_keywords"),
                       F.aggregate("r.counts", F.lit(0), lambda a, c: a + c).alias("total_matches"))

@@ -23,20 +23,29 @@ def date_mentions(ev: DataFrame, window: int = 100, wide: int = 200) -> DataFram
     other than the text are carried along.
     """
     keep = [c for c in ev.columns if c != "content"]
+    return mention_rows(ev.select(*keep, mentions_in(F.col("content"), window, wide).alias("mentions")))
 
+
+def mention_rows(found: DataFrame) -> DataFrame:
+    """Rows of the column ``mentions``, with the other columns of ``found``."""
+    keep = [c for c in found.columns if c != "mentions"]
+    return found.select(*keep, F.explode("mentions").alias("d")).select(*keep, "d.*")
+
+
+def mentions_in(text: Column, window: int = 100, wide: int = 200) -> Column:
+    """The mentions of one text as an array, null if there are none."""
     def found_by(fmt: str, pattern: str, conf: float) -> Column:
-        return F.transform(tx.match_positions(F.col("content"), pattern), lambda m: F.struct(
+        return F.transform(tx.match_positions(text, pattern), lambda m: F.struct(
             m["start"].alias("position"), m["raw"].alias("raw_date"), F.lit(fmt).alias("format"),
             F.lit(conf).alias("confidence")))
 
     def cut(matches: Column) -> Column:
-        return tx.bound(tx.segments(F.col("content")), lambda parts: F.transform(matches, lambda m: F.struct(
+        return tx.bound(tx.segments(text), lambda parts: F.transform(matches, lambda m: F.struct(
             m["position"].alias("position"), m["raw_date"].alias("raw_date"), m["format"].alias("format"), m["confidence"].alias("confidence"),
             tx.around(parts, m["position"], F.length(m["raw_date"]), window).alias("context"),
             tx.around(parts, m["position"], F.lit(0), wide).alias("nearby"))))
 
-    found = tx.bound(F.concat(*[found_by(*p) for p in lx.DATE_PATTERNS]), lambda ms: F.when(F.size(ms) > 0, cut(ms)))
-    return ev.select(*keep, F.explode(found).alias("d")).select(*keep, "d.*")
+    return tx.bound(F.concat(*[found_by(*p) for p in lx.DATE_PATTERNS]), lambda ms: F.when(F.size(ms) > 0, cut(ms)))
 
 
 def date_parse(mentions: DataFrame, pivot: int = 70) -> DataFrame:
@@ -98,9 +107,14 @@ def metadata_events(categorised: DataFrame) -> DataFrame:
 
 def timeline_events(categorised: DataFrame) -> DataFrame:
     """All events of a corpus: T01, T02, T04 and T05 in one table."""
-    cols = categorised.select("doc_id", "file_path", "folder", "content")
-    return pattern_events(date_parse(date_mentions(cols))).select(*EVENT_COLUMNS) \
-        .unionByName(metadata_events(categorised).select(*EVENT_COLUMNS))
+    return fact_events(categorised.withColumn("mentions", mentions_in(F.col("content"))))
+
+
+def fact_events(facts: DataFrame) -> DataFrame:
+    """The same where the mentions of each file have been found before."""
+    mentions = mention_rows(facts.select("doc_id", "file_path", "folder", "mentions"))
+    return pattern_events(date_parse(mentions)).select(*EVENT_COLUMNS) \
+        .unionByName(metadata_events(facts).select(*EVENT_COLUMNS))
 
 
 # ---- timelines -------------------------------------------------------------------

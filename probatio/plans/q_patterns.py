@@ -254,11 +254,17 @@ COMMON["allpat_id"] = "SELECT sha256(concat(pattern_type, '#', title)) AS patter
 
 
 def all_patterns(spark, d):
-    ev = evidence(spark, d)
+    """All detectors over facts that one pass over the texts has stored."""
+    facts = plan.text_facts(evidence(spark, d))
+    return fact_patterns(facts)
+
+
+def fact_patterns(facts):
     cols = ["pattern_type", "title", "confidence", "n_files"]
-    names = pr.name_cooccurrence(ev).withColumn("pattern_type", F.lit("name_cooccurrence")).withColumn("title", F.concat_ws(" / ", "name1", "name2"))
-    times = pt.recurrence_patterns(events(spark, d)).withColumn("pattern_type", F.lit("temporal")).withColumn("n_files", F.col("files"))
-    found = merged(spark, d).withColumn("n_files", F.col("merged"))
+    names = pr.name_cooccurrence(facts, names=F.col("names")).withColumn("pattern_type", F.lit("name_cooccurrence")).withColumn("title", F.concat_ws(" / ", "name1", "name2"))
+    times = pt.recurrence_patterns(tl.fact_events(facts)).withColumn("pattern_type", F.lit("temporal")).withColumn("n_files", F.col("files"))
+    hits = pt.rule_patterns(facts.select("doc_id", F.lit("content").alias("source"), F.explode("hits").alias("r")))
+    found = pt.pattern_merge(hits.select("doc_id", F.col("group_name").alias("pattern_type"), "title", "confidence")).withColumn("n_files", F.col("merged"))
     return pt.pattern_union(found.select(*cols), names.select(*cols), times.select(*cols)).withColumn(
         "pattern_id", pt.pattern_id(F.col("pattern_type"), F.col("title")))
 

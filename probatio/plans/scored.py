@@ -13,8 +13,12 @@ from probatio.config import ScoringConfig
 from probatio.functions import text as tx
 from probatio.operators import categorize as ca
 from probatio.operators import dedup as dd
+from probatio.operators import patterns as pt
 from probatio.operators import projections as pj
 from probatio.operators import scoring as sc
+from probatio.operators import timeline as tl
+from probatio.operators.entities import names_in
+from probatio.session import written
 
 
 def categorised(ev: DataFrame) -> DataFrame:
@@ -53,8 +57,19 @@ def scored_with_duplicates(ev: DataFrame, cfg: ScoringConfig = ScoringConfig(),
                            preview: int = 500) -> DataFrame:
     """The same with is_duplicate / duplicate_of, and a preview in place of the text.
 
-    The duplicate search shuffles ids and hashes only, and its marks meet records without text.
+    One pass over the texts writes the records; the duplicate search reads their ids and hashes, and a
+    report the columns it shows, so a summary is only shuffled where it is asked for.
     """
-    marks = dd.exact_duplicates(ev).drop("file_hash")
     records = scored(ev, cfg, rules).withColumn("content_preview", F.substring("content", 1, preview)).drop("content", "raw")
-    return records.join(marks, "doc_id")
+    records = written(records, "records")
+    return records.join(dd.duplicate_marks(records).drop("file_hash"), "doc_id")
+
+
+def text_facts(ev: DataFrame) -> DataFrame:
+    """What the detectors of a corpus ask of each text, found in one pass and stored without it: folder, names,
+    lexicon hits, and dated mentions with what is around them. Null where there is no text."""
+    text, lower = F.col("content"), F.col("lower_text")
+    hits = F.filter(pt.lexicon_rules(text, lower), lambda r: F.exists(r["counts"], lambda c: c > 0))
+    return written(categorised(ev).withColumn("lower_text", F.lower("content")).select(
+        "doc_id", "file_path", "file_name", "file_type", "created_ts", "modified_ts", "folder",
+        names_in(text).alias("names"), hits.alias("hits"), tl.mentions_in(text).alias("mentions")), "facts")

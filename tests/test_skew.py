@@ -12,8 +12,12 @@ from probatio.config import UsageLimits
 from probatio.operators import ai_tables as ai
 from probatio.operators import dedup as dd
 from probatio.operators import pairs as pr
+from probatio.operators import scans
 from probatio.operators.components import connected_components
 from probatio.operators.skew import attach_by_key, blocked_row_number, top_per_key
+from probatio.plans import q_patterns
+from probatio.plans import scored as plan
+from probatio.sources.evidence import evidence
 
 
 def hot_keys(n=300):
@@ -211,3 +215,36 @@ def test_running_totals_of_a_hot_key_and_no_key(spark):
         before = [r[3] for r in rows if r[0] == k and (r[1], r[2]) < (t, i)]
         assert got[i] == (sum(before), max(before, default=None))
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("block", [2, 3, 500])
+def test_pairs_of_large_sets_as_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(pr, "PAIR_BLOCK", block)
+    draw = random.Random(4)
+    rows = [(i, sorted(draw.sample([f"v{k:02}" for k in range(30)], draw.choice([0, 1, 2, 6, 20])))) for i in range(25)]
+    rows.append((3, ["v01", "v02", "only here"]))  # a repeated id is a row of its own
+    want = [(a, b, i) for i, vals in rows for a, b in itertools.combinations(vals, 2)]
+    files = {}
+    for a, b, _ in want:
+        files[a, b] = files.get((a, b), 0) + 1
+    got = pr._pair_files(spark.createDataFrame(rows, "doc_id long, vals array<string>"), 2).collect()
+    assert sorted(map(tuple, got)) == sorted(w for w in want if files[w[:2]] >= 2)
+
+
+@pytest.mark.parametrize("name", ["exact_duplicates", "duplicate_report", "organize_sink", "all_patterns"])
+def test_texts_are_read_once(spark, small, name):
+    ev, read = evidence(spark, small), spark.sparkContext.accumulator(0)
+    schema, n = ev.schema, ev.count()
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seen = ev.mapInArrow(counted, schema)
+    done = {"exact_duplicates": dd.exact_duplicates,
+            "duplicate_report": lambda e: dd.duplicate_report(plan.scored_with_duplicates(e)),
+            "organize_sink": lambda e: scans.organize_manifest(plan.scored_with_duplicates(e)),
+            "all_patterns": lambda e: q_patterns.fact_patterns(plan.text_facts(e))}[name](seen)
+    done.collect()
+    assert read.value == n
