@@ -153,7 +153,7 @@ def shared_tokens(rows: DataFrame, maker: Callable[[], Callable[[list[bytes]], l
                     names=["key", "tokens"])
 
     sent = rows.select("key", "text").mapInArrow(split, "bucket int, owners binary, home int, keys binary, counts binary, tokens binary")
-    return sent.repartition(n, "bucket").mapInArrow(meet, ANSWER).repartition(n, "home").mapInArrow(gather, "key long, tokens binary")
+    return sent.repartitionById(n, "bucket").mapInArrow(meet, ANSWER).repartitionById(n, "home").mapInArrow(gather, "key long, tokens binary")
 
 
 def shorten(tokens: np.ndarray, buckets: int) -> np.ndarray:
