@@ -8,15 +8,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from probatio import lexicons as lx
 from probatio.config import UsageLimits
 from probatio.operators import ai_tables as ai
 from probatio.operators import dedup as dd
 from probatio.operators import pairs as pr
 from probatio.operators import scans
+from probatio.operators import timeline as tl
 from probatio.operators.components import connected_components
 from probatio.operators.skew import attach_by_key, blocked_row_number, top_per_key
 from probatio.plans import q_patterns
 from probatio.plans import scored as plan
+from probatio.session import written
 from probatio.sources.evidence import evidence
 
 
@@ -248,3 +251,24 @@ def test_texts_are_read_once(spark, small, name):
             "all_patterns": lambda e: q_patterns.fact_patterns(plan.text_facts(e))}[name](seen)
     done.collect()
     assert read.value == n
+
+
+def _plan(df):
+    """The physical plan, whole."""
+    conf = {"spark.sql.maxPlanStringLength": "10000000", "spark.sql.debug.maxToStringFields": "10000"}
+    before = {k: df.sparkSession.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        df.sparkSession.conf.set(k, v)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    for k, v in before.items():
+        df.sparkSession.conf.unset(k) if v is None else df.sparkSession.conf.set(k, v)
+    return text
+
+
+def test_similarity_compares_words_of_few_candidates(spark):
+    """Sets that share a rare word only are told apart by their bits, before any words are compared."""
+    rows = [(i, " ".join([f"shared{i // 2}", *[f"word{i}x{j}" for j in range(19)]])) for i in range(40)] + [(100, " ".join(f"again{j}" for j in range(20))), (
+        101, " ".join(f"again{j}" if j < 12 else f"other{j}" for j in range(20)))]
+    out = pr.content_similarity(spark.createDataFrame(rows, "doc_id long, content string"))
+    assert [(r["doc1"], r["doc2"], r["n_pairs"]) for r in out.collect()] == [(100, 101, 1)]
+    assert "bit_count" in _plan(out)
