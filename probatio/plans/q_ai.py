@@ -187,12 +187,16 @@ _UWIN = _FOLD + (f", uwin AS (SELECT *, {_flags('1.0', 'over_limit', 'window_sec
                  f"FROM ({_UW_INLINE}) w0 JOIN (SELECT request_id, m0 FROM fold WHERE i > 0) f0 USING (request_id))")
 
 
-@query("usage_windows", f"SELECT {_LOADS}, {_flags('1.0', 'over_limit', 'window_seconds')} FROM ({_UW_INLINE}) w0")
+# by the plain limits and by the limits times the key's rate
+_BOTH = f"{_UWIN} SELECT {_LOADS}, over_limit, window_seconds, {r6('m0')} AS multiplier_before, over_scaled, scaled_window_seconds FROM uwin"
+
+
+@query("usage_windows", _BOTH)
 def _(spark, d):
-    return ai.usage_windows(ledger(spark, d), LIMITS)
+    return ai.usage_windows_scaled(ledger(spark, d), LIMITS)
 
 
-@query("usage_windows_scaled", f"{_UWIN} SELECT {_LOADS}, over_limit, window_seconds, {r6('m0')} AS multiplier_before, over_scaled, scaled_window_seconds FROM uwin")
+@query("usage_windows_scaled", _BOTH)
 def _(spark, d):
     return ai.usage_windows_scaled(ledger(spark, d), LIMITS)
 

@@ -265,6 +265,16 @@ def _plan(df):
     return text
 
 
+def test_usage_windows_query_tells_both_limits(spark, tmp_path):
+    rows = [(i, 1, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), "error" if i % 3 else "buy", 20.0) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    from probatio.plans import all_queries
+    got = all_queries()[0]["usage_windows"](spark, str(tmp_path)).collect()
+    rates = {r["request_id"]: r["multiplier_before"] for r in all_queries()[0]["rate_multiplier"](spark, str(tmp_path)).collect()}
+    assert len(got) == 40 and all(r["multiplier_before"] == pytest.approx(rates[r["request_id"]]) for r in got)
+    assert all(r["over_scaled"] >= r["over_limit"] for r in got)
+
+
 def test_similarity_compares_words_of_few_candidates(spark):
     """Sets that share a rare word only are told apart by their bits, before any words are compared."""
     rows = [(i, " ".join([f"shared{i // 2}", *[f"word{i}x{j}" for j in range(19)]])) for i in range(40)] + [(100, " ".join(f"again{j}" for j in range(20))), (
