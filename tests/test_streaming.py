@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from probatio.operators import ai_tables as ai
+from probatio.sources.evidence import stream_table
 from probatio.streaming import jobs
 from probatio.streaming.run import late_rows, started
 
@@ -86,3 +88,16 @@ def test_sessions_merge_at_exactly_the_gap(spark, tmp_path):
     drain(jobs.stream_sessions(spark.readStream.schema("user_id long, ts timestamp").parquet(f"{tmp_path}/in")), tmp_path)
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("first_ts").select("events").collect()
     assert [r["events"] for r in got] == [3, 1]  # the last session is still open
+
+
+def test_batches_of_a_table_have_files_of_their_own(spark, tmp_path):
+    """No task writes a whole batch, and rows come in ascending order from batch to batch."""
+    spark.range(0, 40_000, 1, 8).selectExpr("id AS doc_id", "repeat('x', 10) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    stream = stream_table(spark, str(tmp_path), "documents", "doc_id", file_rows=100)
+    seen = []
+
+    def put(batch, batch_id):
+        seen.append(batch.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count_distinct("file")).first())
+    stream.withColumn("file", F.input_file_name()).writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sum(s[2] for s in seen) == 40_000 and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+    assert len(seen) == 4 and {s[3] for s in seen} == {2}
