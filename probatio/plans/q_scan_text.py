@@ -178,6 +178,7 @@ def _(spark, d):
 def custody_runs(spark, d):
     path, ev = fresh_path(spark, "custody"), evidence(spark, d)
     ev = ev.withColumn("file_path", F.concat_ws("/", "doc_id", "file_path"))  # paths of the sample repeat; a ledger has each once a run
+    ev = written(ev.select("doc_id", "file_path", "raw", "file_size", "modified_ts"), "inventory")  # joined once for all runs
     fewer = ev.where(F.col("doc_id") % 7 != 0)
     changed = ev.withColumn("raw", F.when(F.col("doc_id") % 5 == 0, F.concat("raw", F.lit("+"))).otherwise(F.col("raw")))
     for run, files in (("2024-01-01", ev), ("2024-02-01", fewer), ("2024-02-01", fewer), ("2024-03-01", changed)):

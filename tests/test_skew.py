@@ -265,6 +265,39 @@ def _plan(df):
     return text
 
 
+def _sample(spark, folder, n=40):
+    """Own tables for the evidence view: documents of which some have no order, and orders without documents."""
+    spark.range(n).selectExpr("id AS doc_id", "concat('text number ', id, repeat(' word', 50)) AS text", "'en' AS lang", "'web' AS source",
+                              "id AS n_chars").write.parquet(f"{folder}/documents.parquet")
+    spark.range(10, 3 * n).selectExpr("id AS o_orderkey", "id % 5 AS o_custkey", "CAST(id AS DOUBLE) AS o_totalprice",
+                                      "TIMESTAMP_NTZ '2020-01-01 00:00:00' AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    spark.range(4).selectExpr("id AS c_custkey", "concat('Customer ', id) AS c_name").write.parquet(f"{folder}/customer.parquet")
+    return folder
+
+
+def test_evidence_shuffles_texts_once(spark, tmp_path):
+    folder, key = _sample(spark, str(tmp_path)), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        ev = evidence(spark, folder)
+        plan = ev._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        got = {r["doc_id"]: r["party"] for r in ev.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert sum("Exchange" in p.split("\n")[0] and " text#" in p for p in plan.split("\n\n")) == 1
+    assert got == {i: f"Customer {i % 5}" if i >= 10 and i % 5 < 4 else "No party" for i in range(40)}
+
+
+def test_custody_runs_join_the_evidence_once(spark, tmp_path, monkeypatch):
+    from probatio.plans import q_scan_text
+    folder, stored = _sample(spark, str(tmp_path)), []
+    monkeypatch.setattr(q_scan_text, "written", lambda df, label: stored.append(label) or written(df, label))
+    runs = q_scan_text.custody_runs(spark, folder)
+    assert stored == ["inventory"]
+    assert {r["run_ts"]: r["count"] for r in runs.groupBy("run_ts").count().collect()} == {"2024-01-01": 40, "2024-02-01": 34, "2024-03-01": 40}
+
+
 def test_usage_windows_query_tells_both_limits(spark, tmp_path):
     rows = [(i, 1, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), "error" if i % 3 else "buy", 20.0) for i in range(40)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
