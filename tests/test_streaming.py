@@ -90,6 +90,52 @@ def test_sessions_merge_at_exactly_the_gap(spark, tmp_path):
     assert [r["events"] for r in got] == [3, 1]  # the last session is still open
 
 
+def test_rate_state_calls_the_store_per_block_of_requests():
+    puts = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return type("Map", (), {"updateValue": lambda _self, key, value: puts.append(key)})()
+
+        def registerTimer(self, at):
+            pass
+
+    state = jobs.RateState(1000)
+    state.init(Handle())
+    rows = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=10_000, freq="s"), "request_id": range(10_000), "success": [True] * 10_000})
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda _self: 0})()
+    for _ in range(2):
+        list(state.handleInputRows((1,), iter([rows]), clock))
+    assert len(puts) == len(set(puts)) == 6
+
+
+def test_rate_state_keeps_the_rest_of_blocks(spark, tmp_path):
+    """Blocks that the watermark passes in part keep the rest; a request that comes twice counts once."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i % 2, i, start + dt.timedelta(minutes=i), i % 9 == 0) for i in range(600)]
+    for batch in (rows[:400], rows[400:] + rows[500:510], [(9, 999, start + dt.timedelta(days=3), True)]):
+        spark.createDataFrame(batch[::-1], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    drain(jobs.stream_rate_state(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), waiting=64), tmp_path)
+    got = sorted((r["request_id"], r["multiplier"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = sorted((r["request_id"], r["multiplier"]) for r in ai.rate_multiplier(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+
+
 def test_batches_of_a_table_have_files_of_their_own(spark, tmp_path):
     """No task writes a whole batch, and rows come in ascending order from batch to batch."""
     spark.range(0, 40_000, 1, 8).selectExpr("id AS doc_id", "repeat('x', 10) AS text").write.parquet(f"{tmp_path}/documents.parquet")
