@@ -265,6 +265,18 @@ def _plan(df):
     return text
 
 
+@pytest.mark.parametrize("name", ["date_mentions", "timeline_events"])
+def test_dates_of_a_text_are_searched_once(spark, tmp_path, name):
+    """No filter before the explode that would find all matches again, and no second pass for metadata."""
+    text = "Hit on 01/02/2020 and filed on 3 March 2021."
+    rows = [(1, "a/x.txt", "x.txt", "Text File", text, dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 2), "abuse")]
+    spark.createDataFrame(rows, "doc_id long, file_path string, file_name string, file_type string, content string, "
+                          "created_ts timestamp, modified_ts timestamp, folder string").write.parquet(str(tmp_path / "ev"))
+    df = getattr(tl, name)(spark.read.parquet(str(tmp_path / "ev")))
+    assert _plan(df).count(lx.DATE_PATTERNS[0][1]) == 2  # the matches, and the text between them
+    assert df.count() == (2 if name == "date_mentions" else 6)  # two mentions of two types each, and two of the file
+
+
 def _sample(spark, folder, n=40):
     """Own tables for the evidence view: documents of which some have no order, and orders without documents."""
     spark.range(n).selectExpr("id AS doc_id", "concat('text number ', id, repeat(' word', 50)) AS text", "'en' AS lang", "'web' AS source",
