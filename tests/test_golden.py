@@ -191,6 +191,17 @@ def test_keyword_counts_equal_the_patterns(spark, broadcast_keywords):
     assert got == want
 
 
+def test_few_ascii_keywords_are_counted_without_runs(spark):
+    """Case is compared as lower case: the Kelvin sign is a k, the long s is no s. No run of words is opened."""
+    words = ["kids", "hit", "no no", "$5", "k"]
+    texts = ["KIDS \u212Aids kid\u017F kidsx xkids", "hit-HIT hits éhit hité", "no no no no", "$5 x$5 $55 $5", "\u212A k K K_", None, ""]
+    df = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    out = pt.keyword_counts(df, lexicon_of(spark, words))
+    assert sorted((r["doc_id"], r["keyword"], r["n"]) for r in out.collect()) == [
+        (0, "kids", 2), (1, "hit", 2), (2, "no no", 2), (3, "$5", 2), (4, "k", 3)]
+    assert "arrays_zip" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_large_lexicon_reads_texts_once_and_shuffles_none(spark, tmp_path):
     words = [f"k{i}" for i in range(25_000)] + [f"k{i} z{i}" for i in range(25_000)]
     rows = [(i, "t", " ".join(f"k{(i * j) % 30_000} z{(i * j) % 30_000 if j % 2 else 1}" for j in range(300))) for i in range(200)]
