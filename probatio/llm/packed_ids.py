@@ -19,22 +19,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probatio.llm.common import id_and_text, package_path
-from probatio.llm.words import groups
+from probatio.llm.words import IdTable, groups, pieces_at_blanks, worker_table
 from probatio.session import fresh_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24
+#: Bytes of text whose words are looked up at once.
+GROUP_BYTES = 1 << 22
 MAGIC = b"IDBITS01"
 #: width, ids per block, documents, ids, blocks, offset of the index
 FOOTER = struct.Struct("<IIQQQQ8s")
-TWO_SPACES = re.compile(r"\s\s")
+#: Only such a blank follows no word, in Arrow's spelling.
+BLANK_BEHIND_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 WORD_END = re.compile(r"(?<=\S)(?= )")
 
 
@@ -140,103 +144,61 @@ def _library(path: str):
     return library, lengths
 
 
-class WordTable:
+class WordTable(IdTable):
     """Ids of distinct words by the library. Its pattern never joins a character to a blank behind
     it, so a text splits before each blank that follows a word, and equal pieces have equal ids.
     The table is keyed by the word behind the blank, or by (word,) for a text's first piece.
-
-    Words are numbered; their ids lie in one array, and those of a text are gathered from it by
-    number. When ``limit`` words are held, those met in one group of texts only are forgotten, and
-    of the others the less used half: that bounds memory and changes no result.
     """
 
     def __init__(self, path: str, limit: int):
-        (self.library, self.bytes_of), self.limit = _library(path), limit
-        self._keep([], np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def _keep(self, words: list, pool: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
-        self.number = dict(zip(words, range(len(words)), strict=True))
-        self.pool, self.lengths, self.uses = pool, lengths, uses
-        self.starts = np.cumsum(lengths) - lengths
-
-    def _gather(self, numbers: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[numbers]
-        before = np.cumsum(lengths) - lengths
-        return self.pool[np.arange(int(lengths.sum())) + np.repeat(self.starts[numbers] - before, lengths)]
-
-    def _forget(self) -> None:
-        kept = np.flatnonzero(self.uses > 1)
-        if len(kept) > self.limit // 2:
-            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:self.limit // 2]])
-        words = list(self.number)
-        self._keep([words[k] for k in kept], self._gather(kept), self.lengths[kept], self.uses[kept] // 2)
-
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        self.library, self.bytes_of = _library(path)
+        super().__init__(limit)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list) -> None:
-        """Encodes new words: many in one text where the next word's blank ends each, by itself where
+    def _encoded(self, words: list) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Many in one text where the next word's blank ends each, by itself where
         the word is a first piece or ends in space, which its successor would change."""
-        single = [w for w in words if isinstance(w, tuple) or not w or w[-1].isspace()]
-        alone = set(single)
-        joined = [w for w in words if w not in alone] if alone else words
-        groups_ = [joined[k:k + 500] for k in range(0, len(joined), 500)]
-        found = [np.array(ids, np.uint32) for ids in self._encoded([" " + " ".join(g) for g in groups_])]
-        lengths = []
-        for g, ids in zip(groups_, found, strict=True):
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in g), np.int64, len(g)))
-            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "right")
-            lengths.append(np.diff(upto, prepend=0))
-        for ids in self._encoded([w[0] if isinstance(w, tuple) else " " + w for w in single]):
+        alone = np.array([isinstance(w, tuple) or not w or w[-1].isspace() for w in words])
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
+        single = [words[k] for k in np.flatnonzero(alone)]
+        joined = [words[k] for k in order[:len(words) - len(single)].tolist()]
+        together = [" " + " ".join(joined[k:k + 500]) for k in range(0, len(joined), 500)]
+        found, lengths = [np.array(ids, np.uint32) for ids in self._ids(together)], []
+        ends = np.cumsum(pc.binary_length(pa.array(joined, pa.string())).to_numpy().astype(np.int64) + 1)
+        for k, ids in enumerate(found):
+            mine = ends[500 * k:500 * k + 500] - (ends[500 * k - 1] if k else 0)
+            lengths.append(np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), mine, "right"), prepend=0))
+        for ids in self._ids([w[0] if isinstance(w, tuple) else " " + w for w in single]):
             found.append(np.array(ids, np.uint32))
             lengths.append(np.array([len(ids)]))
-        lengths = np.concatenate(lengths)
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.pool = np.concatenate([self.pool, *found])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
-        self.number.update(zip(itertools.chain(joined, single), range(len(self.number), len(self.number) + len(words)), strict=True))
+        return order, found, np.concatenate(lengths)
 
     @staticmethod
-    def pieces(text: str) -> list:
-        if TWO_SPACES.search(text):
-            first, *rest = WORD_END.split(text)
-            return [(first,), *[p[1:] for p in rest]]
-        parts = text.split(" ")
-        parts[0] = (parts[0],)
-        return parts
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each whole text."""
-        parts = [self.pieces(t) for t in texts]
-        distinct = set(itertools.chain.from_iterable(parts))
-        new = [w for w in distinct if w not in self.number]
-        if len(self.number) + len(new) > self.limit and self.number:
-            self._forget()
-            new = [w for w in distinct if w not in self.number]
-        if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        numbers = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        self.uses[numbers] += 1  # once for each distinct number
-        ends = np.cumsum(self.lengths[numbers])[np.cumsum(counts) - 1]
-        return np.split(self._gather(numbers), ends[:-1])
-
-
-_TABLES: dict[tuple[str, int], WordTable] = {}
-
-
-def word_table(path: str, limit: int) -> WordTable:
-    """The worker's table, kept from task to task."""
-    if (path, limit) not in _TABLES:
-        _TABLES[path, limit] = WordTable(path, limit)
-    return _TABLES[path, limit]
+    def pieces(text: str) -> list[str]:
+        first, *rest = WORD_END.split(text)
+        return [first, *[p[1:] for p in rest]]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each whole text; no text is null."""
+        lists = pieces_at_blanks(texts, BLANK_BEHIND_SPACE, self.pieces)
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        known = words.dictionary.to_pylist()
+        first = np.cumsum(counts) - counts
+        starting = words.take(pa.array(first)).dictionary_decode().to_pylist()
+        heads = {(w,): k for k, w in enumerate(dict.fromkeys(starting), len(known))}
+        number = self.numbers([*known, *heads])
+        numbers = number[words.indices.to_numpy()]
+        numbers[first] = number[[heads[w,] for w in starting]]
+        return np.split(self.gather(numbers), np.cumsum(self.sizes(numbers, counts))[:-1])
 
 
 # ---- Spark -----------------------------------------------------------------------------------
 def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 0,
               id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS,
-              file_ids: int = FILE_IDS, table_limit: int = 600_000) -> tuple[str, DataFrame]:
+              file_ids: int = FILE_IDS, table_limit: int = 450_000) -> tuple[str, DataFrame]:
     """(folder, manifest). Encodes every whole text, adds ``end_id`` and writes ids in ascending
     order of document id; a null text has only the end id, null ids come first, rows of one id
     follow each other.
@@ -254,7 +216,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
     width = max(1, (max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path, table_limit)
+        table = worker_table(WordTable, path, table_limit)
         store, root = fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
@@ -269,9 +231,9 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
             rows.append((part, len(rows), name, len(writer.doc_ids), writer.starts[-1]))
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in groups([len(t) for t in texts]):
-                for doc_id, ids in zip(doc_ids[a:b], table.encode(texts[a:b]), strict=True):
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for a, b in groups(pc.binary_length(texts).to_pylist(), GROUP_BYTES):
+                for doc_id, ids in zip(doc_ids[a:b], table.encode(texts.slice(a, b - a)), strict=True):
                     if writer is None:
                         writer = PackedWriter(store.open_output_stream(f"{root}/_{part}-{attempt}-{len(rows)}"), width, block_ids)
                     writer.add(doc_id, np.append(ids, np.uint32(end_id)))

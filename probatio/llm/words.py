@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RANDOM = np.random.default_rng(20240229)
 BYTE = _RANDOM.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,3 +93,92 @@ class WordIndex:
             new = list(distinct)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), new, emptied
+
+
+def pieces_at_blanks(texts: pa.Array, unusual: str, by_hand: Callable[[str], list[str]]) -> pa.ListArray:
+    """Each text cut at its blanks, without them; a text that matches ``unusual`` is cut ``by_hand``."""
+    lists = pc.split_pattern(texts, " ")
+    odd = pc.match_substring_regex(texts, unusual)
+    if not pc.any(odd).as_py():
+        return lists
+    chosen = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    place = np.arange(len(texts))
+    place[chosen] = len(texts) + np.arange(len(chosen))
+    cut = pa.array([by_hand(t) for t in texts.take(pa.array(chosen)).to_pylist()], lists.type)
+    return pa.concat_arrays([lists, cut]).take(pa.array(place))
+
+
+class IdTable:
+    """Ids of distinct words. Words are numbered; their ids lie in one array, and those of a text are
+    gathered from it by number. A subclass's ``_encoded`` gives the ids of new words.
+
+    When ``limit`` words are held, those met in one group of texts only are forgotten, and
+    of the others the less used half: that bounds memory and changes no result.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._keep([], np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _encoded(self, words: list) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(places of the words in some order, arrays that hold their ids in that order, how many each has)."""
+        raise NotImplementedError
+
+    def _keep(self, words: list, pool: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+        self.number = dict(zip(words, range(len(words)), strict=True))
+        self.pool, self.lengths, self.uses = pool, lengths, uses
+        self.starts = np.cumsum(lengths) - lengths
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:self.limit // 2]])
+        words = list(self.number)
+        self._keep([words[k] for k in kept], self.gather(kept), self.lengths[kept], self.uses[kept] // 2)
+
+    def _learn(self, words: list) -> np.ndarray:
+        order, found, lengths = self._encoded(words)
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = len(self.number) + np.arange(len(words))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.pool = np.concatenate([self.pool, *found])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.number.update(zip([words[k] for k in order.tolist()], numbers[order].tolist(), strict=True))
+        return numbers
+
+    def _known(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def numbers(self, distinct: list) -> np.ndarray:
+        """The number of each of a group's distinct words; what an earlier call gave may be void."""
+        out = self._known(distinct)
+        if self.number and len(self.number) + int((out < 0).sum()) > self.limit:
+            self._forget()
+            out = self._known(distinct)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            out[missing] = self._learn([distinct[k] for k in missing.tolist()])
+        self.uses[out] += 1
+        return out
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        lengths = self.lengths[numbers]
+        before = np.cumsum(lengths) - lengths
+        return self.pool[np.arange(int(lengths.sum())) + np.repeat(self.starts[numbers] - before, lengths)]
+
+    def sizes(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """How many ids each text has, being made of ``counts`` of the words ``numbers``."""
+        upto = np.append(0, np.cumsum(self.lengths[numbers]))
+        return np.diff(upto[np.append(0, np.cumsum(counts))])
+
+
+_TABLES: dict[tuple, object] = {}
+
+
+def worker_table(kind: type, path: str, limit: int):
+    """The worker's table of a kind, kept from task to task."""
+    if (kind, path, limit) not in _TABLES:
+        _TABLES[kind, path, limit] = kind(path, limit)
+    return _TABLES[kind, path, limit]
