@@ -3,8 +3,8 @@
 No piece of the vocabulary holds a whitespace marker behind another character, so a text splits
 before each run of markers into chunks that are segmented independently. Each worker keeps a table
 of distinct chunks: a chunk is segmented and decoded when first met, and its ids and its text are
-joined back by position for every further occurrence. The table serves a worker's whole run of
-documents; a corpus-wide table would have to move every position of every text (about 1 GB for
+joined back by position for every further occurrence. The table is kept from task to task; within a
+group of documents Arrow finds the distinct chunks, so Python sees each of them once. A corpus-wide table would have to move every position of every text (about 1 GB for
 0.5 GB of input) to save segmenting a chunk once per worker.
 """
 
@@ -16,13 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from probatio.llm.common import id_and_text, package_path, sentencepiece_model
+from probatio.llm.words import IdTable, groups, pieces_at_blanks, worker_table
 
 MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
+#: Texts that are not simply words between single blanks, in Arrow's spelling.
+UNUSUAL = f"^$|^ |  |{MARK}"
 MODEL = "piece_bpe_32k.model"
+#: Bytes of text, and ids, that are looked up at once.
+GROUP_BYTES, GROUP_IDS = 1 << 21, 1 << 19
 
 
 def crossing_pieces(path: str) -> list[str]:
@@ -32,48 +38,62 @@ def crossing_pieces(path: str) -> list[str]:
     return [p for p in pieces if MARK in p.lstrip(MARK)]
 
 
-class ChunkTable:
-    """Distinct marked words with their ids and their decoded text; emptied when ``limit`` is
-    reached, which bounds memory and changes no result."""
+class ChunkTable(IdTable):
+    """Distinct marked words with their ids. A chunk is named by what follows its first blank, for
+    which the library puts a marker before every text it is given."""
 
     def __init__(self, path: str, limit: int):
         if crossing_pieces(path):
             raise ValueError(f"{path}: pieces cross whitespace markers, chunks are not independent")
-        self.sp, self.limit = sentencepiece_model(path), limit
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.texts: dict[tuple[int, ...], str] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
+        self.sp = sentencepiece_model(path)
+        super().__init__(limit)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        ids = self.sp.encode(words, num_threads=1)
+        if "" in words:  # a blank at the end of a text; the library gives an empty text no ids
+            ids[words.index("")] = [self.sp.piece_to_id(MARK)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        return np.arange(len(words)), [flat], lengths
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        return [c[1:] for c in CHUNK.findall(" " + text.replace(MARK, " "))] if text else []
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the texts, how many each text has); no text is null."""
+        lists = pieces_at_blanks(texts, UNUSUAL, self.pieces)
+        chunks = lists.flatten().dictionary_encode()
+        numbers = self.numbers(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        return self.gather(numbers).astype(np.int32), self.sizes(numbers, pc.list_value_length(lists).to_numpy())
+
+
+class TextTable:
+    """Distinct chunks of ids with their decoded text; emptied when ``limit`` is reached, which
+    bounds memory and changes no result."""
+
+    def __init__(self, path: str, limit: int):
+        self.sp, self.marked, self.limit = sentencepiece_model(path), _marked(path), limit
+        self.texts: dict[bytes, str] = {}
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The text of each row of ``ids``, of which a row has as many as ``sizes`` says."""
+        ends = np.cumsum(sizes)
+        starts = chunk_starts(ids, ends - sizes, self.marked)
+        data = np.ascontiguousarray(ids, "<i4")
+        offsets = np.append(starts, len(ids)).astype(np.int32) * 4
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        keys = chunks.dictionary.to_pylist()
+        new = [k for k in keys if k not in self.texts]
+        if len(self.texts) + len(new) > self.limit:
             self.texts.clear()
-            new = list(chunks)
-        # the library puts one marker before a text, which stands for the chunk's first blank
-        plain = [c for c in new if c != " "]
-        for chunk, ids in zip(plain, self.sp.encode([c[1:] for c in plain], num_threads=1), strict=True):
-            self.ids[chunk] = tuple(ids)
-        if len(plain) < len(new):
-            self.ids[" "] = (self.sp.piece_to_id(MARK),)
-
-    def encode(self, text: str) -> list[int]:
-        """All ids of one text."""
-        if not text:
-            return []
-        chunks = CHUNK.findall(" " + text.replace(MARK, " "))
-        self.learn(set(chunks))
-        return list(itertools.chain.from_iterable(map(self.ids.__getitem__, chunks)))
-
-    def decode(self, ids: list[int], starts: list[int]) -> str:
-        """Text of ``ids``, whose chunks begin at ``starts``."""
-        out = []
-        for a, b in itertools.pairwise([*starts, len(ids)]):
-            key = tuple(ids[a:b])
-            text = self.texts.get(key)
-            if text is None:
-                text = self.texts[key] = " " + self.sp.decode(list(key))
-            out.append(text)
-        return "".join(out)[1:]
+            new = keys
+        found = self.sp.decode([np.frombuffer(k, "<i4").tolist() for k in new], num_threads=1) if new else []
+        self.texts.update(zip(new, [" " + t for t in found], strict=True))
+        words = pa.array([self.texts[k] for k in keys], pa.string()).take(chunks.indices)
+        bounds = np.searchsorted(starts, np.append(0, ends)).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(bounds), words)
+        return pc.utf8_slice_codeunits(pc.binary_join(rows, ""), 1)
 
 
 def _marked(path: str) -> np.ndarray:
@@ -82,11 +102,10 @@ def _marked(path: str) -> np.ndarray:
     return np.array([sp.id_to_piece(i).startswith(MARK) for i in range(sp.vocab_size())])
 
 
-def chunk_starts(ids: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Where chunks begin: at a marked piece that follows no piece made of markers only."""
+def chunk_starts(ids: np.ndarray, firsts: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at every marked piece, and where a row begins."""
     starts = marked[ids]
-    if len(ids):
-        starts[0] = True
+    starts[firsts[firsts < len(ids)]] = True
     return np.flatnonzero(starts)
 
 
@@ -98,38 +117,30 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     path = model or package_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(path, table_limit)
+        table = worker_table(ChunkTable, path, table_limit)
         for batch in batches:
-            offsets, parts = [0], []
-            for text in batch.column("text").to_pylist():
-                ids = np.array(table.encode(text), dtype=np.int32)
-                parts.append(ids)
-                offsets.append(offsets[-1] + len(ids))
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                names=["doc_id", "ids"])
+            for a, b in groups(pc.binary_length(batch.column("text")).to_pylist(), GROUP_BYTES):
+                part = batch.slice(a, b - a)
+                ids, sizes = table.encode(part.column("text"))
+                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, model: str | None = None, table_limit: int = 300_000) -> DataFrame:
+def decode(encoded: DataFrame, model: str | None = None, table_limit: int = 200_000) -> DataFrame:
     """(doc_id, ids, text): the text the library's decode gives for each row's ids. Null ids are
     read as none, and give an empty text."""
     path = model or package_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, marked = ChunkTable(path, table_limit), _marked(path)
+        table = worker_table(TextTable, path, table_limit)
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids"):
-                values = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.empty(0, np.int32)
-                starts = chunk_starts(values, marked)
-                texts.append(table.decode(values.tolist(), starts.tolist()))
-                if len(table.texts) > table_limit:
-                    table.texts.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())],
-                names=["doc_id", "ids", "text"])
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
+            for a, b in groups(sizes, GROUP_IDS):
+                part = batch.slice(a, b - a)
+                texts = table.decode(part.column("ids").flatten().to_numpy(), np.array(sizes[a:b], np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), texts], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
