@@ -109,6 +109,23 @@ def chunk_starts(ids: np.ndarray, firsts: np.ndarray, marked: np.ndarray) -> np.
     return np.flatnonzero(starts)
 
 
+def _encoded(table: ChunkTable, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a, b in groups(pc.binary_length(batch.column("text")).to_pylist(), GROUP_BYTES):
+        part = batch.slice(a, b - a)
+        ids, sizes = table.encode(part.column("text"))
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
+
+
+def _decoded(table: TextTable, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
+    for a, b in groups(sizes, GROUP_IDS):
+        part = batch.slice(a, b - a)
+        texts = table.decode(part.column("ids").flatten().to_numpy(), np.array(sizes[a:b], np.int64))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), texts], names=["doc_id", "ids", "text"])
+
+
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
            table_limit: int = 300_000) -> DataFrame:
     """(doc_id, ids array<int>): the ids the library gives for each whole text, without begin or
@@ -119,12 +136,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(ChunkTable, path, table_limit)
         for batch in batches:
-            for a, b in groups(pc.binary_length(batch.column("text")).to_pylist(), GROUP_BYTES):
-                part = batch.slice(a, b - a)
-                ids, sizes = table.encode(part.column("text"))
-                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
+            yield from _encoded(table, batch)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -137,10 +149,24 @@ def decode(encoded: DataFrame, model: str | None = None, table_limit: int = 200_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(TextTable, path, table_limit)
         for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
-            for a, b in groups(sizes, GROUP_IDS):
-                part = batch.slice(a, b - a)
-                texts = table.decode(part.column("ids").flatten().to_numpy(), np.array(sizes[a:b], np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), texts], names=["doc_id", "ids", "text"])
+            yield from _decoded(table, batch)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+               table_limit: int = 300_000, text_limit: int = 200_000) -> DataFrame:
+    """(doc_id, ids, text): what :func:`decode` gives for the rows of :func:`encode`, in one step. As
+    two steps each task holds two Python workers at once, and as workers change places, every one of them
+    ends up with both tables, also while later stages run. Memory that Arrow no longer uses goes
+    back to the system after each batch."""
+    path = model or package_path(MODEL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, back = worker_table(ChunkTable, path, table_limit), worker_table(TextTable, path, text_limit)
+        for batch in batches:
+            for encoded in _encoded(table, batch):
+                yield from _decoded(back, encoded)
+            pa.default_memory_pool().release_unused()
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")

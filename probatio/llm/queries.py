@@ -35,7 +35,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_sentencepiece_chunks")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    decoded = piece_chunks.decode(piece_chunks.encode(table(spark, folder, "documents")))
+    decoded = piece_chunks.round_trip(table(spark, folder, "documents"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                           F.sha2("text", 256).alias("decoded_sha256"))

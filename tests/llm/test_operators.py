@@ -11,8 +11,9 @@ import pytest
 from cases import ITEM_ROWS
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from probatio.llm import (benchmark_windows, jaccard_join, jump_shards, lattice_scores, packed_ids, piece_chunks,
-                          quality_lines, repeated_bytes, secret_ledger, subword_quality)
+                          quality_lines, queries, repeated_bytes, secret_ledger, subword_quality)
 from probatio.llm.common import package_path, sentencepiece_model
 
 
@@ -137,6 +138,21 @@ def test_sentencepiece(docs, rows, limit):
     same([(r.doc_id, list(r.ids), r.text) for r in got], want)
 
 
+@pytest.mark.parametrize("limit", [40, 300_000])
+def test_sentencepiece_round_trip(docs, empty, rows, limit):
+    sp = sentencepiece_model(package_path(piece_chunks.MODEL))
+    got = piece_chunks.round_trip(docs, table_limit=limit, text_limit=limit).collect()
+    same([(r.doc_id, list(r.ids), r.text) for r in got], [(d, sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for d, t, _ in rows])
+    assert piece_chunks.round_trip(empty).count() == 0
+
+
+def test_sentencepiece_takes_one_worker_a_task(spark, small, docs, capsys):
+    """With a worker each for encoding and decoding, an executor's memory holds twice as many tables."""
+    for frame in (queries.QUERIES["op3_sentencepiece_chunks"](spark, small), corpus_pipeline.sentencepiece(spark, docs, small)):
+        frame.explain("simple")
+        assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 # ---- 4 ---------------------------------------------------------------------------------------
 def test_quality_model(spark, docs, empty, rows):
     labels = spark.createDataFrame([(d, k % 2, "x") for k, (d, _, _) in enumerate(rows)] + [(1, None, "x"), (10 ** 9, 1, "x")],
