@@ -9,13 +9,18 @@ from probatio.operators.skew import attach_by_key
 from probatio.session import written
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Up to so many links, hubs are not spread: a node's rows are at most twice as many, of 16 bytes.
+FEW_LINKS = 1_000_000
+
+
+def _star(links: DataFrame, large: bool, spread: bool = True) -> DataFrame:
     """One star step over (u, v) with u < v: the large step ties the greater neighbours of each node
-    to its minimum, the small step ties its smaller neighbours and itself."""
+    to its minimum, the small step ties its smaller neighbours and itself. To ``spread`` the rows of hubs
+    takes two more shuffles."""
     low_first, high_first = links.select("u", "v"), links.select(F.col("v").alias("u"), F.col("u").alias("v"))
     both = low_first.union(high_first) if large else high_first
     low = both.groupBy("u").agg(F.count("*").alias("degree"), F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = attach_by_key(both, low, "u", "degree", "v")
+    linked = attach_by_key(both, low, "u", "degree", "v") if spread else both.join(low, "u")
     if large:
         out = linked.where("v > u").select(F.col("m").alias("u"), F.col("v"))
     else:
@@ -33,13 +38,14 @@ def connected_components(links: DataFrame, a: str = "id1", b: str = "id2") -> Da
     smallest id. Links from a node to itself and null ends say nothing.
 
     Alternates large-star and small-star until a round changes nothing; both are known to settle.
-    Minima are partial aggregates and hubs are spread, so a node with very many links is no single
-    group. Each step is written to the shared folder, which ends its lineage.
+    Minima are partial aggregates and, among more than ``FEW_LINKS`` links, hubs are spread, so a node with
+    very many links is no single group. Each step is written to the shared folder, which ends its lineage.
     """
     current = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "links")
     mark = _mark(current)
     while mark[0]:
-        current = written(_star(written(_star(current, True), "links"), False), "links")
+        spread = mark[0] > FEW_LINKS
+        current = written(_star(written(_star(current, True, spread), "links"), False, spread), "links")
         before, mark = mark, _mark(current)
         if mark == before:
             break

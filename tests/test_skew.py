@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from probatio import lexicons as lx
 from probatio.config import UsageLimits
 from probatio.operators import ai_tables as ai
+from probatio.operators import components
 from probatio.operators import dedup as dd
 from probatio.operators import pairs as pr
 from probatio.operators import scans
@@ -142,6 +143,17 @@ def test_clusters_of_chain_star_and_ring(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(9)}}
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_hubs_are_spread_among_many_links_only(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    calls = []
+    monkeypatch.setattr(components, "attach_by_key", lambda *a: calls.append(a) or attach_by_key(*a))
+    links = [(5, 100 + i) for i in range(60)] + [(200 + i, 100 + i) for i in range(20)] + [(300, 301), (302, 301), (7, 7), (8, None)]
+    got = {r["id"]: r["cluster_id"] for r in connected_components(spark.createDataFrame(links, "id1 long, id2 long")).collect()}
+    assert got == {5: 5, **{100 + i: 5 for i in range(60)}, **{200 + i: 5 for i in range(20)}, 300: 300, 301: 300, 302: 300}
+    assert bool(calls) == (few == 0)
+
+
 def ledger(n=400, keys=3, seed=2):
     rng, out, t = random.Random(seed), [], dt.datetime(2024, 1, 1)
     for i in range(n):
