@@ -22,12 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatio.llm.common import id_and_text, package_path
-from probatio.llm.words import IdTable, groups, pieces_at_blanks, worker_table
-from probatio.session import fresh_path, written
+from probatio.llm.words import IdTable, give_back, groups, pieces_at_blanks, tidy, worker_table
+from probatio.session import fresh_path
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK_IDS = 1 << 16
@@ -147,7 +147,7 @@ def _library(path: str):
 class WordTable(IdTable):
     """Ids of distinct words by the library. Its pattern never joins a character to a blank behind
     it, so a text splits before each blank that follows a word, and equal pieces have equal ids.
-    The table is keyed by the word behind the blank, or by (word,) for a text's first piece.
+    The table is keyed by the whole piece: a blank and a word, or how a text begins.
     """
 
     def __init__(self, path: str, limit: int):
@@ -157,20 +157,20 @@ class WordTable(IdTable):
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, words: list) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Many in one text where the next word's blank ends each, by itself where
-        the word is a first piece or ends in space, which its successor would change."""
-        alone = np.array([isinstance(w, tuple) or not w or w[-1].isspace() for w in words])
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Many in one text where the next piece's blank ends each, by itself where
+        the piece has no blank ahead or ends in space, which its successor would change."""
+        alone = np.array([w[:1] != " " or w[-1].isspace() for w in words])
         order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
         single = [words[k] for k in np.flatnonzero(alone)]
         joined = [words[k] for k in order[:len(words) - len(single)].tolist()]
-        together = [" " + " ".join(joined[k:k + 500]) for k in range(0, len(joined), 500)]
+        together = ["".join(joined[k:k + 500]) for k in range(0, len(joined), 500)]
         found, lengths = [np.array(ids, np.uint32) for ids in self._ids(together)], []
-        ends = np.cumsum(pc.binary_length(pa.array(joined, pa.string())).to_numpy().astype(np.int64) + 1)
+        ends = np.cumsum(pc.binary_length(pa.array(joined, pa.string())).to_numpy().astype(np.int64))
         for k, ids in enumerate(found):
             mine = ends[500 * k:500 * k + 500] - (ends[500 * k - 1] if k else 0)
             lengths.append(np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), mine, "right"), prepend=0))
-        for ids in self._ids([w[0] if isinstance(w, tuple) else " " + w for w in single]):
+        for ids in self._ids(single):
             found.append(np.array(ids, np.uint32))
             lengths.append(np.array([len(ids)]))
         return order, found, np.concatenate(lengths)
@@ -185,13 +185,12 @@ class WordTable(IdTable):
         lists = pieces_at_blanks(texts, BLANK_BEHIND_SPACE, self.pieces)
         counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
         words = lists.flatten().dictionary_encode()
-        known = words.dictionary.to_pylist()
         first = np.cumsum(counts) - counts
-        starting = words.take(pa.array(first)).dictionary_decode().to_pylist()
-        heads = {(w,): k for k, w in enumerate(dict.fromkeys(starting), len(known))}
-        number = self.numbers([*known, *heads])
+        behind = pc.binary_join_element_wise(pa.scalar(" ", words.dictionary.type), words.dictionary, pa.scalar("", words.dictionary.type))
+        pieces = pa.concat_arrays([behind, words.take(pa.array(first)).dictionary_decode()]).dictionary_encode()
+        number = self.numbers(pieces.dictionary)[pieces.indices.to_numpy()]
         numbers = number[words.indices.to_numpy()]
-        numbers[first] = number[[heads[w,] for w in starting]]
+        numbers[first] = number[len(behind):]
         return np.split(self.gather(numbers), np.cumsum(self.sizes(numbers, counts))[:-1])
 
 
@@ -206,7 +205,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
     Texts are shuffled once, into ranges of ids. Each task streams its range into files of about
     ``file_ids`` ids under temporary names and renames them when whole, so a repeated task leaves
     the same files. The folder must be one that all executors reach; by default a new one in the
-    shared folder. The manifest has one row per file.
+    shared folder. The manifest has one row per file, and is made by the driver.
     """
     path = tokenizer or package_path(TOKENIZER)
     spark = docs.sparkSession
@@ -240,6 +239,7 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
                     if writer.starts[-1] >= file_ids:
                         finish()
                         writer = None
+            give_back()
         if writer is not None:
             finish()
         yield pa.RecordBatch.from_pydict(dict(zip(("part", "no", "file", "n_docs", "n_ids"), map(list, zip(*rows, strict=True)), strict=True))
@@ -248,9 +248,10 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
 
     # by text among equal ids, so that a task run again gives every document the same start
     ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = written(ordered.mapInArrow(run, "part int, no int, file string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)
-    return folder, files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # a row per file, so the driver places the files: written by Spark, each row would be a file of its own with a checksum file and a folder
+    files = ordered.mapInArrow(tidy(run), "part int, no int, file string, n_docs long, n_ids long").toArrow().sort_by([("part", "ascending"), ("no", "ascending")])
+    n_ids = files.column("n_ids").to_numpy()
+    return folder, spark.createDataFrame(files.append_column("first_id", pa.array(np.cumsum(n_ids) - n_ids, pa.int64())))
 
 
 def map_documents(spark: SparkSession, folder: str, manifest: DataFrame,
@@ -269,7 +270,7 @@ def map_documents(spark: SparkSession, folder: str, manifest: DataFrame,
                 while rows := [body(d, first + at, ids) for d, at, ids in itertools.islice(documents, 2000)]:
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True))), names=names)
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(tidy(run), schema)
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from probatio.llm.common import id_and_text, package_path, sentencepiece_model
-from probatio.llm.words import IdTable, groups, pieces_at_blanks, worker_table
+from probatio.llm.words import IdTable, give_back, groups, pieces_at_blanks, worker_table
 
 MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
@@ -64,7 +64,7 @@ class ChunkTable(IdTable):
         """(all ids of the texts, how many each text has); no text is null."""
         lists = pieces_at_blanks(texts, UNUSUAL, self.pieces)
         chunks = lists.flatten().dictionary_encode()
-        numbers = self.numbers(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        numbers = self.numbers(chunks.dictionary)[chunks.indices.to_numpy()]
         return self.gather(numbers).astype(np.int32), self.sizes(numbers, pc.list_value_length(lists).to_numpy())
 
 
@@ -158,7 +158,7 @@ def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
                table_limit: int = 300_000, text_limit: int = 200_000) -> DataFrame:
     """(doc_id, ids, text): what :func:`decode` gives for the rows of :func:`encode`, in one step. As
     two steps each task holds two Python workers at once, and as workers change places, every one of them
-    ends up with both tables, also while later stages run. Memory that Arrow no longer uses goes
+    ends up with both tables, also while later stages run. Memory that is no longer used goes
     back to the system after each batch."""
     path = model or package_path(MODEL)
 
@@ -167,6 +167,6 @@ def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
         for batch in batches:
             for encoded in _encoded(table, batch):
                 yield from _decoded(back, encoded)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")

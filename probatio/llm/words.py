@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -110,7 +110,9 @@ def pieces_at_blanks(texts: pa.Array, unusual: str, by_hand: Callable[[str], lis
 
 class IdTable:
     """Ids of distinct words. Words are numbered; their ids lie in one array, and those of a text are
-    gathered from it by number. A subclass's ``_encoded`` gives the ids of new words.
+    gathered from it by number. A subclass's ``_encoded`` gives the ids of new words. The words
+    themselves are one Arrow column, in which Arrow looks a group's words up: as Python strings in
+    a dictionary they took ten times the memory, in every worker of an executor.
 
     When ``limit`` words are held, those met in one group of texts only are forgotten, and
     of the others the less used half: that bounds memory and changes no result.
@@ -118,47 +120,46 @@ class IdTable:
 
     def __init__(self, limit: int):
         self.limit = limit
-        self._keep([], np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
+        self._keep(pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def _encoded(self, words: list) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(places of the words in some order, arrays that hold their ids in that order, how many each has)."""
         raise NotImplementedError
 
-    def _keep(self, words: list, pool: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
-        self.number = dict(zip(words, range(len(words)), strict=True))
-        self.pool, self.lengths, self.uses = pool, lengths, uses
+    def _keep(self, words: pa.Array, pool: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+        self.words, self.pool, self.lengths, self.uses = words, pool, lengths, uses
         self.starts = np.cumsum(lengths) - lengths
 
     def _forget(self) -> None:
         kept = np.flatnonzero(self.uses > 1)
         if len(kept) > self.limit // 2:
             kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[:self.limit // 2]])
-        words = list(self.number)
-        self._keep([words[k] for k in kept], self.gather(kept), self.lengths[kept], self.uses[kept] // 2)
+        self._keep(self.words.take(pa.array(kept)), self.gather(kept), self.lengths[kept], self.uses[kept] // 2)
 
-    def _learn(self, words: list) -> np.ndarray:
-        order, found, lengths = self._encoded(words)
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        order, found, lengths = self._encoded(words.to_pylist())
         numbers = np.empty(len(words), np.int64)
-        numbers[order] = len(self.number) + np.arange(len(words))
+        numbers[order] = len(self.words) + np.arange(len(words))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.pool = np.concatenate([self.pool, *found])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
-        self.number.update(zip([words[k] for k in order.tolist()], numbers[order].tolist(), strict=True))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
         return numbers
 
-    def _known(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+    def _known(self, words: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
 
-    def numbers(self, distinct: list) -> np.ndarray:
+    def numbers(self, distinct: pa.Array | list[str]) -> np.ndarray:
         """The number of each of a group's distinct words; what an earlier call gave may be void."""
+        distinct = pa.array(distinct, pa.string()) if isinstance(distinct, list) else distinct.cast(pa.string())
         out = self._known(distinct)
-        if self.number and len(self.number) + int((out < 0).sum()) > self.limit:
+        if len(self.words) and len(self.words) + int((out < 0).sum()) > self.limit:
             self._forget()
             out = self._known(distinct)
         missing = np.flatnonzero(out < 0)
         if len(missing):
-            out[missing] = self._learn([distinct[k] for k in missing.tolist()])
+            out[missing] = self._learn(distinct.take(pa.array(missing)))
         self.uses[out] += 1
         return out
 
@@ -174,6 +175,23 @@ class IdTable:
         return np.diff(upto[np.append(0, np.cumsum(counts))])
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library hold but no longer use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives unused memory back after its last batch: a worker stays when its task has
+    ended, beside the workers and the JVM of all later stages."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return tidied
+
+
 _TABLES: dict[tuple, object] = {}
 
 

@@ -1,10 +1,13 @@
 """Tables of distinct words: the library sees a word once, and Python a group's distinct words only."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from probatio.llm import packed_ids, piece_chunks
+from probatio import session
+from probatio.llm import packed_ids, piece_chunks, words
 from probatio.llm.common import package_path, sentencepiece_model
 from probatio.llm.words import IdTable, pieces_at_blanks
 
@@ -74,3 +77,40 @@ def test_library_ids_of_odd_texts():
     for texts in (TEXTS, TEXTS[::-1]):
         got = [x.tolist() for x in table.encode(pa.array(texts))]
         assert got == [table.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_a_table_take_little_memory():
+    table = Spelled(200_000)
+    words = [f"{k:07d}" for k in range(100_000)]
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    numbers = table.numbers(pa.array(words))
+    table.asked.clear()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 100 * len(words)  # ids, lengths, starts and uses, and the letters; as keys of a dictionary the words took twice that alone
+    assert bytes(table.gather(numbers[-2:]).astype(np.uint8)).decode() == "00999980099999"
+
+
+def test_a_task_gives_memory_back_after_its_last_batch(monkeypatch):
+    done = []
+    monkeypatch.setattr(words, "give_back", lambda: done.append(len(done)))
+    got = []
+    for x in words.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2])):
+        assert not done
+        got.append(x)
+    assert got == [2, 3] and done == [0]
+    monkeypatch.undo()
+    words.give_back()
+
+
+def test_files_of_ids_are_placed_without_files_of_their_own(spark, docs, monkeypatch):
+    def none(*_):
+        raise AssertionError("the manifest is not written")
+
+    monkeypatch.setattr(session, "written", none)
+    monkeypatch.setattr(packed_ids, "written", none, raising=False)
+    _, manifest = packed_ids.write_ids(docs.repartition(3), file_ids=50)
+    rows = manifest.orderBy("first_id", "part", "no").collect()
+    assert [r.first_id for r in rows] == np.cumsum([0] + [r.n_ids for r in rows])[:-1].tolist()
+    assert sum(r.n_docs for r in rows) == docs.count()
