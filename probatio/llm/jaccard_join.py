@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from probatio.llm.common import id_and_text, packed, unpacked
 from probatio.llm.shared_tokens import shared_tokens, shorten
-from probatio.llm.words import BASE, Letters, WordIndex, batch_bytes, groups, mix, slices, split_words
+from probatio.llm.words import BASE, Letters, WordIndex, batch_bytes, give_back, groups, mix, slices, split_words, tidy
 from probatio.operators.components import connected_components
 from probatio.operators.skew import attach_by_key
 from probatio.session import written
@@ -122,7 +122,7 @@ def text_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(names), pa.array(kept, pa.binary())],
                                              names=["key", "n", "set_key", "tokens"])
 
-    return read.mapInArrow(run, "key long, n long, set_key long, tokens binary")
+    return read.mapInArrow(tidy(run), "key long, n long, set_key long, tokens binary")
 
 
 # ---- families --------------------------------------------------------------------------------
@@ -134,7 +134,7 @@ def _frequent(sets: DataFrame, most: int) -> np.ndarray:
             tokens, counts = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["token", "n"])
 
-    rows = sets.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")) \
+    rows = sets.select("tokens").mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")) \
         .orderBy(F.desc("n"), "token").limit(most).toArrow()
     # as Arrow columns: collect() would merge every partition's first ``most`` rows in the driver, and make an object of each
     tokens, counts = (rows.column(c).to_numpy() for c in ("token", "n"))
@@ -168,7 +168,7 @@ def shared_parts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                                              names=["set_key", "n", "tokens"])
 
     return sets.join(shared, F.col("set_key") == F.col("key")).select("set_key", "tokens", "shared").mapInArrow(
-        run, "set_key long, n long, tokens binary")
+        tidy(run), "set_key long, n long, tokens binary")
 
 
 def ranking(sets: DataFrame, frequent: int = FREQUENT) -> Callable[[np.ndarray], np.ndarray]:
@@ -210,7 +210,7 @@ def families(sets: DataFrame, ranks: Callable[[np.ndarray], np.ndarray], percent
             yield pa.RecordBatch.from_arrays([pa.nulls(len(ties), pa.int64()), pa.array(ties["a"].to_numpy()), pa.array(ties["b"].to_numpy())],
                                              names=["token", "a", "b"])
 
-    rows = written(sets.select("set_key", "n", "tokens").mapInArrow(run, "token long, a long, b long"), "prefixes")
+    rows = written(sets.select("set_key", "n", "tokens").mapInArrow(tidy(run), "token long, a long, b long"), "prefixes")
     met = rows.where(F.col("token").isNotNull())
     leaders = met.groupBy("token").agg(F.min("a").alias("leader"), F.max("a").alias("last")).where("leader <> last")
     ties = met.join(leaders, "token").where("a <> leader").select("a", F.col("leader").alias("b")).distinct()
@@ -319,6 +319,8 @@ def _block_links(sets: DataFrame, group: list[str], percent: int) -> DataFrame:
         keys = rows["set_key"].to_numpy()
         block = Block([np.frombuffer(b, "<u8") for b in rows["tokens"]], rows["n"].to_numpy(np.int64), percent)
         found = block.links(*[None if rows[c].isna().any() else rows[c].to_numpy() for c in ("label", "side")])
+        del block
+        give_back()
         return pd.DataFrame([(keys[a], keys[b]) for a, b in found], columns=["a", "b"]).astype("int64")
 
     return sets.groupBy(*group).applyInPandas(run, "a long, b long")
@@ -349,7 +351,7 @@ def _visits(sets: DataFrame, places: DataFrame, ranks: Callable[[np.ndarray], np
                 names=["token", "close", "set_key", "family", "unit", "label"])
 
     rows = written(sets.join(places, "set_key").select("set_key", "n", "tokens", "family", "unit", "label").mapInArrow(
-        run, "token long, close boolean, set_key long, family long, unit long, label long"), "postings")
+        tidy(run), "token long, close boolean, set_key long, family long, unit long, label long"), "postings")
     per_unit = rows.groupBy("token", "unit").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                                  F.max("close").alias("close"), F.count("*").alias("held"))
     per_token = per_unit.groupBy("token").agg(

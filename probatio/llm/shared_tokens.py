@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from probatio.llm.words import batch_bytes, slices
+from probatio.llm.words import batch_bytes, slices, tidy
 
 #: Tokens a task sorts at once, and most rows among them (their numbers take two bytes).
 SORT_TOKENS, SORT_ROWS = 1_500_000, 60_000
@@ -152,8 +152,8 @@ def shared_tokens(rows: DataFrame, maker: Callable[[], Callable[[list[bytes]], l
                     [tokens[x // 8:y // 8].tobytes() for x, y in zip(offsets[a:b], offsets[a + 1:b + 1], strict=True)], pa.binary())],
                     names=["key", "tokens"])
 
-    sent = rows.select("key", "text").mapInArrow(split, "bucket int, owners binary, home int, keys binary, counts binary, tokens binary")
-    return sent.repartitionById(n, "bucket").mapInArrow(meet, ANSWER).repartitionById(n, "home").mapInArrow(gather, "key long, tokens binary")
+    sent = rows.select("key", "text").mapInArrow(tidy(split), "bucket int, owners binary, home int, keys binary, counts binary, tokens binary")
+    return sent.repartitionById(n, "bucket").mapInArrow(tidy(meet), ANSWER).repartitionById(n, "home").mapInArrow(tidy(gather), "key long, tokens binary")
 
 
 def shorten(tokens: np.ndarray, buckets: int) -> np.ndarray:
