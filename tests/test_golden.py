@@ -230,6 +230,17 @@ def test_recurrence(spark):
     assert row["confidence"] == pytest.approx(0.85) and row["n"] == 4 and row["files"] == 4
 
 
+def test_recurrence_tells_the_first_events(spark):
+    dates = ["2024-03-01", "2024-01-05", "2024-02-01", "2024-01-05", "2023-12-31", "2024-06-01", "2022-01-01"]
+    many = events(spark, dates).unionByName(events(spark, ["2024-01-01", "2024-01-02"], kind="rare")) \
+        .unionByName(events(spark, ["2021-01-01"] * 3, kind="none").withColumn("argument", F.lit(None).cast("string")))
+    got = {(r["timeline"], r["event_type"]): [(str(e["event_date"]), e["doc_id"], e["title"]) for e in r["first_events"]]
+           for r in pt.recurrence_patterns(many).collect()}
+    assert got == {("A", "legal"): [("2022-01-01", 6, "T6"), ("2023-12-31", 4, "T4"), ("2024-01-05", 1, "T1"), ("2024-01-05", 3, "T3"), ("2024-02-01", 2, "T2")],
+                   (None, "none"): [("2021-01-01", 0, "T0"), ("2021-01-01", 1, "T1"), ("2021-01-01", 2, "T2")]}
+    assert "first_events" not in pt.recurrence_patterns(many, first=0).columns
+
+
 def test_merge_boost_equals_the_fold(spark):
     import random
     rng = random.Random(3)
