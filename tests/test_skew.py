@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -332,6 +333,26 @@ def test_usage_windows_query_tells_both_limits(spark, tmp_path):
     assert all(r["over_scaled"] >= r["over_limit"] for r in got)
 
 
+def test_similarity_makes_no_row_of_a_candidate(spark, monkeypatch):
+    """Cells that go on over Arrow batches, blocks of cells and steps of pairs leave the pairs as they are, and no join makes candidates."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.sample([f"term{j:02d}" for j in range(40 if i % 3 else 30)], rng.randint(5, 22)))) for i in range(120)]
+    sets = {d: frozenset(w for w, _ in Counter(t.split()).most_common(20)) for d, t in docs}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    monkeypatch.setattr(pr, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(pr, "WORDS_AT_ONCE", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        out = pr.content_similarity(spark.createDataFrame(docs, "doc_id long, content string"), block=16)
+        got = [((r["doc1"], r["doc2"]), r["similarity"]) for r in out.where("relation = 'overlap'").collect()]
+        assert len(set(sets.values())) == len(docs) and len(dict(got)) == len(got)
+        assert dict(got) == pytest.approx({k: v for k, v in want.items() if v > 0.3})
+        assert "array_intersect" not in _plan(out)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_similarity_compares_words_of_few_candidates(spark):
     """Sets that share a rare word only are told apart by their bits, before any words are compared."""
     rows = [(i, " ".join([f"shared{i // 2}", *[f"word{i}x{j}" for j in range(19)]])) for i in range(40)] + [(100, " ".join(f"again{j}" for j in range(20))), (
