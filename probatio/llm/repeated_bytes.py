@@ -232,9 +232,11 @@ def _affected(docs: DataFrame, buckets: int) -> DataFrame:
 
     Rows are joined with the texts by (text key, id), so of the rows of one text only those of its
     smallest id meet their text's triggers; the others are whole repeats (``copy``).
+    The texts are written by zstd, as they stay to the end.
     """
     keyed = docs.withColumn("key", F.xxhash64("text", F.length("text"))).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    shared = shared_tokens(keyed, _trigger_sets, buckets)
+    # all triggers are shuffled for these, and need not lie beside the texts that are dealt out next
+    shared = written(shared_tokens(keyed, _trigger_sets, buckets), "shared-triggers", drop_shuffles=True)
     firsts = keyed.groupBy("key").agg(F.min("id").alias("_id")).join(shared, "key", "left").select(
         F.col("key").alias("_key"), "_id", "tokens")
     read = keyed.join(firsts, (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")), "left")
@@ -243,15 +245,21 @@ def _affected(docs: DataFrame, buckets: int) -> DataFrame:
     return written(read.withColumn("state", state).select(
         F.monotonically_increasing_id().alias("row"), "id", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "state",
         F.when(F.col("state") == "shared", F.col("text")).alias("text"), F.when(F.col("state") == "shared", F.col("tokens")).alias("tokens"),
-        F.sha2(F.when(F.col("state") == "copy", F.lit("")).otherwise(F.col("text")), 256).alias("kept_sha256")), "affected")
-
-
-def _phrases_of(batch: pa.RecordBatch, names: list[str], buckets: int) -> Iterator[tuple]:
-    """(places, hashes, phrase rows, *values of ``names`` for each phrase), some texts at a time."""
-    texts, tokens = batch_bytes(batch.column("text")), batch.column("tokens").to_pylist()
+        F.sha2(F.when(F.col("state") == "copy", F.lit("")).otherwise(F.col("text")), 256).alias("kept_sha256")), "affected", "zstd", drop_shuffles=True)
+
+
+def _phrases_of(batch: pa.RecordBatch, names: list[str], buckets: int, hot: np.ndarray | None = None, of_hot: bool = False) -> Iterator[tuple]:
+    """(places, hashes, phrase rows, *values of ``names`` for each phrase), some texts at a time; given ``hot``, of
+    the hot triggers only or of the others only."""
+    tokens = [np.unique(np.frombuffer(x, "<u8")) for x in batch.column("tokens").to_pylist()]
+    if hot is not None and len(hot):
+        tokens = [t[np.isin(t, hot, invert=not of_hot)] for t in tokens]
+        left = [i for i, t in enumerate(tokens) if len(t)]
+        batch, tokens = batch.take(pa.array(left, pa.int64())), [tokens[i] for i in left]
+    texts = batch_bytes(batch.column("text"))
     values = [batch.column(c).to_numpy() for c in names]
     for a, b in groups([len(t) for t in texts], 1 << 22):
-        found = [phrases(t, np.unique(np.frombuffer(x, "<u8")), buckets) for t, x in zip(texts[a:b], tokens[a:b], strict=True)]
+        found = [phrases(t, x, buckets) for t, x in zip(texts[a:b], tokens[a:b], strict=True)]
         counts = [len(f[0]) for f in found]
         yield (*(np.concatenate(c) for c in zip(*found, strict=True)), *(np.repeat(v[a:b], counts) for v in values))
 
@@ -284,32 +292,41 @@ def _weigh_triggers(rows: DataFrame, hot_texts: int) -> tuple[np.ndarray, int]:
     return np.sort(np.array([r["token"] for r in told.select("token").collect()], np.int64)).view(np.uint64), pairs
 
 
-def _dictionary(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """(trigger, hot, phrase_key, phrase, first_id, last_id), once per group of texts and phrase."""
+def _dictionary(rows: DataFrame, buckets: int, n_groups: int, hot: np.ndarray, of_hot: bool) -> DataFrame:
+    """(group, phrase, first_id, last_id), once per group of texts and phrase, of the hot triggers or of the others.
+
+    Entries of one trigger have the same group. A phrase holds its trigger and is what its key is made from, so
+    neither is sent along.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, hashes, table, ids in _phrases_of(batch, ["id"], buckets):
-                keys = phrase_keys(table)
-                where, low, high = distinct_entries(keys, ids, ids)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[where]), pa.array(np.isin(shorten(hashes[where], buckets), hot)),
-                                                  pa.array(keys[where]), as_binary(table[where]), pa.array(low), pa.array(high)],
-                                                 names=["trigger", "hot", "phrase_key", "phrase", "first_id", "last_id"])
+            for _, hashes, table, ids in _phrases_of(batch, ["id"], buckets, hot, of_hot):
+                where, low, high = distinct_entries(phrase_keys(table), ids, ids)
+                yield pa.RecordBatch.from_arrays([pa.array((hashes[where] % np.uint64(n_groups)).astype(np.int32)),
+                                                  as_binary(table[where]), pa.array(low), pa.array(high)],
+                                                 names=["group", "phrase", "first_id", "last_id"])
+
+    return rows.select("id", "text", "tokens").mapInArrow(run, "group int, phrase binary, first_id long, last_id long")
 
-    return rows.select("id", "text", "tokens").mapInArrow(
-        run, "trigger long, hot boolean, phrase_key long, phrase binary, first_id long, last_id long")
 
+def _triggers_in(table: np.ndarray) -> np.ndarray:
+    """A number for the trigger of each phrase."""
+    halves = np.ascontiguousarray(table[:, 2 + SIDE:2 + SIDE + TRIGGER]).view("<u8")
+    return mix(mix(halves[:, 0]) * BASE + halves[:, 1]).view(np.int64)
 
-def _ordered(entries: DataFrame, groups: int) -> DataFrame:
+
+def _ordered(entries: DataFrame) -> DataFrame:
     """(phrase_key, runs) of entries that can remove something. Entries of one trigger meet in one
     group, a document's copies of a phrase having become one entry per batch before."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows["phrase_key"].to_numpy(np.int64)
+        table = np.frombuffer(b"".join(rows["phrase"]), np.uint8).reshape(-1, WIDTH)
+        keys = phrase_keys(table)
         where, low, high = distinct_entries(keys, rows["first_id"].to_numpy(np.int64), rows["last_id"].to_numpy(np.int64))
-        table = np.frombuffer(b"".join(rows["phrase"]), np.uint8).reshape(-1, WIDTH)[where]
-        packed = pack_entries(first_documents(rows["trigger"].to_numpy(np.int64)[where], table, low), high)
+        table = table[where]
+        packed = pack_entries(first_documents(_triggers_in(table), table, low), high)
         return pd.DataFrame({"phrase_key": keys[where], "runs": packed})[lambda r: r["runs"] != b""]
 
-    return entries.withColumn("group", F.pmod("trigger", F.lit(groups))).groupBy("group").applyInPandas(run, "phrase_key long, runs binary")
+    return entries.groupBy("group").applyInPandas(run, "phrase_key long, runs binary")
 
 
 def string_hashes(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -337,9 +354,10 @@ def _by_strings(entries: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
-                keys = part.column("phrase_key").to_numpy()
+                table = np.frombuffer(b"".join(part.column("phrase").to_pylist()), np.uint8).reshape(-1, WIDTH)
+                keys = phrase_keys(table)
                 where, low, high = distinct_entries(keys, part.column("first_id").to_numpy(), part.column("last_id").to_numpy())
-                table = np.frombuffer(b"".join(part.column("phrase").to_pylist()), np.uint8).reshape(-1, WIDTH)[where]
+                table = table[where]
                 row, offset, hashes = string_hashes(table)
                 yield pa.RecordBatch.from_arrays([as_binary(hashes.view(np.uint8)), pa.array(keys[where][row]), pa.array(offset.astype(np.int32)),
                                                   pa.array(low[row]), pa.array(high[row])],
@@ -355,8 +373,8 @@ def _by_strings(entries: DataFrame) -> DataFrame:
             last = np.full(len(found), np.iinfo(np.int64).max)
             yield pa.RecordBatch.from_arrays([batch.column("phrase_key"), pa.array(pack_entries(first, last), pa.binary())], names=["phrase_key", "runs"])
 
-    strings = written(entries.select("phrase_key", "phrase", "first_id", "last_id").mapInArrow(
-        cut, "string binary, phrase_key long, offset int, first_id long, last_id long").withColumn("string", F.hex("string")), "strings")
+    strings = written(entries.select("phrase", "first_id", "last_id").mapInArrow(
+        cut, "string binary, phrase_key long, offset int, first_id long, last_id long").withColumn("string", F.hex("string")), "strings", drop_shuffles=True)
     per_string = strings.groupBy("string").agg(F.count("*").alias("n"), F.min("first_id").alias("least"), F.max("last_id").alias("most")) \
         .where("least < most").drop("most")
     met = attach_by_key(strings, per_string, "string", "n", "phrase_key").where("least < last_id")
@@ -385,13 +403,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _affected(id_and_text(docs, id_col, text_col), buckets)
     shared = rows.where(F.col("state") == "shared")
     hot, pairs = _weigh_triggers(shared, HOT_TEXTS)
-    entries, n_groups = _dictionary(shared, buckets, hot), max(4 * buckets, pairs // GROUP_ENTRIES)
-    if len(hot):  # both parts are read from one pass over the texts
-        entries = written(entries, "entries")
-        runs = _ordered(entries.where("NOT hot"), n_groups).unionByName(_by_strings(entries.where("hot")))
-    else:
-        runs = _ordered(entries.drop("hot"), n_groups)
-    runs = written(runs, "dictionary")
+    n_groups = max(4 * buckets, pairs // GROUP_ENTRIES)
+    runs = _ordered(_dictionary(shared, buckets, n_groups, hot, False))
+    if len(hot):  # texts without a hot trigger are passed over in the second reading
+        runs = runs.unionByName(_by_strings(_dictionary(shared, buckets, n_groups, hot, True)))
+    runs = written(runs, "dictionary", drop_shuffles=True)
     met = _parse(shared, buckets).join(runs, "phrase_key")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

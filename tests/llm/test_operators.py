@@ -249,6 +249,26 @@ def test_hot_template_with_varying_surroundings(spark, monkeypatch):
     same([(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got], brute.repeats(rows))
 
 
+def test_hot_triggers_write_no_whole_dictionary(spark, monkeypatch):
+    """With hot triggers only the strings of their own phrases are written; other phrases go to their groups once, without keys."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghij "))
+    some = lambda n: "".join(rng.choice(letters, n))
+    twice = [some(400) for _ in range(20)]
+    rows = [(int(i), some(60) + "==== the invoice of this month, due date ====" + some(60) + twice[i % 20] * (i % 3 == 0)) for i in range(120)]
+    rows += [(500, rows[3][1]), (None, None)]
+    monkeypatch.setattr(repeated_bytes, "HOT_TEXTS", 30)
+    steps, hot, rest = {}, [], []
+    monkeypatch.setattr(repeated_bytes, "written", lambda df, label, *a, f=repeated_bytes.written, **b: steps.setdefault(label, f(df, label, *a, **b)))
+    monkeypatch.setattr(repeated_bytes, "_by_strings", lambda e, f=repeated_bytes._by_strings: hot.append(e) or f(e))
+    monkeypatch.setattr(repeated_bytes, "_ordered", lambda e, f=repeated_bytes._ordered: rest.append(e) or f(e))
+    got = repeated_bytes.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    same([(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in got], brute.repeats(rows))
+    assert set(steps) == {"shared-triggers", "affected", "strings", "dictionary"}
+    assert hot[0].columns == rest[0].columns == ["group", "phrase", "first_id", "last_id"]
+    assert hot[0].count() and rest[0].count() and not hot[0].join(rest[0], "group").where(hot[0]["phrase"] == rest[0]["phrase"]).count()
+
+
 def test_triggers_do_not_depend_on_what_is_around():
     rng = np.random.default_rng(0)
     text = bytes(rng.integers(97, 101, 5000, dtype=np.uint8)) + b"a" * 300 + bytes(rng.integers(0, 256, 2000, dtype=np.uint8))
